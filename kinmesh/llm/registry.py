@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import sharding, warc
+from kinmesh.llm import licenses, mixing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1,
+        "op3_license_scan": licenses.op3,
+        "op5_quality_rules": quality.op5,
         "op6_warc": warc.op6,
+        "op8_mixing": mixing.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": sharding.oracle(),
+        "op3_license_scan": licenses.oracle(),
+        "op5_quality_rules": quality.oracle(),
         "op6_warc": warc.oracle(),
+        "op8_mixing": mixing.oracle(),
     }
