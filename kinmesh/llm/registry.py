@@ -6,24 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import licenses, mixing, quality, sharding, warc
+from kinmesh.llm import decontam, licenses, mixing, neardup, quality, sharding, substring, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1,
+        "op2_token_counts": tokens.op2,
         "op3_license_scan": licenses.op3,
+        "op4_decontamination": decontam.op4,
         "op5_quality_rules": quality.op5,
         "op6_warc": warc.op6,
+        "op7_token_binary": tokens.op7,
         "op8_mixing": mixing.op8,
+        "op9_near_dedup": neardup.op9,
+        "op10_substring_dedup": substring.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """Of 2, 7 (a tokeniser's result) and 9 (components of a similarity join) there is no SQL; tests hold them against brute force."""
     return {
         "op1_sharding": sharding.oracle(),
         "op3_license_scan": licenses.oracle(),
+        "op4_decontamination": decontam.oracle(),
         "op5_quality_rules": quality.oracle(),
         "op6_warc": warc.oracle(),
         "op8_mixing": mixing.oracle(),
+        "op10_substring_dedup": substring.oracle(),
     }
