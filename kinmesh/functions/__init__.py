@@ -1 +1 @@
-
+"""Column functions and pure-Python kernels."""

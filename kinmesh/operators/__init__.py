@@ -1 +1 @@
-
+"""Relational operators of record linkage."""

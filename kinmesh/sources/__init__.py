@@ -1 +1 @@
-
+"""Readers, samples and writers."""
