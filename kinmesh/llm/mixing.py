@@ -95,20 +95,20 @@ def budgets(leaves: DataFrame, names: Sequence[str], *, share: float, max_epochs
     })
 
 
-def cutoffs(sized: DataFrame, plan: DataFrame, names: Sequence[str], seed: int) -> DataFrame:
+def cutoffs(sized: DataFrame, plan: DataFrame, names: Sequence[str], seed: int, few: bool) -> DataFrame:
     """plan with cutoff: a document is in the last, partial epoch if its place is at most cutoff (-1: none is).
 
     sized: id, names and tokens of each document. Places up to the cutoff hold at most rest tokens; rows with
     the same place go together.
     """
     some = plan.filter("rest > 0").select(*names, "epochs", "rest")
-    placed = sized.join(some, list(names)).select(*names, "rest", "tokens", order(F.col("id"), seed, F.col("epochs")).alias("place"))
+    placed = sized.join(F.broadcast(some) if few else some, list(names)).select(*names, "rest", "tokens", order(F.col("id"), seed, F.col("epochs")).alias("place"))
     placed = placed.withColumn("range", F.shiftright("place", _BITS - RANGES.bit_length() + 1))
     sums = placed.groupBy(*names, "range").agg(F.sum("tokens").alias("_km_t"), F.first("rest").alias("rest"))
     below = F.coalesce(F.sum("_km_t").over(Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
     edge = sums.withColumn("_km_below", below).filter((F.col("_km_below") <= F.col("rest")) & (F.col("_km_below") + F.col("_km_t") > F.col("rest")))
     edge = edge.select(*names, "range", "_km_below")
-    inside = placed.join(edge, [*names, "range"])
+    inside = placed.join(F.broadcast(edge) if few else edge, [*names, "range"])
     running = F.sum("tokens").over(Window.partitionBy(*names, "range").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     found = inside.withColumn("_km_sum", running + F.col("_km_below")).filter("_km_sum <= rest").groupBy(*names).agg(F.max("place").alias("_km_in"))
     start = edge.select(*names, (F.shiftleft(F.col("range").cast("bigint"), _BITS - RANGES.bit_length() + 1) - 1).alias("_km_start"))
@@ -127,8 +127,8 @@ def plan_mix(docs: DataFrame, tree: Sequence[Level], *, share: float = SHARE, ma
     sized = cut(sizes(docs, tree, id_col, tokens))
     leaves = sized.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     plan = cut(budgets(leaves, names, share=share, max_epochs=max_epochs, weights=weights))
-    plan = cut(cutoffs(sized, plan, names, seed))
-    return sized, plan, plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    few = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    return sized, cut(cutoffs(sized, plan, names, seed, few)), few
 
 
 def chosen(rows: DataFrame, plan: DataFrame, names: Sequence[str], few: bool, id_col: Column, seed: int) -> DataFrame:
