@@ -9,6 +9,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Dotted legal forms, replaced wherever they stand.
 DOTTED_FORMS = {
@@ -55,7 +56,7 @@ def fold_latin(text: Column) -> Column:
     return F.translate(text, _ONES, _BASES)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_any(texts: pd.Series) -> pd.Series:
     """Any script by compatibility decomposition; what has no ASCII form is dropped. Only for columns that need it: a Python pass over all rows."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmesh.functions import kernels
 from kinmesh.functions.text import token_set
@@ -94,7 +95,7 @@ def pair_texts(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     return pairs.join(left, "s1_id").join(right, "cand_id")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([kernels.jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
 

@@ -1 +1 @@
-
+"""Linkage of records that keep arriving."""
