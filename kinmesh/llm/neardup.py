@@ -34,8 +34,10 @@ PERCENT = 85
 SHARE = 0.6
 #: Documents and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 256, 400_000
-#: Values that several sketches hold are broadcast up to this number (16 bytes each), ids of documents to compare likewise.
-BROADCAST_VALUES = 400_000
+#: Documents to compare are broadcast up to this number of (task, document) rows (40 bytes each); beyond it texts are shuffled by id.
+BROADCAST_TASKS = 200_000
+#: Ids of documents to be left out are broadcast up to this number (8 bytes each).
+BROADCAST_IDS = 500_000
 
 _SALT = tuple(np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB, 0xA24BAED4963EE407))
 
@@ -164,36 +166,28 @@ def _compare(text: str):
     return run
 
 
-def links(docs: DataFrame, base: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) between representatives of classes that join all linked ones, transitively."""
-    keys = ["doc_id", "n", "k1", "k2"]
-    kept = base.join(classes.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), keys).select("doc_id", "n", "sketch")
-    listed = kept.select("doc_id", F.least(F.col("n"), F.lit(K)).alias("m"), F.explode("sketch").alias("value"))
+def links(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b) between representatives of classes that join all linked ones, transitively. classes: rep, n, sketch."""
+    kept = classes.select(F.col("rep").alias("doc_id"), "n", "sketch")
+    listed = kept.select("doc_id", F.explode("sketch").alias("value"))
+    # Cut before it is joined: only then can Spark split a value that very many documents hold.
     shared = cut(listed.groupBy("value").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"))
-    few = shared.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    hits = listed.join(F.broadcast(shared) if few else shared, "value")
+    hits = listed.join(shared.hint("merge"), "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("v"))
+    hits = hits.join(kept.select("doc_id", "n").hint("merge"), "doc_id").withColumn("m", F.least(F.col("n"), F.lit(K)))
     # Values of one document alone come first in its order; what is left of the prefix goes to the rarest others.
-    arrays = hits.groupBy("doc_id", "m").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("v"))
     prefix = F.col("m") - F.ceil(F.col("m") * F.lit(SHARE)) + 1 - (F.col("m") - F.size("v"))
-    lists = arrays.filter(prefix > 0).select("doc_id", F.size("v").alias("known"), F.explode(F.slice("v", F.lit(1), prefix.cast("int"))).alias("s")).select("doc_id", "known", F.col("s.value").alias("value"))
+    lists = hits.filter(prefix > 0).select("doc_id", "n", F.size("v").alias("known"), F.explode(F.slice("v", F.lit(1), prefix.cast("int"))).alias("s")).select("doc_id", "n", "known", F.col("s.value").alias("value"))
     lists = cut(lists)
     lead = cut(lists.groupBy("value").agg(F.min(F.struct((-F.col("known")).alias("k"), F.col("doc_id").alias("d"))).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("value", F.col("l.d").alias("leader")))
-    few = lead.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    member = cut(lists.join(F.broadcast(lead) if few else lead, "value").select("leader", "doc_id").distinct())
-    sizes = kept.select("doc_id", "n")
-    few = member.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    wanted = member.select("doc_id").distinct()
+    member = cut(lists.join(lead.hint("merge"), "value").select("leader", "doc_id", "n").distinct())
+    blocks = cut(member.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    dealt = member.join(blocks.hint("merge"), "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = cut(dealt.select("leader", "doc_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias(text))
+    few = tasks.limit(BROADCAST_TASKS + 1).count() <= BROADCAST_TASKS
     # Of rows with the same id all texts are compared; they are one document with several texts.
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    measured = member.join(sizes.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "doc_id")
-    blocks = cut(measured.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    few_groups = blocks.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    dealt = member.join(F.broadcast(blocks) if few_groups else blocks, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select("leader", "doc_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    few_tasks = tasks.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    full = texts.join(F.broadcast(tasks) if few_tasks else tasks, "doc_id")
+    full = rows.join(F.broadcast(tasks) if few else tasks, "doc_id")
     return full.groupBy("leader", "low", "high").applyInArrow(_compare(text), _LINKS)
 
 
@@ -206,17 +200,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     """
     base = stored(sketches(docs, id_col=id_col, text=text), "sketches")
     some = base.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
-    found = cut(links(docs, base, classes, id_col=id_col, text=text))
+    classes = stored(some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    found = links(docs, classes, id_col=id_col, text=text)
+    inside = base.select("doc_id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep").hint("merge"), ["n", "k1", "k2"], "left")
+    inside = cut(inside.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id")))
     # Rows of one id with different texts tie their classes together.
-    narrow = base.select("doc_id", "n", "k1", "k2")
-    few = classes.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    inside = narrow.join(F.broadcast(classes) if few else classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
-    inside = cut(inside)
-    several = inside.filter("class_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    joined = cut(components(found.unionByName(several.join(inside.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("doc_id").alias("a")), "a", "left_semi").select("a", "b"))))
-    few = joined.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    out = inside.join(F.broadcast(joined) if few else joined, F.col("class_id") == F.col("node"), "left")
+    several = inside.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a < b")
+    ties = inside.join(several.select("doc_id"), "doc_id", "left_semi").filter("class_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+    joined = cut(components(found.unionByName(ties)))
+    out = inside.join(joined.hint("merge"), F.col("class_id") == F.col("node"), "left")
     component = F.least(F.coalesce("component", "class_id"), "class_id")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "class_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
@@ -225,7 +217,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near duplicates of a document with a smaller id, same columns. Of rows with the same id all stay or go."""
     gone = cut(near_duplicates(docs, id_col=id_col, text=text).filter("NOT kept").select(F.col("doc_id").alias("_km_gone")).distinct())
-    few = gone.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").cast("bigint") == F.col("_km_gone"), "left_anti")
 
 
