@@ -21,6 +21,8 @@ SEPARATOR = "\ue000"
 GROUP_CHARS = 1 << 20
 #: Pieces a worker remembers; beyond that it starts anew, so that memory stays bounded.
 CACHE = 400_000
+#: The same for ids, which cost more to find again; about 150 bytes each.
+ENCODER_CACHE = 800_000
 
 
 class Splitter:
@@ -280,7 +282,7 @@ class Encoder:
     def reset(self) -> None:
         self.known: dict[str, int] = {SEPARATOR: 0}
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
-        self.begin, self.size = np.zeros(CACHE + 1, np.int64), np.zeros(CACHE + 1, np.int64)
+        self.begin, self.size = np.zeros(ENCODER_CACHE + 1, np.int64), np.zeros(ENCODER_CACHE + 1, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
         fresh = list(set(pieces).difference(self.known))
