@@ -236,13 +236,15 @@ def write_shards(docs: DataFrame, path: str, *, vocabulary: str = VOCABULARY, en
 
 def read_shards(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
     """One row for each document of the shard files: id, start (ids of all documents before it), n_tokens, ids_crc32, found through each file's index."""
-    layout = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("shard", T.StringType()), T.StructField("n_ids", T.LongType())])
-    files = spark.read.format("binaryFile").schema(layout).load(path)
+    schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))])
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # of an empty table there are no shards
+        return spark.createDataFrame([], schema)
+    files = files.withColumn("n_ids", F.col("n_ids").cast("bigint"))
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
     starts = files.select("shard", "n_ids").select("shard", before.alias("base"))
     few = files.select("shard").limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
     rows = files.select("shard", "content").join(F.broadcast(starts) if few else starts, "shard").select("base", "content")
-    schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
