@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.functions import kernels, text, text_v1
+from kinmesh.functions import text, text_v1
 from kinmesh.operators import blocking, decide, evaluate, features, neighbours, tfidf, training, validate
 from kinmesh.plans import fixtures as fx
 from kinmesh.sources import readers, samples, writers
@@ -171,7 +171,7 @@ def country_restricted_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("id_prefix_counts", "SELECT substr(c_name, 1, 10) AS prefix, count(*) AS n FROM customer GROUP BY ALL")
 def id_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.substring("c_name", 1, 10).alias("prefix"), ).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.substring("c_name", 1, 10).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- Blocking --------------------------------------------------------------------------------------------------------
@@ -313,10 +313,6 @@ def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Blocking evaluation ---------------------------------------------------------------------------------------------
 
-_SIZES = """
-ct AS (SELECT s1_id, count(*) AS nt FROM truth GROUP BY ALL)"""
-
-
 def _sql_eval(pred: str) -> str:
     return f"""
 e AS (SELECT s1_id, country_norm, (SELECT count(*) FROM truth AS t WHERE t.s1_id = ent.s1_id) AS nt, (SELECT count(*) FROM {pred} AS p WHERE p.s1_id = ent.s1_id) AS np,
@@ -643,5 +639,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to match lists, from end to end."""
     return decide_full(spark, sf_dir)
 
-
-_ = (kernels, Window)
