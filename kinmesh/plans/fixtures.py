@@ -11,8 +11,10 @@ from kinmesh.functions.text import fold_latin, normalise
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, business_name, business_address, country, match_key: names and addresses from a document's first words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    words = F.split(F.trim(F.regexp_replace(fold_latin(F.lower("text")), r"\s+", " ")), " ")
-    x = docs.select("doc_id", "lang", words.alias("a")).select("doc_id", "lang", F.array_join(F.slice("a", 1, 4), " ").alias("nm"), F.array_join(F.slice("a", 5, 8), " ").alias("ad"))
+    # Only the first twelve words are looked at: the split stops there, and letters are folded after it.
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"\s+", 13)
+    folded = lambda first, n: fold_latin(F.lower(F.array_join(F.slice("a", first, n), " ")))
+    x = docs.select("doc_id", "lang", words.alias("a")).select("doc_id", "lang", folded(1, 4).alias("nm"), folded(5, 8).alias("ad"))
     owner = (F.col("doc_id") % 3 == 0).cast("int")
     # Of first-source records with the same name and country the first stays.
     firsts = x.filter(owner == 1).groupBy("lang", "nm").agg(F.min("doc_id").alias("doc_id"))
