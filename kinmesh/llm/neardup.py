@@ -7,7 +7,8 @@ linked documents' do to have one in common (all but a chance of about 1e-7; sets
 in no list, then, unless nearly all of a document is common.
 
 A list is led by its most connected document, and the lists with the same leader are one group. Groups are dealt into blocks of
-bounded size; a task takes two blocks, counts sketch overlaps of all pairs as a matrix product, estimates similarity on the
+bounded size. First each block is compared by itself with the leader in it; then only the documents that this has not joined to the
+leader meet the other blocks. A task counts sketch overlaps of all pairs as a matrix product, estimates similarity on the
 union of the two sketches, and compares the full sets of the pairs that remain and aren't joined yet. What leaves a
 task are links that join something, fewer than it has documents, never the pairs.
 """
@@ -152,20 +153,57 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray, acr
 
 
 _LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_LED = T.StructType([T.StructField("leader", T.LongType()), *_LINKS.fields])
+
+
+def _sets(group: pa.Table, text: str) -> list[np.ndarray]:
+    texts = group.column(text).combine_chunks()
+    return list(shingle_sets(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts))
 
 
 def _compare(text: str):
+    """Links of a task of two blocks, or of one block with itself."""
+
     def run(group: pa.Table) -> pa.Table:
-        ids, texts = group.column("doc_id").to_pylist(), group.column(text).combine_chunks()
-        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        ids = group.column("doc_id").to_pylist()
         low, high, block = (group.column(c).to_numpy() for c in ("low", "high", "block"))
         across = bool(low[0] != high[0])
-        found = spanning_links(ids, list(shingle_sets(texts)), (block == high).astype(int), across) if len(ids) > 1 else []
+        found = spanning_links(ids, _sets(group, text), (block == high).astype(int), across) if len(ids) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
+def _compare_led(text: str):
+    """Links of a block that holds its group's leader; documents joined to the leader in the block are linked to it directly."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, leader = group.column("doc_id").to_pylist(), group.column("leader")[0].as_py()
+        found = spanning_links(ids, _sets(group, text), np.zeros(len(ids), int), False) if len(ids) > 1 else []
+        known = {v: i for i, v in enumerate(dict.fromkeys([leader, *ids]))}
+        forest = Forest(len(known))
+        for a, b in found:
+            forest.join(known[a], known[b])
+        # The leader is number 0, so it is the root of all that are joined to it.
+        led = [v for v, i in known.items() if i and forest.find(i) == 0]
+        rest = [(a, b) for a, b in found if forest.find(known[a])]
+        ends = [*((v, leader) for v in led), *rest]
+        return pa.table({"leader": pa.array([leader] * len(ends), pa.int64()), "a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
+
+    return run
+
+
+def _run_tasks(rows: DataFrame, tasks: DataFrame, task, schema: T.StructType) -> DataFrame:
+    """Of rows with the same id all texts are compared; they are one document with several texts."""
+    few = tasks.limit(BROADCAST_TASKS + 1).count() <= BROADCAST_TASKS
+    full = rows.join(F.broadcast(tasks) if few else tasks, "doc_id")
+    return full.groupBy("leader", "low", "high").applyInArrow(task, schema)
+
+
+def _blocks(count, shingles):
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def links(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b) between representatives of classes that join all linked ones, transitively. classes: rep, n, sketch."""
     kept = classes.select(F.col("rep").alias("doc_id"), "n", "sketch")
@@ -180,15 +218,30 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text:
     lists = cut(lists)
     lead = cut(lists.groupBy("value").agg(F.min(F.struct((-F.col("known")).alias("k"), F.col("doc_id").alias("d"))).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("value", F.col("l.d").alias("leader")))
     member = cut(lists.join(lead.hint("merge"), "value").select("leader", "doc_id", "n").distinct())
-    blocks = cut(member.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    dealt = member.join(blocks.hint("merge"), "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = cut(dealt.select("leader", "doc_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias(text))
-    few = tasks.limit(BROADCAST_TASKS + 1).count() <= BROADCAST_TASKS
-    # Of rows with the same id all texts are compared; they are one document with several texts.
-    full = rows.join(F.broadcast(tasks) if few else tasks, "doc_id")
-    return full.groupBy("leader", "low", "high").applyInArrow(_compare(text), _LINKS)
+
+    # First every block by itself, the group's leader being in each: linear in the group.
+    blocks = cut(member.groupBy("leader").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks")))
+    dealt = member.filter("doc_id <> leader").join(blocks.hint("merge"), "leader").select("leader", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    leaders = blocks.select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    tasks = cut(dealt.unionByName(leaders).select("leader", "doc_id", F.col("block").alias("low"), F.col("block").alias("high")))
+    near = cut(_run_tasks(rows, tasks, _compare_led(text), _LED))
+
+    # Then, in groups of several blocks, documents that aren't joined to the leader yet with all others.
+    large = blocks.filter("blocks > 1").select("leader")
+    led = near.filter("b = leader").select("leader", F.col("a").alias("doc_id")).distinct().withColumn("led", F.lit(True))
+    open_ = member.join(large.hint("merge"), "leader").join(led.hint("merge"), ["leader", "doc_id"], "left")
+    open_ = cut(open_.select("leader", "doc_id", "n", (F.coalesce("led", F.lit(False)) | (F.col("doc_id") == F.col("leader"))).alias("led")))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    shingles = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    split = cut(open_.groupBy("leader").agg(_blocks(count(~F.col("led")), shingles(~F.col("led"))).alias("u"), _blocks(count(F.col("led")), shingles(F.col("led"))).alias("r")).filter("u > 0"))
+    # Blocks below u hold open documents, the others those that are joined; every task has a block of open ones.
+    spread = F.xxhash64("doc_id", F.lit(1))
+    again = open_.join(split.hint("merge"), "leader").withColumn("block", F.when(F.col("led"), F.col("u") + F.pmod(spread, F.col("r"))).otherwise(F.pmod(spread, F.col("u"))).cast("int"))
+    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("led"), F.col("u")).otherwise(F.col("u") + F.col("r")) - 1)))
+    tasks = cut(again.select("leader", "doc_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+    far = _run_tasks(rows, tasks, _compare(text), _LINKS)
+    return near.select("a", "b").unionByName(far)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -256,6 +256,20 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.near_duplicates(none).isEmpty() and neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(docs).count() == len(ROWS) - 2
 
 
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    """A group whose members drift away from its leader, over many blocks: open documents meet all others."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    w = [f"v{i}" for i in rng.integers(0, 5000, 200)]
+    rows = [(900 + i, " ".join(w)) for i in range(3)]
+    for i in range(90):
+        w = list(w)
+        w[int(rng.integers(100, 200))] = f"u{i}"
+        rows.append((int(rng.permutation(90)[0]) * 1000 + i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 2000), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
