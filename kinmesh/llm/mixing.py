@@ -64,12 +64,13 @@ def order(id_col: Column, seed: int, epoch: Column) -> Column:
 def budgets(leaves: DataFrame, names: Sequence[str], *, share: float, max_epochs: int, weights: Mapping[tuple[str, ...], float]) -> DataFrame:
     """leaves: names and tokens. Adds budget, epochs (whole ones) and rest (tokens of one more)."""
     tree = leaves.withColumn("_km_cap", (F.col("tokens") * max_epochs).cast("double"))
-    tree = tree.crossJoin(F.broadcast(leaves.agg(F.floor(F.sum("tokens") * F.lit(share)).cast("double").alias("_km_share"))))
-    given = "_km_share"
+    given = None
     for depth in range(1, len(names) + 1):
         path, up = list(names[:depth]), list(names[: depth - 1])
-        nodes = tree.groupBy(*path).agg(F.sum("_km_cap").alias("_km_c"), F.first(given).alias("_km_b")).withColumn("_km_w", _weight(path, weights))
         parent = Window.partitionBy(*up) if up else Window.partitionBy(F.lit(0))
+        nodes = tree.groupBy(*path).agg(F.sum("_km_cap").alias("_km_c"), F.sum("tokens").alias("_km_t"), *([F.first(given).alias("_km_b")] if given else [])).withColumn("_km_w", _weight(path, weights))
+        if not given:
+            nodes = nodes.withColumn("_km_b", F.floor(F.sum("_km_t").over(parent) * F.lit(share)).cast("double"))
         ranked = parent.orderBy(F.col("_km_c") / F.col("_km_w"), names[depth - 1])
         full = F.coalesce(F.sum("_km_c").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         left = F.sum("_km_w").over(ranked.rowsBetween(Window.currentRow, Window.unboundedFollowing))
