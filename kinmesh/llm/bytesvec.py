@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in groups of about so many bytes; a longer text is a group of its own.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
