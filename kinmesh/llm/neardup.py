@@ -29,10 +29,8 @@ from kinmesh.llm.components import components
 
 SHINGLE = 5
 K = 64
-#: Two documents are linked if 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: Sketches of linked documents overlap in at least this share of the smaller one: 5.6 standard deviations below the mean.
-SHARE = 0.6
+#: Two documents are linked if 100 * intersection >= percent * union: the default of the stage that keeps one of each, and op9's.
+PERCENT, OP9_PERCENT = 80, 85
 #: Documents and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: Documents to compare are broadcast up to this number of (task, document) rows (40 bytes each); beyond it texts are shuffled by id.
@@ -106,9 +104,15 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def listed_share(percent: int) -> float:
+    """Sketches of linked documents overlap in at least this share of the smaller one: 5.6 standard deviations below the mean."""
+    p = percent / 100
+    return round(p - 5.6 * (p * (1 - p) / K) ** 0.5, 2)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def overlaps(held: list[np.ndarray]) -> np.ndarray:
@@ -128,25 +132,26 @@ def overlaps(held: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[tuple[int, int]]:
+def spanning_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
     """Verified links that join the linked documents of two blocks (side 0 and 1) or, unless across, of one."""
     held = [s[:K] for s in sets]
     size = np.array([len(s) for s in sets], np.float64)
     small, large = np.minimum.outer(size, size), np.maximum.outer(size, size)
     m = np.minimum(small, K)
     # Mean share of common values for the least similarity, from the sizes, and 5.5 standard deviations of a sample.
-    mean = np.minimum(1.0, PERCENT / (100 + PERCENT) * (1 + small / large))
+    mean = np.minimum(1.0, percent / (100 + percent) * (1 + small / large))
     least = m * mean - 5.5 * np.sqrt(m * mean * (1 - mean))
-    maybe = (overlaps(held) >= np.maximum(1, least)) & (100 * small >= PERCENT * large)
+    maybe = (overlaps(held) >= np.maximum(1, least)) & (100 * small >= percent * large)
     maybe = np.triu(maybe, 1)
     if across:
         maybe &= side[:, None] != side[None, :]
     left, right = np.nonzero(maybe)
     forest, out = Forest(len(ids)), []
+    variance = percent / 100 * (1 - percent / 100)
     for a, b in zip(left.tolist(), right.tolist(), strict=True):
         if ids[a] == ids[b] or forest.find(a) == forest.find(b):
             continue
-        if estimate(held[a], held[b]) * 100 >= PERCENT - 550 * (0.1275 / max(1, min(len(held[a]), len(held[b])))) ** 0.5 and linked(sets[a], sets[b]):
+        if estimate(held[a], held[b]) * 100 >= percent - 550 * (variance / max(1, min(len(held[a]), len(held[b])))) ** 0.5 and linked(sets[a], sets[b], percent):
             forest.join(a, b)
             out.append((ids[a], ids[b]))
     return out
@@ -161,25 +166,25 @@ def _sets(group: pa.Table, text: str) -> list[np.ndarray]:
     return list(shingle_sets(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts))
 
 
-def _compare(text: str):
+def _compare(text: str, percent: int):
     """Links of a task of two blocks, or of one block with itself."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_pylist()
         low, high, block = (group.column(c).to_numpy() for c in ("low", "high", "block"))
         across = bool(low[0] != high[0])
-        found = spanning_links(ids, _sets(group, text), (block == high).astype(int), across) if len(ids) > 1 else []
+        found = spanning_links(ids, _sets(group, text), (block == high).astype(int), across, percent) if len(ids) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def _compare_led(text: str):
+def _compare_led(text: str, percent: int):
     """Links of a block that holds its group's leader; documents joined to the leader in the block are linked to it directly."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, leader = group.column("doc_id").to_pylist(), group.column("leader")[0].as_py()
-        found = spanning_links(ids, _sets(group, text), np.zeros(len(ids), int), False) if len(ids) > 1 else []
+        found = spanning_links(ids, _sets(group, text), np.zeros(len(ids), int), False, percent) if len(ids) > 1 else []
         known = {v: i for i, v in enumerate(dict.fromkeys([leader, *ids]))}
         forest = Forest(len(known))
         for a, b in found:
@@ -204,7 +209,7 @@ def _blocks(count, shingles):
     return F.greatest(F.ceil(count / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
 
 
-def links(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, *, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b) between representatives of classes that join all linked ones, transitively. classes: rep, n, sketch."""
     kept = classes.select(F.col("rep").alias("doc_id"), "n", "sketch")
     listed = kept.select("doc_id", F.explode("sketch").alias("value"))
@@ -213,7 +218,7 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text:
     hits = listed.join(shared.hint("merge"), "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "value"))).alias("v"))
     hits = hits.join(kept.select("doc_id", "n").hint("merge"), "doc_id").withColumn("m", F.least(F.col("n"), F.lit(K)))
     # Values of one document alone come first in its order; what is left of the prefix goes to the rarest others.
-    prefix = F.col("m") - F.ceil(F.col("m") * F.lit(SHARE)) + 1 - (F.col("m") - F.size("v"))
+    prefix = F.col("m") - F.ceil(F.col("m") * F.lit(listed_share(percent))) + 1 - (F.col("m") - F.size("v"))
     lists = hits.filter(prefix > 0).select("doc_id", "n", F.size("v").alias("known"), F.explode(F.slice("v", F.lit(1), prefix.cast("int"))).alias("s")).select("doc_id", "n", "known", F.col("s.value").alias("value"))
     lists = cut(lists)
     lead = cut(lists.groupBy("value").agg(F.min(F.struct((-F.col("known")).alias("k"), F.col("doc_id").alias("d"))).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("value", F.col("l.d").alias("leader")))
@@ -225,7 +230,7 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text:
     dealt = member.filter("doc_id <> leader").join(blocks.hint("merge"), "leader").select("leader", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     leaders = blocks.select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     tasks = cut(dealt.unionByName(leaders).select("leader", "doc_id", F.col("block").alias("low"), F.col("block").alias("high")))
-    near = cut(_run_tasks(rows, tasks, _compare_led(text), _LED))
+    near = cut(_run_tasks(rows, tasks, _compare_led(text, percent), _LED))
 
     # Then, in groups of several blocks, documents that aren't joined to the leader yet with all others.
     large = blocks.filter("blocks > 1").select("leader")
@@ -240,11 +245,11 @@ def links(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text:
     again = open_.join(split.hint("merge"), "leader").withColumn("block", F.when(F.col("led"), F.col("u") + F.pmod(spread, F.col("r"))).otherwise(F.pmod(spread, F.col("u"))).cast("int"))
     again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("led"), F.col("u")).otherwise(F.col("u") + F.col("r")) - 1)))
     tasks = cut(again.select("leader", "doc_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
-    far = _run_tasks(rows, tasks, _compare(text), _LINKS)
+    far = _run_tasks(rows, tasks, _compare(text, percent), _LINKS)
     return near.select("a", "b").unionByName(far)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = OP9_PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set).
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with the same id are one document: they share
@@ -254,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     base = stored(sketches(docs, id_col=id_col, text=text), "sketches")
     some = base.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stored(some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    found = links(docs, classes, id_col=id_col, text=text)
+    found = links(docs, classes, percent=percent, id_col=id_col, text=text)
     inside = base.select("doc_id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep").hint("merge"), ["n", "k1", "k2"], "left")
     inside = cut(inside.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id")))
     # Rows of one id with different texts tie their classes together.
@@ -267,12 +272,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near duplicates of a document with a smaller id, same columns. Of rows with the same id all stay or go."""
-    gone = cut(near_duplicates(docs, id_col=id_col, text=text).filter("NOT kept").select(F.col("doc_id").alias("_km_gone")).distinct())
+    gone = cut(near_duplicates(docs, percent=percent, id_col=id_col, text=text).filter("NOT kept").select(F.col("doc_id").alias("_km_gone")).distinct())
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").cast("bigint") == F.col("_km_gone"), "left_anti")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=OP9_PERCENT)

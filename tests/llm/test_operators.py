@@ -256,6 +256,23 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.near_duplicates(none).isEmpty() and neardup.keep_one(docs).columns == docs.columns and neardup.keep_one(docs).count() == len(ROWS) - 2
 
 
+def test_stage_links_at_80_percent(spark):
+    """Pairs of 200 shingles in equal sets, one word or run of words replaced: the stage drops those from 80 percent on, op9's threshold only from 85."""
+    rows, want = [], set()
+    for k, changed in enumerate((10, 15, 16, 17, 18, 19, 20, 25)):  # c shingles of each 200 differ: similarity (200 - c) / (200 + c)
+        w = [f"p{k}-{i}" for i in range(204)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[: 204 - changed] + [f"q{k}-{i}" for i in range(changed)]))]
+        if 100 * (200 - changed) < 80 * (200 + changed):
+            want.add(10 * k + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()}
+    assert kept == {10 * k for k in range(8)} | want and want == {71}
+    at_85 = {r.doc_id for r in neardup.keep_one(df, percent=85).collect()}
+    assert at_85 - kept == {31, 41, 51, 61}
+
+
 def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     """A group whose members drift away from its leader, over many blocks: open documents meet all others."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
