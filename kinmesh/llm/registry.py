@@ -21,11 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8,
         "op9_near_dedup": neardup.op9,
         "op10_substring_dedup": substring.op10,
+        "op10_passages": substring.op10_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of 2, 7 (a tokeniser's result) and 9 (components of a similarity join) there is no SQL; tests hold them against brute force."""
+    """Of 2, 7 (a tokeniser's result) 9 (components of a similarity join) and of op10_passages (all windows of words) there is no SQL; tests hold them against brute force."""
     return {
         "op1_sharding": sharding.oracle(),
         "op3_license_scan": licenses.oracle(),

@@ -3,6 +3,10 @@
 Texts are split at line feeds. Units of MIN_WORDS words or more are normalised (A-Z lowered, white space collapsed)
 and digested. Digests are grouped over the whole corpus; the occurrence with the smallest (rank, unit) stays, the others
 are removed. Each removal keeps its place in the original text.
+
+Lines can't show a passage that is broken into short lines, or set inside longer lines that differ. passages() finds every run of
+PASSAGE words or more that comes again anywhere, wherever lines end: of all grams of GRAM words those are sampled that are the least
+of a window, so that any two equal passages have a sampled gram in common; around grams that repeat, all windows of PASSAGE words are digested.
 """
 
 from __future__ import annotations
@@ -10,15 +14,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmesh.llm.bytesvec import text_bytes
-from kinmesh.llm.common import cut, table
+from kinmesh.llm.bytesvec import SOLID, Words, groups, mix, text_bytes
+from kinmesh.llm.common import cut, stored, table
 
 MIN_WORDS = 20
+#: Words of a passage, and of the grams that are sampled to find it: each PASSAGE words hold a sampled gram.
+PASSAGE, GRAM = 50, 25
+_SALT = np.uint64(0xE7037ED1A0B428DB)
 #: Repeated digests up to this number are broadcast (about 60 bytes each); beyond it both sides are shuffled.
 BROADCAST_DIGESTS = 200_000
 
@@ -72,6 +80,92 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text
     return joined.withColumn(text, F.when(F.col("removed").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(lines, "\n")))
 
 
+def _sampled(w: Words, words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the least gram of each window of words (the first of equal ones), and the codes of all grams."""
+    codes, whole = w.grams(gram), np.flatnonzero(w.within(words))
+    if not len(whole):
+        return whole, codes
+    span = words - gram + 1
+    seen = np.zeros(len(codes), bool)
+    for at in range(0, len(whole), 65_536):
+        part = whole[at : at + 65_536]
+        seen[part + np.lib.stride_tricks.sliding_window_view(codes, span)[part].argmin(axis=1)] = True
+    return np.flatnonzero(seen), codes
+
+
+def passages(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """One row for each run of words to be removed: id, word (from 0), n_words, start and end (characters), first_<id> and first_word of the run that stays.
+
+    Every `words` consecutive words that stand earlier, in the order of (id, word) with a null id last, are in a row; the earliest
+    place of each stays. Words are as in repeats. Rows of one text overlap where the place they repeat changes. Rows of docs with the
+    same id are one document: their equal places stay.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("_km_id"), F.col(f"`{text}`").alias("_km_text"))
+    id_field = rows.schema["_km_id"]
+    sampled_schema = T.StructType([id_field, T.StructField("p", T.LongType()), T.StructField("gram", T.LongType())])
+    dense_schema = T.StructType([id_field, *(T.StructField(n, T.LongType()) for n in ("word", "start", "end", "k1", "k2"))])
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("_km_text"))
+            for low, high in groups(offsets):
+                w = Words(data, offsets, low, high, SOLID)
+                at, codes = _sampled(w, words, gram)
+                ids = batch.column("_km_id").take(pa.array(w.doc[at] + low, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at - w.first[w.doc[at]], pa.int64()), pa.array(codes[at].view(np.int64))], sampled_schema.names)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("_km_text"))
+            places = batch.column("places").to_pylist()
+            for low, high in groups(offsets):
+                w = Words(data, offsets, low, high, SOLID)
+                near = np.zeros(len(w.codes) + 1, np.int64)
+                for d in range(low, high):
+                    first, end = w.first[d - low], w.first[d - low + 1]
+                    p = np.array(places[d], np.int64) + first
+                    np.add.at(near, np.maximum(first, p - (words - gram)), 1)
+                    np.add.at(near, np.minimum(end, p + 1), -1)
+                at = np.flatnonzero((np.cumsum(near)[: len(w.codes)] > 0)[: len(w.within(words))] & w.within(words))
+                # Two codes of independent words make 128 bits.
+                k1 = w.grams(words)[at]
+                w.codes = mix(w.codes ^ _SALT)
+                k2 = w.grams(words)[at]
+                chars = np.concatenate([[0], np.cumsum((w.text & 0xC0) != 0x80)])
+                base = chars[offsets[low : high] - offsets[low]][w.doc[at]]
+                ids = batch.column("_km_id").take(pa.array(w.doc[at] + low, pa.int64()))
+                numbers = (at - w.first[w.doc[at]], chars[w.starts[at]] - base, chars[w.ends[at + words - 1]] - base, k1.view(np.int64), k2.view(np.int64))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in numbers)], dense_schema.names)
+
+    sampled = stored(rows.mapInArrow(sample, sampled_schema), "grams")
+    again = sampled.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    places = sampled.join(again, "gram").groupBy(F.col("_km_id").alias("_km_doc")).agg(F.collect_set("p").alias("places"))
+    found = rows.join(places, F.col("_km_id").eqNullSafe(F.col("_km_doc"))).select("_km_id", "_km_text", "places").mapInArrow(dense, dense_schema)
+    rank = F.struct(F.col("_km_id").isNull().alias("last"), F.col("_km_id").alias("id"), F.col("word").alias("word"))
+    # One shuffle of all windows, instead of one to group and one to join.
+    found = found.withColumn("f", F.min(rank).over(Window.partitionBy("k1", "k2"))).drop("k1", "k2").withColumns({"_km_first": F.col("f.id"), "first_word": F.col("f.word")}).drop("f")
+    later = found.filter(~(F.col("_km_id").eqNullSafe(F.col("_km_first")) & (F.col("word") == F.col("first_word"))))
+    run = ["_km_id", "_km_first", (F.col("word") - F.col("first_word")).alias("shift")]
+    later = later.select(*run, "word", "start", "end", "first_word").withColumn("run", F.col("word") - F.dense_rank().over(Window.partitionBy("_km_id", "_km_first", "shift").orderBy("word")))
+    out = later.groupBy("_km_id", "_km_first", "shift", "run").agg(F.min("word").alias("word"), (F.max("word") - F.min("word") + words).alias("n_words"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("first_word"))
+    return out.select(F.col("_km_id").alias(id_col), "word", "n_words", "start", "end", F.col("_km_first").alias(f"first_{id_col}"), "first_word")
+
+
+def remove_passages(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", words: int = PASSAGE) -> DataFrame:
+    """docs with the repeated passages cut out of their texts, same columns. Run remove_repeats as well for lines of fewer words."""
+    gone = passages(docs, id_col=id_col, text=text, words=words)
+    spans = gone.groupBy(F.col(id_col).alias("_km_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_km_spans"))
+    body = F.col(f"`{text}`")
+    piece = lambda a, r: F.struct(F.concat(a["out"], F.substring(body, (a["at"] + 1).cast("int"), F.greatest(F.lit(0), r["start"] - a["at"]).cast("int"))).alias("out"), F.greatest(a["at"], r["end"]).alias("at"))
+    done = F.aggregate("_km_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), piece, lambda a: F.concat(a["out"], F.substring(body, (a["at"] + 1).cast("int"), F.length(body))))
+    joined = docs.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("_km_id")), "left")
+    return joined.withColumn(text, F.when(F.col("_km_spans").isNull(), body).otherwise(done)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 

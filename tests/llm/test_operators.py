@@ -308,6 +308,43 @@ def test_substring_dedup(spark, docs, none):
     assert {r.doc_id for r in substring.repeats(docs, min_words=5).collect()} == {7}
 
 
+def brute_passages(rows, n=50):
+    """(id, word) of all words in n consecutive ones that stand earlier in the order of (id, word)."""
+    first, hit = {}, set()
+    for i, t in sorted(rows):
+        w = simple_words(t)
+        for j in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[j : j + n]), (i, j)) != (i, j):
+                hit |= {(i, j + x) for x in range(n)}
+    return hit
+
+
+def test_passages_in_short_and_inside_long_lines(spark, docs, none):
+    p = [f"é{i}" if i % 5 == 0 else f"p{i}" for i in range(53)]
+    own = lambda k, n: [f"own{k}-{i}" for i in range(n)]
+    short, at = [], 0
+    for n in (4, 7, 5, 17, 14, 6):
+        short.append(" ".join(p[at : at + n]))
+        at += n
+    rows = [
+        (1, "\n".join(["aé " + " ".join(own(1, 9)), *short, "end"])), (2, "\n".join(["other", *short, " ".join(own(2, 30))])), (3, " ".join([*own(3, 60), *p, *own(4, 60)]).upper().replace("É", "é")),
+        (4, " ".join([*own(5, 3), *p[:49], "no"])), (5, "x y z\n" * 60), (6, None), (7, ""), (8, "\n\n".join(short)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring.repeats(df).isEmpty()
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for given, frame in ((rows, df), (real, spark.read.parquet(f"{SF}/documents.parquet"))):
+        texts, got = dict(given), set()
+        for r in substring.passages(frame).collect():
+            got |= {(r.doc_id, r.word + x) for x in range(r.n_words)}
+            kept = simple_words(texts[r.first_doc_id])[r.first_word : r.first_word + r.n_words]
+            assert (r.first_doc_id, r.first_word) < (r.doc_id, r.word) and simple_words(texts[r.doc_id][r.start : r.end]) == kept
+        assert got == brute_passages(given)
+    left = {r.doc_id: r.text for r in substring.remove_passages(df).collect()}
+    assert left[1] == rows[0][1] and left[2].split() == ["other", *own(2, 30)] and left[3].lower().split() == [*own(3, 60), *own(4, 60)] and left[4] == rows[3][1] and left[8] == "" and left[6] is None
+    assert substring.passages(none).isEmpty() and substring.remove_passages(docs).columns == docs.columns and substring.remove_passages(docs).count() == len(ROWS)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
