@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LSH_ROWS = 3
+#: Query vectors are broadcast up to this number (8 bytes a dimension each).
+BROADCAST_QUERIES = 20_000
 
 
 def with_unit(df: DataFrame, vector: str, name: str) -> DataFrame:
@@ -28,23 +30,36 @@ def dense_top_k(queries: DataFrame, pool: DataFrame, *, k: int, group: str = "co
     return scored.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
 
 
-def dense_fetch_filter(queries: DataFrame, pool: DataFrame, *, k: int, fetch: int = 3, group: str = "country_norm", planes: int = 4, tables: int = 12, seed: int = 42, dims: int | None = None) -> DataFrame:
-    """Approximate: candidates share a bucket of signs on seeded hyperplanes in one table at least, of any group; the fetch * k
-    nearest are taken and only then those of other groups left out, so that fewer than k may remain."""
+def dense_probe(queries: DataFrame, pool: DataFrame, *, k: int, group: str = "country_norm", planes: int = 4, tables: int = 12, seed: int = 42, dims: int | None = None) -> DataFrame:
+    """Approximate: candidates of the query's group whose signs on seeded hyperplanes differ from the query's in one at most, in one
+    table at least; of these the k nearest. Fewer than k remain only where fewer were found. Ids are distinct on each side."""
+    if planes * tables > 62:
+        raise ValueError("the signs of all tables share one 64-bit number")
     dims = dims or pool.select(F.size("embedding").alias("n")).first()["n"]
     direction = lambda t, p, i: F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.lit(p), i), F.lit(2001)) - 1000
+    mask = (1 << planes) - 1
 
     def keyed(df: DataFrame, id_name: str, vec: str) -> DataFrame:
-        u = with_unit(df, "embedding", vec).select(F.col("entity_id").alias(id_name), F.col(group).alias(f"{id_name}_g"), vec)
-        bits = lambda t: F.concat(*(F.when(F.aggregate(F.zip_with(vec, F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: direction(t, p, i)), lambda x, d: x * d), F.lit(0.0), lambda s, x: s + x) > 0, "1").otherwise("0") for p in range(planes)))
-        return u.withColumn("bucket", F.explode(F.array(*(F.concat(F.lit(f"{t}:"), bits(t)) for t in range(tables)))))
-
+        """id, group, and the signs of all tables, without the vector."""
+        u = with_unit(df, "embedding", vec)
+        bit = lambda n: F.when(F.aggregate(F.zip_with(vec, F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: direction(n // planes, n % planes, i)), lambda x, d: x * d), F.lit(0.0), lambda s, x: s + x) > 0, F.lit(1 << n).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        signs = sum((bit(n) for n in range(1, planes * tables)), bit(0))
+        u = u.select(F.col("entity_id").alias(id_name), group, signs.alias(f"{vec}_signs")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
+        return u.withColumn("code", F.expr(f"int(shiftright({vec}_signs, t * {planes}) & {mask})"))
+
+    # The query's own bucket and those across one plane.
+    probes = keyed(queries, "s1_id", "u").withColumn("code", F.explode(F.array("code", *(F.col("code").bitwiseXOR(F.lit(1 << p)) for p in range(planes)))))
+    met = probes.join(keyed(pool, "cand_id", "v"), [group, "t", "code"])
+    # Only the first table in which two meet brings them together, so that no pair comes twice.
+    for n in range(tables - 1):
+        met = met.filter(F.expr(f"t <= {n} OR bit_count(shiftright(u_signs ^ v_signs, {n * planes}) & {mask}) > 1"))
+    pairs = met.select("s1_id", "cand_id")
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    left, right = with_unit(queries, "embedding", "u").select(F.col("entity_id").alias("s1_id"), "u"), with_unit(pool, "embedding", "v").select(F.col("entity_id").alias("cand_id"), "v")
     dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = keyed(queries, "s1_id", "u").join(keyed(pool, "cand_id", "v"), "bucket").dropDuplicates(["s1_id", "cand_id"])
-    scored = pairs.select("s1_id", "cand_id", "s1_id_g", "cand_id_g", F.round(dot, 5).alias("score"))
+    scored = pairs.join(right, "cand_id").join(F.broadcast(left) if few else left, "s1_id").select("s1_id", "cand_id", F.round(dot, 5).alias("score"))
     place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id"))
-    near = scored.withColumn("_r", place).filter(F.col("_r") <= fetch * k).filter("s1_id_g = cand_id_g").drop("_r")
-    return near.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k).select("s1_id", "cand_id", "score", "rank")
+    return scored.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def shingles(text: Column, n: int = 3) -> Column:

@@ -303,7 +303,7 @@ def dense_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dense_topk_lsh")
 def dense_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.dense_fetch_filter(*_vectors(spark, sf_dir), k=10)
+    return neighbours.dense_probe(*_vectors(spark, sf_dir), k=10)
 
 
 @query("minhash_pairs")

@@ -37,6 +37,13 @@ def test_lsh_finds_what_exact_retrieval_finds(spark):
     assert best.join(near, ["s1_id", "cand_id"], "left_anti").count() == 0
 
 
+def test_lsh_recall(spark):
+    exact = plans.QUERIES["dense_topk_exact"](spark, SF).select("s1_id", "cand_id").cache()
+    near = plans.QUERIES["dense_topk_lsh"](spark, SF)
+    assert exact.join(near, ["s1_id", "cand_id"], "left_semi").count() >= 0.9 * exact.count() > 0
+    assert near.groupBy("s1_id").count().filter("count > 10").isEmpty() and near.dropDuplicates(["s1_id", "cand_id"]).count() == near.count()
+
+
 def test_partitioning_does_not_matter(spark):
     a = plans.QUERIES["tfidf_char_topk"](spark, SF).collect()
     spark.conf.set("spark.sql.shuffle.partitions", "7")
