@@ -3,7 +3,7 @@
 Every document has the set of its word shingles' hashes; its sketch is the K smallest of them. Documents with equal
 sets form a class, and only one of each goes on. Inverted lists of the values kept in sketches bring documents
 together: of each sketch only the rarest values are listed, as many as are needed for two sketches that overlap as two
-linked documents' do to have one in common (all but a chance of about 1e-7; sets that fit a sketch: for certain). Common passages are
+linked documents' do to have one in common (all but a chance of less than 1e-6; sets that fit a sketch: for certain). Common passages are
 in no list, then, unless nearly all of a document is common.
 
 A list is led by its most connected document, and the lists with the same leader are one group. Groups are dealt into blocks of
@@ -16,6 +16,8 @@ task are links that join something, fewer than it has documents, never the pairs
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ SHINGLE = 5
 K = 64
 #: Two documents are linked if 100 * intersection >= percent * union: the default of the stage that keeps one of each, and op9's.
 PERCENT, OP9_PERCENT = 80, 85
+#: Chance at most that a sketch's overlap, or its estimate, keeps a pair at exactly the threshold from the check of its sets.
+MISSED = 1e-9
 #: Documents and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: Documents to compare are broadcast up to this number of (task, document) rows (40 bytes each); beyond it texts are shuffled by id.
@@ -110,6 +114,17 @@ def listed_share(percent: int) -> float:
     return round(p - 5.6 * (p * (1 - p) / K) ** 0.5, 2)
 
 
+@cache
+def checked_share(percent: int) -> float:
+    """Pairs whose sketches overlap in less than this share of the smaller one, or that are less similar by estimate, go without a check of
+    their sets. Both numbers are binomial at worst (one set in the other), and fall below it with a chance of MISSED at most."""
+    p, below, n = percent / 100, 0.0, 0
+    while below + comb(K, n) * p**n * (1 - p) ** (K - n) <= MISSED:
+        below += comb(K, n) * p**n * (1 - p) ** (K - n)
+        n += 1
+    return n / K
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -138,20 +153,16 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], side: np.ndarray, acr
     size = np.array([len(s) for s in sets], np.float64)
     small, large = np.minimum.outer(size, size), np.maximum.outer(size, size)
     m = np.minimum(small, K)
-    # Mean share of common values for the least similarity, from the sizes, and 5.5 standard deviations of a sample.
-    mean = np.minimum(1.0, percent / (100 + percent) * (1 + small / large))
-    least = m * mean - 5.5 * np.sqrt(m * mean * (1 - mean))
-    maybe = (overlaps(held) >= np.maximum(1, least)) & (100 * small >= percent * large)
+    maybe = (overlaps(held) >= np.maximum(1, m * checked_share(percent))) & (100 * small >= percent * large)
     maybe = np.triu(maybe, 1)
     if across:
         maybe &= side[:, None] != side[None, :]
     left, right = np.nonzero(maybe)
     forest, out = Forest(len(ids)), []
-    variance = percent / 100 * (1 - percent / 100)
     for a, b in zip(left.tolist(), right.tolist(), strict=True):
         if ids[a] == ids[b] or forest.find(a) == forest.find(b):
             continue
-        if estimate(held[a], held[b]) * 100 >= percent - 550 * (variance / max(1, min(len(held[a]), len(held[b])))) ** 0.5 and linked(sets[a], sets[b], percent):
+        if estimate(held[a], held[b]) >= checked_share(percent) and linked(sets[a], sets[b], percent):
             forest.join(a, b)
             out.append((ids[a], ids[b]))
     return out

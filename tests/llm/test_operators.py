@@ -273,6 +273,17 @@ def test_stage_links_at_80_percent(spark):
     assert at_85 - kept == {31, 41, 51, 61}
 
 
+def test_unlikely_sketches_are_checked():
+    """Two sets at exactly 85 percent whose sketches have 46 values of 64 in common, which the normal tail took for impossible."""
+    values = np.arange(400, dtype=np.uint64)
+    a_only, b_only, both = [*range(18), *range(368, 380)], [*range(18, 28), *range(380, 400)], [*range(28, 368)]
+    a, b = (np.sort(values[[*own, *both]]) for own in (a_only, b_only))
+    assert len(np.intersect1d(a, b)) * 100 == 85 * len(np.union1d(a, b)) and len(np.intersect1d(a[:64], b[:64])) == 46
+    assert neardup.spanning_links([1, 2], [a, b], np.zeros(2, int), False, 85) == [(1, 2)]
+    assert neardup.spanning_links([1, 2], [a, b], np.zeros(2, int), False, 86) == []
+    assert 64 * neardup.checked_share(85) == 34
+
+
 def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     """A group whose members drift away from its leader, over many blocks: open documents meet all others."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
