@@ -9,7 +9,8 @@ bundles whose ends the words themselves decide, so that copies have the same one
 place as their least gram of GRAM words make a bundle. Bundles are grouped by that gram. A bundle that stands
 earlier as a whole goes as a whole; only of the first of its kind, and where its gram has bundles of other kinds, are paragraphs digested one by one.
 
-Each removal keeps its place in the original text. Codes of grams, bundles and paragraphs are 64 bits each, and two of them together tell a
+No step broadcasts; every join is by shuffle on a key whose other side is grouped and written before, so that Spark can split a key that very
+many documents hold. Each removal keeps its place in the original text. Codes of grams, bundles and paragraphs are 64 bits each, and two of them together tell a
 bundle or a paragraph.
 """
 
@@ -30,8 +31,6 @@ from kinmesh.llm.common import cut, stored, table
 MIN_WORDS = 20
 #: Words of a paragraph, and of the grams whose least one stands for it.
 PASSAGE, GRAM = 50, 25
-#: Repeated digests or grams up to this number are broadcast (about 60 bytes each); beyond it both sides are shuffled.
-BROADCAST_DIGESTS = 1_000_000
 
 _LINE = T.StructType([*(T.StructField(n, T.LongType()) for n in ("unit", "start", "end", "n_words")), T.StructField("digest", T.BinaryType())])
 #: Of a bundle: gram, code of all its paragraphs, first word, number of paragraphs, and its characters.
@@ -114,20 +113,12 @@ def _read(docs: DataFrame, id_col: str, text: str, *, min_words: int | None = No
     return stored(rows.mapInArrow(run, schema), "units")
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if _few(df) else df.hint("merge")
-
-
 def _later_lines(read: DataFrame) -> DataFrame:
     """Key, the columns of a line, and first, the place of the occurrence that stays."""
     found = read.select(*_KEY, F.explode("lines").alias("u")).select(*_KEY, "u.*")
     # Cut before they are joined: only then can Spark split a digest that very many documents hold.
     first = cut(found.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(_rank("unit")).alias("first")).filter("c > 1").drop("c"))
-    return found.join(_small(first), "digest").filter(_rank("unit") > F.col("first")).drop("digest")
+    return found.join(first.hint("merge"), "digest").filter(_rank("unit") > F.col("first")).drop("digest")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -213,18 +204,14 @@ def _later_passages(docs: DataFrame, read: DataFrame, id_col: str, text: str, wo
     """Runs of words that stand earlier: key, word, n_words, start, end, first. They overlap; together they hold every such paragraph."""
     bundles = read.select(*_KEY, F.explode("bundles").alias("b")).select(*_KEY, "b.*")
     kinds = bundles.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), (F.min("code") < F.max("code")).alias("several")).filter("c > 1").drop("c")
-    kinds = cut(kinds)
-    few = _few(kinds)
-    again = bundles.join(F.broadcast(kinds) if few else kinds.hint("merge"), "gram")
-    again = again if few else stored(again, "bundles")
+    again = stored(bundles.join(cut(kinds).hint("merge"), "gram"), "bundles")
     first = cut(again.groupBy("gram", "code").agg(F.count(F.lit(1)).alias("c"), F.min(_rank("word")).alias("first")).filter("c > 1").drop("c"))
     judged = again.join(first.hint("merge"), ["gram", "code"], "left").withColumn("later", F.coalesce(_rank("word") > F.col("first"), F.lit(False)))
     judged = stored(judged.filter("later OR several").drop("code", "several"), "judged")
     spans = judged.filter("NOT later").groupBy(*_KEY).agg(F.collect_list(F.struct("gram", "word", "n")).alias("spans"))
     spans = spans.select(F.col("_km_id").alias("_km_of"), F.col("_km_x").alias("_km_y"), "spans")
     rows = _rows(docs, id_col, text)
-    spans = F.broadcast(spans) if _few(judged.filter("NOT later")) else spans.hint("merge")
-    single = stored(_single(rows.join(spans, _same_document(rows, spans)).select(*_KEY, "_km_text", "spans"), words), "paragraphs")
+    single = stored(_single(rows.join(spans.hint("merge"), _same_document(rows, spans)).select(*_KEY, "_km_text", "spans"), words), "paragraphs")
     stays = cut(single.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("c"), F.min(_rank("word")).alias("first")).filter("c > 1").drop("c"))
     alone = single.join(stays.hint("merge"), ["gram", "k"]).filter(_rank("word") > F.col("first"))
     columns = lambda n: [*_KEY, F.col("word").cast("bigint").alias("word"), n.cast("bigint").alias("n_words"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "first"]
