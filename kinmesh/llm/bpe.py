@@ -1,8 +1,8 @@
 """Byte-level BPE: a vectorised pre-tokeniser, exact prefix counts by dynamic programming, and cached encoding.
 
 The library splits a text into pieces and encodes each by itself, so whatever is known of a piece holds wherever it stands. Pieces are
-found for a whole batch with numpy. The class of each character is asked from the library when a worker starts. Texts
-with characters outside the table, or with an added token inside, go to the library whole.
+found and looked up for many texts at a time with numpy, from their bytes. The class of each character is asked from the library
+when it first comes up. Texts with an added token inside go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,74 +13,208 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-LETTER, NUMBER, OTHER, SPACE, UNSAFE, END = 1, 2, 3, 0, 4, 5
-#: Characters in the table: Latin and general punctuation.
-KNOWN = (*range(0x250), *range(0x2000, 0x2070))
-#: Stands between texts; texts that hold it are outside the table.
-SEPARATOR = "\ue000"
-GROUP_CHARS = 1 << 20
-#: Pieces a worker remembers; beyond that it starts anew, so that memory stays bounded.
-CACHE = 400_000
-#: The same for ids, which cost more to find again; about 150 bytes each.
-ENCODER_CACHE = 800_000
+from kinmesh.llm.bytesvec import groups, text_bytes
+
+LETTER, NUMBER, OTHER, SPACE, END, UNKNOWN = 1, 2, 3, 0, 5, 255
+GROUP_BYTES = 1 << 20
+#: Pieces a worker remembers; beyond that it starts anew, so that memory stays bounded. About 60 bytes each.
+CACHE = 1_000_000
+#: Bytes that a piece's code holds exactly; longer pieces are looked up one by one.
+EXACT = 16
+#: Texts with every rule of the pattern, on which a worker compares its pieces with the library's before it starts.
+PROBES = ("It's we'll  two\n\n 12ab 'tis\t\t x!? ''s they've", " \u00a0\u2003x\u00e9\u4e2d 7\u00b2 \u0301a", "")
 
 
 class Splitter:
+    """Pieces by the pattern of byte-level vocabularies; refuses a tokenizer that splits otherwise."""
+
     def __init__(self, tokenizer) -> None:
-        whole = lambda text: len(tokenizer.pre_tokenizer.pre_tokenize_str(text)) == 1
-        table = np.full(0x2072, UNSAFE, np.uint8)
-        for cp in KNOWN:
-            ch = chr(cp)
-            table[cp] = LETTER if whole("a" + ch) else NUMBER if whole("1" + ch) else OTHER if whole("!" + ch) else SPACE
-        self.table = table
+        self.pre = tokenizer.pre_tokenizer
+        self.table = np.full(0x110000, UNKNOWN, np.uint8)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self._ask(np.arange(128))
+        for probe in PROBES:
+            data, offsets = text_bytes(pa.array([probe]))
+            starts, ends, _ = self.split(data, offsets, 0, 1)
+            raw = probe.encode()
+            mine = [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+            if tokenizer.normalizer is not None or mine != [probe[i:j] for _, (i, j) in (self.pre.pre_tokenize_str(probe) if probe else [])]:
+                raise ValueError("this tokenizer doesn't split texts as byte-level vocabularies do")
+
+    def _ask(self, characters: np.ndarray) -> None:
+        whole = lambda text: len(self.pre.pre_tokenize_str(text)) == 1
+        for cp in characters.tolist():
+            ch = chr(cp)
+            self.table[cp] = LETTER if whole("a" + ch) else NUMBER if whole("1" + ch) else OTHER if whole("!" + ch) else SPACE
+
+    def classes(self, characters: np.ndarray) -> np.ndarray:
+        kind = self.table[characters]
+        if (unknown := kind == UNKNOWN).any():
+            self._ask(np.unique(characters[unknown]))
+            kind = self.table[characters]
+        return kind
 
     def is_white(self, text: str) -> bool:
-        return all(self.table[min(ord(c), 0x2071)] == SPACE for c in text)
-
-    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, set[int]]:
-        """Pieces of all texts in one list, where the pieces of each text start (and the end), and texts to be left to the library."""
-        big = SEPARATOR.join(texts) + SEPARATOR
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        seps = np.cumsum(sizes + 1) - 1
-        cps = np.frombuffer(big.encode("utf-32-le"), np.uint32)
-        kind = self.table[np.minimum(cps, 0x2071)]
-        kind[seps] = END
-        hard = set(np.searchsorted(seps, np.flatnonzero(kind == UNSAFE)).tolist())
-        for content in self.added:
-            at = big.find(content)
-            while at >= 0:
-                hard.add(int(np.searchsorted(seps, at)))
-                at = big.find(content, at + 1)
-        n = len(kind)
+        return bool((self.classes(np.frombuffer(text.encode("utf-32-le"), np.uint32)) == SPACE).all())
+
+    def split(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of texts low..high, in bytes from the first text's start, and where the pieces of each text begin (and the end)."""
+        b = data[offsets[low] : offsets[high]]
+        at, n = offsets[low : high + 1] - offsets[low], len(b)
+        if not n:
+            self.kind = np.empty(0, np.uint8)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(high - low + 1, np.int64)
+        kind = self.table[b]
+        wide: list[tuple[np.ndarray, int]] = []
+        leads = np.flatnonzero(b >= 0xC0)
+        if len(leads):
+            lead = b[leads]
+            for size, part in ((2, lead < 0xE0), (3, (lead >= 0xE0) & (lead < 0xF0)), (4, lead >= 0xF0)):
+                where = leads[part]
+                if len(where):
+                    cp = (b[where] & (0xFF >> (size + 1))).astype(np.int64)
+                    for k in range(1, size):
+                        cp = cp << 6 | (b[where + k] & 0x3F)
+                    found = self.classes(cp)
+                    for k in range(size):
+                        kind[where + k] = found
+                    wide.append((where[found == SPACE], size))
+        edge = np.unique(at[:-1][at[:-1] < n])
+        last = np.append(edge[1:], n) - 1
         before = np.empty(n, np.uint8)
-        before[0], before[1:] = END, kind[:-1]
+        before[1:] = kind[:-1]
+        before[edge] = END
         after = np.empty(n, np.uint8)
-        after[-1], after[:-1] = END, kind[1:]
-        blank = cps == 32
-        blank[seps] = False
+        after[:-1] = kind[1:]
+        after[last] = END
         blank_before = np.zeros(n, bool)
-        blank_before[1:] = blank[:-1]
+        blank_before[1:] = b[:-1] == 32
+        blank_before[edge] = False
         white = kind == SPACE
         # A change of class starts a piece, unless one blank stands before it and goes with it. Of a run of
         # white space that text follows, the last character stands apart.
-        start = (kind != before) & ~(blank_before & ~white & (kind != END))
+        start = (kind != before) & ~(blank_before & ~white)
         start |= white & (before == SPACE) & (after != SPACE) & (after != END)
-        start[seps] = True
-        quote = np.flatnonzero((cps == 39) & start)
+        for where, size in wide:
+            tail = where + size - 1
+            start[where] |= start[tail]
+            start[tail] = False
+        quote = np.flatnonzero((b == 39) & start)
         if len(quote):
-            padded = np.concatenate([cps, np.zeros(3, np.uint32)])
-            one, two = padded[quote + 1], padded[quote + 2]
-            short = np.isin(one, [ord(c) for c in "stmd"])
-            long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-            for at, size in ((quote[short], 2), (quote[long], 3)):
-                start[at + 1] = False
-                start[at + size] = True
-        bounds = np.flatnonzero(start)
-        ends = np.append(bounds[1:], n)
-        pieces = [big[a:b] for a, b in zip(bounds.tolist(), ends.tolist())]  # noqa: B905
-        firsts = np.searchsorted(bounds, np.concatenate([[0], seps[:-1] + 1]))
-        return pieces, np.append(firsts, len(pieces)), hard
+            room = last[np.searchsorted(edge, quote, "right") - 1] - quote
+            one, two = b[np.minimum(quote + 1, n - 1)], b[np.minimum(quote + 2, n - 1)]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & (room >= 1)
+            long = (((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))) & (room >= 2)
+            for q, size in ((quote[short], 2), (quote[long], 3)):
+                start[q + 1] = False
+                start[(q + size)[q + size < n]] = True
+        starts = np.flatnonzero(start)
+        self.kind = kind
+        return starts, np.append(starts[1:], n), np.searchsorted(starts, at)
+
+    def white_at(self, places: np.ndarray) -> np.ndarray:
+        """Whether the bytes at places, of the texts split last, are white space."""
+        return self.kind[places] == SPACE
+
+    def with_added(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> set[int]:
+        """Numbers (from low) of the texts that hold an added token's string."""
+        hard: set[int] = set()
+        for content in self.added:
+            raw, want = data[offsets[low] : offsets[high]].tobytes(), content.encode()
+            at = raw.find(want)
+            while at >= 0:
+                d = int(np.searchsorted(offsets[low : high + 1] - offsets[low], at, "right")) - 1
+                if at + len(want) <= offsets[low + d + 1] - offsets[low]:
+                    hard.add(d)
+                at = raw.find(want, at + 1)
+        return hard
+
+
+class Memory:
+    """Numbers of pieces, from 0, by their bytes: those of up to EXACT bytes in an open-addressed table of exact codes, longer ones in a dict."""
+
+    def __init__(self) -> None:
+        self.bits = (4 * CACHE - 1).bit_length() - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = 0
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.codes = np.zeros((CACHE, 2), np.uint64)
+        self.sizes = np.zeros(CACHE, np.uint8)
+        self.long: dict[bytes, int] = {}
+
+    @staticmethod
+    def coded(b: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.concatenate([b, np.zeros(EXACT + 8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+        full = np.uint64(0xFFFFFFFFFFFFFFFF)
+        masks = np.array([0, *(full >> np.uint64(64 - 8 * k) for k in range(1, 9))], np.uint64)
+        return eight[starts] & masks[np.minimum(sizes, 8)], np.where(sizes > 8, eight[np.minimum(starts + 8, len(eight) - 1)], np.uint64(0)) & masks[np.clip(sizes - 8, 0, 8)]
+
+    @staticmethod
+    def _mixed(k1: np.ndarray, k2: np.ndarray, size: np.ndarray) -> np.ndarray:
+        x = (k1 ^ (k2 * np.uint64(0xD6E8FEB86659FD93)) ^ (size.astype(np.uint64) << np.uint64(57))) * np.uint64(0x9E3779B97F4A7C15)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def _home(self, *key: np.ndarray) -> np.ndarray:
+        return (self._mixed(*key) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def numbers(self, k1: np.ndarray, k2: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Number of each short piece; -1 of one not remembered."""
+        at = self._home(k1, k2, size)
+        found = self.slots[at]
+        same = (self.codes[found, 0] == k1) & (self.codes[found, 1] == k2) & (self.sizes[found] == size)
+        open_ = np.flatnonzero((found >= 0) & ~same)
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+            got = self.slots[at[open_]]
+            found[open_] = got
+            same = (self.codes[got, 0] == k1[open_]) & (self.codes[got, 1] == k2[open_]) & (self.sizes[got] == size[open_])
+            open_ = open_[(got >= 0) & ~same]
+        return found
+
+    def add(self, k1: np.ndarray, k2: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of short pieces that are distinct and not remembered."""
+        number = np.arange(self.n, self.n + len(k1), dtype=np.int32)
+        self.n += len(k1)
+        self.codes[number, 0], self.codes[number, 1], self.sizes[number] = k1, k2, size
+        at, open_ = self._home(k1, k2, size), np.arange(len(k1))
+        while len(open_):
+            free = self.slots[at[open_]] < 0
+            self.slots[at[open_[free]]] = number[open_[free]]
+            open_ = open_[self.slots[at[open_]] != number[open_]]
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+        return number
+
+    def look(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn: Callable[[np.ndarray, list[bytes], np.ndarray], None]) -> np.ndarray:
+        """Numbers of all pieces; learn is told places, bytes and numbers of those that are new. Starts anew when full."""
+        size = ends - starts
+        long = np.flatnonzero(size > EXACT)
+        k1, k2 = self.coded(b, starts, np.minimum(size, EXACT))
+        narrow = np.minimum(size, EXACT + 1).astype(np.uint8)
+        out = self.numbers(k1, k2, narrow)
+        tall = _pieces(b, starts[long], ends[long])
+        new = {p: i for p, i in zip(tall, long.tolist(), strict=True) if p not in self.long}
+        missing = np.flatnonzero((out < 0) & (size <= EXACT))
+        while len(missing) or new:
+            # Different pieces with the same code are left for another round.
+            fresh = missing[np.unique(self._mixed(k1[missing], k2[missing], narrow[missing]), return_index=True)[1]]
+            if self.n + len(fresh) + len(new) > CACHE:
+                if not self.n:
+                    raise ValueError("more distinct pieces in one group of texts than a worker may remember")
+                self.clear()
+                return self.look(b, starts, ends, learn)
+            numbers = np.concatenate([self.add(k1[fresh], k2[fresh], narrow[fresh]), np.arange(self.n, self.n + len(new), dtype=np.int32)])
+            self.n = int(numbers[-1]) + 1
+            self.long.update(zip(new, numbers[len(fresh) :].tolist(), strict=True))
+            at = np.concatenate([fresh, np.fromiter(new.values(), np.int64, len(new))])
+            learn(at, _pieces(b, starts[at], ends[at]), numbers)
+            out[missing] = self.numbers(k1[missing], k2[missing], narrow[missing])
+            missing, new = missing[out[missing] < 0], {}
+        if len(long):
+            out[long] = [self.long[p] for p in tall]
+        return out
 
 
 class PrefixCounter:
@@ -183,19 +317,18 @@ def once(kind: str, path: str, make: Callable[[str], object]):
     return _made[kind, path]
 
 
-def text_groups(column: pa.Array) -> Iterator[list[str]]:
-    """Texts of a column, null as empty, in groups of about GROUP_CHARS."""
-    group, size = [], 0
-    for i in range(0, len(column), 64):
-        for text in column.slice(i, 64).to_pylist():
-            text = text or ""
-            if group and size + len(text) > GROUP_CHARS:
-                yield group
-                group, size = [], 0
-            group.append(text)
-            size += len(text)
-    if group:
-        yield group
+def text_groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about GROUP_BYTES; a text beyond that is cut by nobody and stands alone."""
+    return groups(offsets, GROUP_BYTES)
+
+
+def _column(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return text_bytes(pa.array(texts, pa.string()))
+
+
+def _pieces(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = b.tobytes() if len(starts) else b""
+    return [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 class Counter:
@@ -205,71 +338,88 @@ class Counter:
         self.tokenizer = load(path)
         self.splitter = Splitter(self.tokenizer)
         self.dp = prefix_counter(path)
-        self.known: dict[str, int] = {SEPARATOR: 0}
+        self.memory, self.counts = Memory(), np.zeros(CACHE, np.int32)
 
-    def learn(self, pieces: list[str]) -> None:
-        fresh = set(pieces).difference(self.known)
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {SEPARATOR: 0}
-            fresh = set(pieces).difference(self.known)
-        prefixes, known = self.dp.prefixes, self.known
-        for raw, piece in sorted((p.encode(), p) for p in fresh):
-            known[piece] = prefixes(raw)[-1]
+    def _learn(self, at: np.ndarray, pieces: list[bytes], numbers: np.ndarray) -> None:
+        prefixes = self.dp.prefixes
+        for piece, number in sorted(zip(pieces, numbers.tolist(), strict=True)):
+            self.counts[number] = prefixes(piece)[-1]
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def totals(self, texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and the number of leading characters up to the last piece's end where at most limit tokens are used."""
-        pieces, firsts, hard = self.splitter.split(texts)
-        self.learn(pieces)
-        counts = np.array(list(map(self.known.__getitem__, pieces)), np.int64)
-        running = np.concatenate([[0], np.cumsum(counts)])
+        return self.totals_of(*_column(texts), 0, len(texts), limit)
+
+    def totals_of(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text low..high, and the largest number of its leading characters that take at most limit tokens."""
+        b, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        starts, ends, firsts = self.splitter.split(data, offsets, low, high)
+        running = np.concatenate([[0], np.cumsum(self.counts[self.memory.look(b, starts, ends, self._learn)], dtype=np.int64)])
         total = running[firsts[1:]] - running[firsts[:-1]]
-        fits = np.fromiter(map(len, texts), np.int64, len(texts))
+        chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+        fits = chars[at[1:]] - chars[at[:-1]]
+        hard = self.splitter.with_added(data, offsets, low, high)
         for d in np.flatnonzero(total > limit).tolist():
-            a, b = int(firsts[d]), int(firsts[d + 1]) - 1
-            last = a + int(np.searchsorted(running[a + 1 : b + 1] - running[a], limit, "right"))
-            # A text that ended after the last, single character of a run of white space would be split in another way.
-            while last > a and self.splitter.is_white(pieces[last - 1]):
-                last -= 1
-            fits[d] = sum(map(len, pieces[a:last]))
+            if d not in hard:
+                first, stop = int(firsts[d]), int(firsts[d + 1])
+                over = first + int(np.searchsorted(running[first + 1 : stop + 1] - running[first], limit, "right"))
+                # Counts inside the piece that passes the limit, from the last piece before it that isn't white space.
+                near = max(first, over - 1)
+                while near > first and self.splitter.is_white(b[starts[near] : ends[near]].tobytes().decode()):
+                    near -= 1
+                local = self.prefix_counts(b[starts[near] : ends[over]].tobytes().decode())
+                most = max(i for i, n in enumerate(local) if n + running[near] - running[first] <= limit)
+                fits[d] = chars[starts[near]] - chars[at[d]] + most
         for d in hard:
-            total[d] = self.whole(texts[d])
-            if total[d] > limit:
-                fits[d] = self._cut(texts[d], limit)
+            counts = self.prefix_counts(b[at[d] : at[d + 1]].tobytes().decode())
+            total[d], fits[d] = counts[-1], max(i for i, n in enumerate(counts) if n <= limit)
         return total, fits
 
-    def _cut(self, text: str, limit: int) -> int:
-        at = self.tokenizer.encode(text, add_special_tokens=False).offsets[limit][0]
-        while self.whole(text[:at]) > limit:
-            at -= 1
-        return at
-
     def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of text[:0], text[:1], ... exactly as the library gives them, by running counts and the table of each piece."""
-        if self.splitter.split([text])[2]:
-            return [self.whole(text[:i]) for i in range(len(text) + 1)]
-        pieces, _, _ = self.splitter.split([text])
-        self.learn(pieces)
+        """Tokens of text[:0], text[:1], ... exactly as the library gives them. An added token's string counts as ordinary text until it is complete."""
+        out, at, done = [0], 0, 0
+        while True:
+            ahead = [(i, -len(t), t) for t in self.splitter.added if (i := text.find(t, at)) >= 0]
+            stop, _, token = min(ahead) if ahead else (len(text), 0, "")
+            part = self._plain(text[at : stop + max(0, len(token) - 1)])
+            out += [done + n for n in part[1:]]
+            if not token:
+                return out
+            done += part[stop - at] + 1
+            out.append(done)
+            at = stop + len(token)
+
+    def _plain(self, text: str) -> list[int]:
+        """prefix_counts of a text without added tokens, by running counts and the table of each piece."""
+        data, offsets = _column([text])
+        starts, ends, _ = self.splitter.split(data, offsets, 0, 1)
         out, done, at, white = [0], 0, 0, None
-        for piece in pieces[:-1]:
+        prefixes, is_white = self.dp.prefixes, self.splitter.is_white
+        for raw in _pieces(data, starts, ends):
+            piece, n = raw.decode(), 0
             for k in range(1, len(piece) + 1):
                 stop = at + k
-                if self.splitter.is_white(text[stop - 1]):
-                    if white is None or not self.splitter.is_white(text[white:stop]):
-                        white = stop - 1
-                        while white and self.splitter.is_white(text[white - 1]):
-                            white -= 1
+                if is_white(text[stop - 1]):
+                    if white is None or white[1] != stop - 1:
+                        white = (stop - 1, stop - 1)
+                    white = (white[0], stop)
                     # A prefix that ends in white space has all of the run as its last piece.
-                    out.append(out[white] + self.dp.prefixes(text[white:stop].encode())[-1] if white < at else done + self.dp.prefixes(piece[:k].encode())[-1])
+                    n = out[white[0]] + prefixes(text[white[0] : stop].encode())[-1]
                 else:
-                    rest, _, _ = self.splitter.split([piece[:k]])
-                    out.append(done + sum(self.dp.prefixes(r.encode())[-1] for r in rest[:-1]))
-            done += self.known[piece]
+                    start = piece[:k].encode()
+                    whole = piece[0] != "'" or k < 3
+                    n = done + (prefixes(start)[-1] if whole else sum(prefixes(r)[-1] for r in self._split(start)))
+                out.append(n)
+            done += prefixes(raw)[-1]
             at += len(piece)
         return out
 
+    def _split(self, raw: bytes) -> list[bytes]:
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends, _ = self.splitter.split(data, np.array([0, len(raw)]), 0, 1)
+        return _pieces(data, starts, ends)
+
 
 class Encoder:
     """Token ids of texts from the library, each distinct piece encoded once for as long as it is remembered."""
@@ -277,45 +427,55 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
         self.splitter = Splitter(self.tokenizer)
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {SEPARATOR: 0}
+        self.memory = Memory()
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
-        self.begin, self.size = np.zeros(ENCODER_CACHE + 1, np.int64), np.zeros(ENCODER_CACHE + 1, np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        fresh = list(set(pieces).difference(self.known))
-        if len(self.known) + len(fresh) > len(self.begin):
-            self.reset()
-            fresh = list(set(pieces).difference(self.known))
-            if len(fresh) >= len(self.begin):
-                self.begin, self.size = np.zeros(len(fresh) + 2, np.int64), np.zeros(len(fresh) + 2, np.int64)
-        if not fresh:
-            return
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(sizes.sum()))
-        while self.used + len(flat) > len(self.ids):
+        self.begin, self.size = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int32)
+        (self.feed,) = self.encode_one("\n").tolist()
+
+    def encode_one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
-        slot = len(self.known)
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[slot : slot + len(fresh)] = self.used + np.cumsum(sizes) - sizes
-        self.size[slot : slot + len(fresh)] = sizes
-        self.used += len(flat)
-        self.known.update(zip(fresh, range(slot, slot + len(fresh)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[numbers], self.size[numbers] = self.used + begin, size
+        self.used += len(ids)
+
+    def _learn(self, at: np.ndarray, pieces: list[bytes], numbers: np.ndarray) -> None:
+        if not numbers[0]:
+            self.used = 0
+        # Pieces that aren't white space are encoded as the lines of one text: a line feed before any of them is a piece of its own.
+        white = self.white[at]
+        ids = self.encode_one((b"\n" + b"\n".join([p for p, w in zip(pieces, white.tolist(), strict=True) if not w])).decode())
+        feeds = np.flatnonzero(ids == self.feed)
+        solid = numbers[~white]
+        self._keep(solid, ids, feeds[: len(solid)] + 1, np.diff(np.append(feeds, len(ids)))[: len(solid)] - 1)
+        for number, i in zip(numbers[white].tolist(), np.flatnonzero(white).tolist(), strict=True):
+            ids = self.encode_one(pieces[i].decode())
+            self._keep(np.array([number]), ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces, firsts, hard = self.splitter.split(texts)
-        self.learn(pieces)
-        slots = np.array(list(map(self.known.__getitem__, pieces)), np.int64)
-        sizes = self.size[slots]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        from_ = np.repeat(self.begin[slots] - (ends - sizes), sizes) + np.arange(total)
-        flat = self.ids[from_]
-        at = np.concatenate([[0], ends])[firsts]
-        out = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        for d in hard:
-            out[d] = np.array(self.tokenizer.encode(texts[d], add_special_tokens=False).ids, np.uint32)
+        return self.encode_of(*_column(texts), 0, len(texts))
+
+    def encode_of(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+        b = data[offsets[low] : offsets[high]]
+        starts, ends, firsts = self.splitter.split(data, offsets, low, high)
+        self.white = self.splitter.white_at(ends - 1)
+        number = self.memory.look(b, starts, ends, self._learn)
+        sizes = self.size[number].astype(np.int64)
+        stop = np.cumsum(sizes)
+        total = int(stop[-1]) if len(stop) else 0
+        flat, begin = np.empty(total, np.uint32), self.begin[number]
+        one = sizes == 1
+        flat[stop[one] - 1] = self.ids[begin[one]]
+        more = np.flatnonzero(sizes > 1)
+        if len(more):
+            n = sizes[more]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat(stop[more] - n, n) + step] = self.ids[np.repeat(begin[more], n) + step]
+        at = np.concatenate([[0], stop])[firsts]
+        out = [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for d in self.splitter.with_added(data, offsets, low, high):
+            out[d] = self.encode_one(data[offsets[low + d] : offsets[low + d + 1]].tobytes().decode())
         return out

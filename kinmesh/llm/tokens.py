@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from kinmesh.llm.bpe import Counter, Encoder, once, text_groups
 from kinmesh.llm.bytesvec import mix, text_bytes
-from kinmesh.llm.common import scratch, table
+from kinmesh.llm.common import deleted_at_exit, scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -31,8 +31,10 @@ END_ID = 2
 SHARD_IDS = 4 << 20
 #: Shards up to this number have their starts broadcast (about 60 bytes each); beyond it they are joined by shuffle.
 BROADCAST_SHARDS = 100_000
-MAGIC = b"KMTOKEN1"
+MAGIC = b"KMTOKEN2"
 _HEADER = struct.Struct("<8sIIQQQ")
+#: After the header: length and CRC of all that follows.
+_SEAL = struct.Struct("<QI")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _MARK = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -49,25 +51,28 @@ def vocabulary_path(name: str) -> str:
 def token_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY, limit: int = LIMIT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_bytes, n_tokens, over_limit, fits_chars.
 
-    n_tokens is the whole text's count; fits_chars is how many leading characters, up to the end of a piece, take at
-    most limit tokens. Null counts as empty: no bytes, no tokens. Repeated rows are counted each; other columns of docs play no part.
+    n_tokens is the whole text's count; fits_chars is the largest number of leading characters that take at most limit
+    tokens, inside a piece too. Null counts as empty: no bytes, no tokens. Repeated rows are counted each; other columns of docs play no part.
     """
     schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("fits_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = once("counter", vocabulary_path(vocabulary), Counter)
         for batch in batches:
-            column = batch.column(text)
-            parts = [counter.totals(texts, limit) for texts in text_groups(column)]
+            data, offsets = text_bytes(batch.column(text))
+            parts = [counter.totals_of(data, offsets, low, high, limit) for low, high in text_groups(offsets)]
             n, fits = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
-            _, offsets = text_bytes(column)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit), pa.array(fits)], schema.names)
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def with_prefix_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
-    """docs plus prefix_tokens: the exact count of text[:0], text[:1], ... Budget questions are lookups in it."""
+    """docs plus prefix_tokens: the exact count of text[:0], text[:1], ... Budget questions are lookups in it.
+
+    Null counts as empty: [0]. A list is as long as its text, whatever its length, and is worked out in one pass over it. Repeated rows are
+    counted each; a column named prefix_tokens is replaced; an empty table stays empty.
+    """
     kept = [c for c in docs.columns if c.lower() != "prefix_tokens"]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("prefix_tokens", T.ArrayType(T.LongType()))])
 
@@ -141,11 +146,13 @@ def pack_shard(keys: list[int | None], ids: list[np.ndarray], width: int) -> byt
     slot = index.slots(distinct)
     prints, number = np.zeros(len(first), "<u4"), np.zeros(len(first), "<u4")
     prints[slot], number[slot] = _fingerprints(distinct), first
-    parts = [_HEADER.pack(MAGIC, width, len(index.levels), len(keys), len(first), int(offsets[-1])), key.tobytes(), null.astype(np.uint8).tobytes(), offsets.tobytes(), prints.tobytes(), number.tobytes()]
+    header = _HEADER.pack(MAGIC, width, len(index.levels), len(keys), len(first), int(offsets[-1]))
+    parts = [key.tobytes(), null.astype(np.uint8).tobytes(), offsets.tobytes(), prints.tobytes(), number.tobytes()]
     for (words, ranks), base in zip(index.levels, index.bases, strict=True):
         parts += [struct.pack("<QQ", len(words), base), words.tobytes(), ranks.tobytes()]
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    return b"".join([*parts, flat.astype(f"<u{width}").tobytes()])
+    body = b"".join([*parts, flat.astype(f"<u{width}").tobytes()])
+    return header + _SEAL.pack(len(body), zlib.crc32(body)) + body
 
 
 class Shard:
@@ -155,7 +162,10 @@ class Shard:
         magic, self.width, n_levels, n_docs, n_keys, n_ids = _HEADER.unpack_from(blob)
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        at = _HEADER.size
+        length, crc = _SEAL.unpack_from(blob, _HEADER.size)
+        at = _HEADER.size + _SEAL.size
+        if len(blob) < at + length or zlib.crc32(memoryview(blob)[at : at + length]) != crc:
+            raise ValueError("a shard file that is torn or was changed")
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -193,12 +203,13 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, path: str, *, vocabulary: str = VOCABULARY, end_id: int | None = END_ID, id_col: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> None:
-    """Writes shard files below path, one for each folder shard=.../n_ids=... ; shards in order hold the documents in ascending id order.
+    """Writes shard files below path, one for each folder shard=.../n_ids=.../first_key=.../last_key=... ; shards in order hold the documents in ascending id order.
 
     Documents are dealt out by ranges of the id; equal ids stay together, ordered by text; null ids come first and are
-    not in the index. Null texts are empty. A file is the shard and one line feed, which belongs to no section.
+    not in the index. Null texts are empty; a document of more than shard_ids is a shard of its own; repeated rows are written each;
+    other columns play no part; an empty table makes no file. A file is the shard and one line feed, which belongs to no section.
     """
-    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("n_ids", T.LongType()), T.StructField("blob", T.BinaryType())])
+    schema = T.StructType([T.StructField("shard", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("n_ids", "first_key", "last_key")), T.StructField("blob", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = once("encoder", vocabulary_path(vocabulary), Encoder)
@@ -211,27 +222,40 @@ def write_shards(docs: DataFrame, path: str, *, vocabulary: str = VOCABULARY, en
 
         def packed() -> pa.RecordBatch:
             nonlocal keys, held, size, seq
-            row = [[f"s{part:08d}-{seq:06d}"], [sum(map(len, held))], [pack_shard(keys, held, width)]]
+            first = next((k for k in keys if k is not None), None)
+            row = [f"s{part:08d}-{seq:06d}", sum(map(len, held)), first, keys[-1], pack_shard(keys, held, width)]
             keys, held, size, seq = [], [], 0, seq + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.int64(), pa.binary()), strict=True)], schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), *[pa.int64()] * 3, pa.binary()), strict=True)], schema.names)
 
         for batch in batches:
-            names, at = batch.column(id_col).to_pylist(), 0
-            for texts in text_groups(batch.column(text)):
-                for key, ids in zip(names[at : at + len(texts)], encoder.encode(texts), strict=True):
+            names, (data, offsets) = batch.column(id_col).to_pylist(), text_bytes(batch.column(text))
+            for low, high in text_groups(offsets):
+                for key, ids in zip(names[low:high], encoder.encode_of(data, offsets, low, high), strict=True):
                     if keys and key != keys[-1] and size + len(ids) > shard_ids:
                         yield packed()
                     keys.append(key)
                     held.append(np.concatenate([ids, tail]).astype(f"<u{width}"))
                     size += len(held[-1])
-                at += len(texts)
         if keys:
             yield packed()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias(id_col), F.col(f"`{text}`").alias(text))
     ordered = rows.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text)
-    shards = ordered.mapInArrow(run, schema).select("shard", "n_ids", F.col("blob").cast("string").alias("blob"))
-    shards.write.partitionBy("shard", "n_ids").text(path)
+    names = ("shard", "n_ids", "first_key", "last_key")
+    shards = ordered.mapInArrow(run, schema).select(*names, F.col("blob").cast("string").alias("blob"))
+    shards.write.partitionBy(*names).text(path)
+
+
+def get(spark: SparkSession, path: str, key: int) -> np.ndarray | None:
+    """Ids of the first document with a key, or None. The folders' key ranges leave one file to be read, its index one place in it."""
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:
+        return None
+    for row in files.filter((F.col("first_key").cast("bigint") <= key) & (F.col("last_key").cast("bigint") >= key)).select("content").toLocalIterator():
+        found = Shard(bytes(row["content"])).get(key)
+        if found is not None:
+            return found
+    return None
 
 
 def read_shards(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
@@ -271,5 +295,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
+    deleted_at_exit(spark, path)
     write_shards(table(spark, sf_dir, "documents"), path)
     return read_shards(spark, path)

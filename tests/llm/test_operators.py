@@ -88,6 +88,15 @@ def test_tokens_against_the_library(spark, docs, none):
     for t in short:
         assert counter.prefix_counts(t) == [len(encode(t[:i])) for i in range(len(t) + 1)]
         assert len(encode(t[: counter.totals([t], 5)[1][0]])) <= 5
+    for t in ("<|endoftext|>a<|endoftext|><|end", "x <|endoftext|> \n", "中文 한국 \u2003\u2003 é", "don't " * 40 + "\u00a0 <|endof"):
+        want = [len(encode(t[:i])) for i in range(len(t) + 1)]
+        assert counter.prefix_counts(t) == want
+        total, fits = counter.totals([t], 4)
+        assert total[0] == want[-1] and fits[0] == max(i for i, n in enumerate(want) if n <= 4)
+    long = "語" * 5000 + " " + "word " * 5000 + "<|endoftext|>"
+    assert counter.prefix_counts(long)[-1] == len(encode(long))
+    counted = tokens.with_prefix_counts(docs.filter("doc_id in (2, 8)").withColumn("prefix_tokens", F.lit("old"))).collect()
+    assert {r.doc_id: r.prefix_tokens for r in counted} == {2: [0], 8: [len(encode(ROWS[-1][1][:i])) for i in range(len(ROWS[-1][1]) + 1)]} and tokens.with_prefix_counts(none).isEmpty()
     many = [docs_text for docs_text, in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     assert [list(e) for e in bpe.Encoder(tokens.vocabulary_path(tokens.VOCABULARY)).encode(many)] == [encode(t) for t in many]
 
@@ -102,10 +111,31 @@ def test_id_shards_round_trip(spark, docs, none, tmp_path):
         want.append(((i is not None, i or 0), at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == sorted(want)
+    assert tokens.get(spark, f"file://{tmp_path}/t", 1).tolist() == [*tok.encode(ROWS[0][1], add_special_tokens=False).ids, 2] and tokens.get(spark, f"file://{tmp_path}/t", 99) is None
+    blob = tokens.pack_shard([1], [np.arange(5, dtype=np.uint32)], 4)
+    for broken in (blob[:-3], blob[:-3] + b"\0\0\1", b"x" + blob[1:]):
+        with pytest.raises(ValueError):
+            tokens.Shard(broken)
     tokens.write_shards(none, f"file://{tmp_path}/e")
     assert tokens.read_shards(spark, f"file://{tmp_path}/e").isEmpty()
 
 
+def test_pieces_under_pressure(monkeypatch):
+    """Random texts of awkward parts, and a memory that is full again and again: the library's ids and counts."""
+    monkeypatch.setattr(bpe, "CACHE", 300)
+    parts = ["a", "'s", "'re", "'ll", "'", " ", "  ", "\n", "\t", "12", "!?", "é", "文字", "\u2003", "\u0301", "²", "😀", "\0", "<|endoftext|>", "<|end", " hello", "a" * 20, " 한국어한국어"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 40, 600)]
+    path = tokens.vocabulary_path(tokens.VOCABULARY)
+    encoder, counter = bpe.Encoder(path), bpe.Counter(path)
+    for low in range(0, 600, 20):
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[low : low + 20]]
+        assert [list(e) for e in encoder.encode(texts[low : low + 20])] == want
+        assert counter.totals(texts[low : low + 20], 9)[0].tolist() == list(map(len, want))
+    with pytest.raises(ValueError):
+        bpe.Splitter(bpe.load(tokens.vocabulary_path("word_bpe_49k.json")))
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000))
     index = tokens.PerfectHash.build(keys.view(np.uint64))
