@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinmesh.llm.common import SPACES, cut, space_words, stored, table
 
-#: Largest false-rejection rate of each rule in each stratum, and the chance that any certificate is wrong.
+#: Largest false-rejection rate of each rule in each stratum (all rules together: at most their number times that), and the chance that any certificate is wrong.
 RISK, DELTA = 0.005, 0.05
 #: A good document that a cutoff rejects weighs as much as so many bad ones.
 PRICE = 20
@@ -97,12 +97,14 @@ def certify(measured: DataFrame, labels: DataFrame, *, stratum: Column, id_col:
     """One row a stratum with a cutoff for each rule, null where the rule is off.
 
     measured: documents with COUNTS. labels: id and 1 for good, 0 for bad; others are ignored, and of an id with
-    several labels the worst counts. Without labels the result is empty.
+    several labels the worst counts. Rows with the same id are one trial, at their worst value, as the bound asks for independent ones.
+    Without labels the result is empty.
     """
     tagged = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_km_id")).agg(F.min(label).alias("_km_good"))
     marks = F.array(*(F.struct(F.lit(name).alias("rule"), sum((F.when(_value(a, b) > c, 1).otherwise(0) for c in LADDER), F.lit(0)).alias("above")) for name, a, b in RULES))
     seen = measured.filter(~base_failed()).select(F.col(f"`{id_col}`").alias("_km_id"), stratum.alias("stratum"), F.explode(marks).alias("m"))
-    seen = seen.join(tagged, "_km_id").groupBy("stratum", "m.rule", "m.above").agg(F.sum("_km_good").cast("bigint").alias("good"), F.sum(1 - F.col("_km_good")).cast("bigint").alias("bad"))
+    seen = seen.join(tagged, "_km_id").groupBy("_km_id", "stratum", F.col("m.rule").alias("rule")).agg(F.max("m.above").alias("above"), F.first("_km_good").alias("_km_good"))
+    seen = seen.groupBy("stratum", "rule", "above").agg(F.sum("_km_good").cast("bigint").alias("good"), F.sum(1 - F.col("_km_good")).cast("bigint").alias("bad"))
     rungs = F.array(*(F.struct(F.lit(i).alias("rung"), F.lit(c).alias("cutoff")) for i, c in enumerate(LADDER)))
     # A document counts against every cutoff below its value: the first `above` rungs; rung -1 holds all.
     steps = seen.select("stratum", "rule", "above", "good", "bad", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("rung"), F.lit(-1.0).alias("cutoff"))), rungs)).alias("r"))
@@ -164,7 +166,7 @@ s AS (SELECT w.id, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(leng
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM s),
 v AS ({values}),
 q AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-t AS (SELECT stratum, rule, unnest([{ladder}]) AS cutoff, v, good FROM v JOIN q USING (doc_id) WHERE NOT base_failed),
+t AS (SELECT stratum, rule, unnest([{ladder}]) AS cutoff, v, good FROM (SELECT doc_id, stratum, rule, max(v) AS v, good FROM v JOIN q USING (doc_id) WHERE NOT base_failed GROUP BY ALL)),
 lost AS (SELECT stratum, rule, cutoff, count(*) FILTER (v > cutoff AND good = 1) AS good, count(*) FILTER (v > cutoff AND good = 0) AS bad, count(*) FILTER (good = 1) AS n FROM t GROUP BY ALL),
 n AS (SELECT stratum, max(n) AS n, CAST({DELTA} AS DOUBLE) / (count(*) OVER () * {len(RULES) * len(LADDER)}) AS level FROM lost GROUP BY stratum),
 p AS (SELECT stratum, n, level, i, sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))) OVER (PARTITION BY stratum ORDER BY i) AS cdf

@@ -8,29 +8,43 @@ built-in, so that the table streams through one stage without a shuffle.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.llm.common import table
 
-#: Elements whose content is no text. Fixed values.
+#: Elements whose content is no text; the first two hide all that follows if they are never closed. Fixed values.
 HIDDEN = ("script", "style", "noscript", "template", "head")
 #: Elements that end a line. Fixed values.
 BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|blockquote|pre"
-#: Entities that are decoded, the ampersand last. Fixed values.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Characters by entity name, of HTML 4 and one of XML; the no-break space counts as a blank.
+ENTITIES = {name: chr(cp) if cp != 0xA0 else " " for name, cp in sorted({**name2codepoint, "apos": 39}.items())}
 HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
-_HIDDEN_RE = "(?is)<!--.*?-->|" + "|".join(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in HIDDEN)
+_HIDDEN_RE = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>{end})" for tag, end in zip(HIDDEN, (r"|\z", r"|\z", "", "", ""), strict=True))
+_ENTITY_RE = "^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 _BLOCK_RE = rf"(?i)</?(?:{BLOCKS})\b[^>]*>"
 _TITLE_RE = r"(?is)<title[^>]*>(.*?)</title\s*>"
 _LANG_RE = r"""(?is)<html[^>]*\blang=["']?([A-Za-z-]+)"""
 
 
 def _decoded(text: Column) -> Column:
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    """Named and numeric entities as characters, in one pass; what is none stays."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, _ENTITY_RE, 1)
+        cp = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substr(name, F.lit(3)), 16, 10)).when(F.substring(name, 1, 1) == "#", F.substr(name, F.lit(2))).cast("bigint")
+        real = cp.between(1, 0xD7FF) | cp.between(0xE000, 0x10FFFF)
+        char = F.when(cp == 0xA0, F.lit(" ")).when(real, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
+        known = F.when(F.substring(name, 1, 1) == "#", char).when(name != "", F.try_element_at(names, name))
+        return F.coalesce(F.concat(known, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&")
+    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -55,7 +69,7 @@ def derive(responses: DataFrame, *, key: str = "page_id", url: str = "url", payl
     refers_to_digest, block_digest, content_length, block.
 
     A null payload counts as an empty one and still yields both records, as does a null address (empty).
-    Repeated rows yield repeated records; rows that share the key but not the address get other identifiers.
+    Repeated rows yield repeated records; rows that share the key but not the address get other identifiers. Pages of any length are taken whole.
     Other columns are left out, whatever their names; an empty table gives an empty table.
     """
     body, address = F.coalesce(F.col(f"`{payload}`"), F.lit("")), F.coalesce(F.col(f"`{url}`"), F.lit(""))
@@ -94,14 +108,20 @@ def derive(responses: DataFrame, *, key: str = "page_id", url: str = "url", payl
     )
 
 
-def as_records(derived: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """The records as WARC/1.1 text in one column, record."""
+def as_records(derived: DataFrame, date: str | None = None) -> DataFrame:
+    """The records as WARC/1.1 text in one column, record; date: now, if none is given.
+
+    The source's payload digest and every line of its header block stand in extension fields, in order. One record a row, repeated rows
+    included; an empty table gives an empty table.
+    """
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     named = [
-        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
+        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To-Payload-Digest", "refers_to_digest"),
         ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     ]
     lines = [F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in named]
-    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines[:4], F.lit(f"WARC-Date: {date}"), *lines[4:])
+    source = F.transform(F.filter(F.split("source_headers", "\r?\n"), lambda x: x != ""), lambda x: F.concat(F.lit("WARC-Source-Header: "), x))
+    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines[:4], F.concat(F.lit("WARC-Date: "), now if date is None else F.lit(date)), *lines[4:], source)
     return derived.select(F.concat(head, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("record"))
 
 
@@ -116,10 +136,13 @@ def oracle() -> str:
     def e(text: str) -> str:
         return "E" + q(text.replace("\\", "\\\\").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t"))
 
+    names = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in ENTITIES.items()) + "}"
+
     def decoded(x: str) -> str:
-        for entity, plain in ENTITIES:
-            x = f"replace({x}, {q(entity)}, {q(plain)})"
-        return x
+        name = f"regexp_extract(p, {q(_ENTITY_RE)}, 1)"
+        cp = f"CASE WHEN lower({name}[1:2]) = '#x' THEN CAST('0x' || {name}[3:] AS INT) ELSE CAST({name}[2:] AS INT) END"
+        char = f"CASE WHEN {name} = '' THEN NULL WHEN {name}[1] <> '#' THEN {names}[{name}] WHEN {cp} = 160 THEN ' ' WHEN {cp} BETWEEN 1 AND 55295 OR {cp} BETWEEN 57344 AND 1114111 THEN chr({cp}) END"
+        return f"(SELECT s[1] || array_to_string(list_transform(s[2:], lambda p: coalesce({char} || p[length({name}) + 2 :], '&' || p)), '') FROM (SELECT string_split({x}, '&') AS s))"
 
     text = f"regexp_replace(coalesce(html, ''), {q(_HIDDEN_RE)}, ' ', 'g')"
     text = decoded(f"regexp_replace(regexp_replace({text}, {q(_BLOCK_RE)}, chr(10), 'g'), '<[^>]*>', '', 'g')")
