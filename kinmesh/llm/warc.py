@@ -8,7 +8,7 @@ built-in, so that the table streams through one stage without a shuffle.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ HIDDEN = ("script", "style", "noscript", "template", "head")
 #: Elements that end a line. Fixed values.
 BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|blockquote|pre"
 #: Characters by entity name, of HTML 4 and one of XML; the no-break space counts as a blank.
-ENTITIES = {name: chr(cp) if cp != 0xA0 else " " for name, cp in sorted({**name2codepoint, "apos": 39}.items())}
+ENTITIES = {name: html5[f"{name};"].replace("\xa0", " ") for name in sorted({*name2codepoint, "apos"})}
 HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 _HIDDEN_RE = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>{end})" for tag, end in zip(HIDDEN, (r"|\z", r"|\z", "", "", ""), strict=True))
@@ -34,8 +34,8 @@ def _decoded(text: Column) -> Column:
     """Named and numeric entities as characters, in one pass; what is none stays."""
     names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
 
-    def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, _ENTITY_RE, 1)
+    def piece(x: Column) -> Column:
+        p, name = x["p"], x["name"]
         cp = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substr(name, F.lit(3)), 16, 10)).when(F.substring(name, 1, 1) == "#", F.substr(name, F.lit(2))).cast("bigint")
         real = cp.between(1, 0xD7FF) | cp.between(0xE000, 0x10FFFF)
         char = F.when(cp == 0xA0, F.lit(" ")).when(real, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
@@ -43,20 +43,27 @@ def _decoded(text: Column) -> Column:
         return F.coalesce(F.concat(known, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p))
 
     parts = F.split(text, "&")
-    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+    named = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(p.alias("p"), F.regexp_extract(p, _ENTITY_RE, 1).alias("name")))
+    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(named, piece), ""))
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: hidden elements and comments dropped, block tags as line ends, other tags dropped,
-    entities decoded, runs of blanks and of line ends collapsed. Null gives the empty text."""
+def _bare(html: Column) -> Column:
     text = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN_RE, " ")
-    text = F.regexp_replace(text, _BLOCK_RE, "\n")
-    text = _decoded(F.regexp_replace(text, "<[^>]*>", ""))
+    return F.regexp_replace(F.regexp_replace(text, _BLOCK_RE, "\n"), "<[^>]*>", "")
+
+
+def _tidy(text: Column) -> Column:
     text = F.regexp_replace(text, "[ \t\r\x0b\x0c]+", " ")
     return F.btrim(F.regexp_replace(text, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def plain_text(html: Column) -> Column:
+    """Text of a page: hidden elements and comments dropped, block tags as line ends, other tags dropped,
+    entities decoded, runs of blanks and of line ends collapsed. Null gives the empty text."""
+    return _tidy(_decoded(_bare(html)))
+
+
 def record_id(*parts: Column) -> Column:
     """A URN that depends on the parts alone, so that a repeated run names the same records."""
     d = F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
@@ -78,12 +85,14 @@ def derive(responses: DataFrame, *, key: str = "page_id", url: str = "url", payl
         F.col(f"`{key}`").alias("_km_key"),
         address.alias("_km_url"),
         source.alias("_km_headers"),
-        plain_text(body).alias("_km_text"),
-        F.btrim(F.regexp_replace(_decoded(F.regexp_extract(body, _TITLE_RE, 1)), r"[ \t\r\n]+", " "), F.lit(" ")).alias("_km_title"),
+        _bare(body).alias("_km_bare"),
+        F.regexp_extract(body, _TITLE_RE, 1).alias("_km_head"),
         F.regexp_extract(body, _LANG_RE, 1).alias("_km_lang"),
         F.octet_length(body).cast("bigint").alias("_km_bytes"),
         F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("_km_digest"),
     )
+    # Decoding names its input several times: what that costs to make is a column of its own, made once.
+    base = base.withColumns({"_km_text": _tidy(_decoded(F.col("_km_bare"))), "_km_title": F.btrim(F.regexp_replace(_decoded(F.col("_km_head")), r"[ \t\r\n]+", " "), F.lit(" "))})
     fields = F.concat(
         F.lit("title: "), F.col("_km_title"), F.lit("\r\nlanguage: "), F.col("_km_lang"),
         F.lit("\r\npayload-bytes: "), F.col("_km_bytes").cast("string"), F.lit("\r\ntext-bytes: "), F.octet_length("_km_text").cast("string"), F.lit("\r\n"),
