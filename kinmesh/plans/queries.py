@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmesh.functions import text, text_v1
 from kinmesh.operators import blocking, decide, evaluate, features, neighbours, tfidf, training, validate
+from kinmesh.plans import feature_sql as fq
 from kinmesh.plans import fixtures as fx
 from kinmesh.sources import readers, samples, writers
 
@@ -412,9 +413,12 @@ FEATURE_GROUPS = {
     "feat_containment": ["name_contain", "addr_contain"],
     "feat_jaro_winkler": ["name_jw", "addr_jw"],
     "feat_pin_city": ["addr_pin_match", "addr_city_ovl"],
-    "feat_indel_suite": ["name_tsort", "name_tset", "name_partial", "name_ratio", "name_lcs", "addr_tsort", "addr_tset", "addr_partial", "comb_tsort", "comb_tset"],
-    "feat_phonetic": ["phon_soundex_match", "phon_metaphone_match", "phon_soundex_jw", "phon_nysiis_match", "phon_soundex_jac"],
+    "feat_indel_suite": [*fq.RATIOS],
+    "feat_sequence": ["name_lcs"],
+    "feat_phonetic": ["phon_soundex_match", "phon_soundex_jw", "phon_soundex_jac"],
+    "feat_phonetic_codes": ["phon_metaphone_match", "phon_nysiis_match"],
 }
+_SOUNDS = {"phon_soundex_match": "CASE WHEN x1 <> '' AND x1 = x2 THEN 1.0 ELSE 0.0 END", "phon_soundex_jw": _jw("x1", "x2"), "phon_soundex_jac": _jac("y1", "y2")}
 
 
 def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,12 +426,20 @@ def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.pair_texts(blocking.block_keys(s1, pool)["prefix5"], s1, pool)
 
 
+def _feature_sql(names: list[str], known: dict[str, str], table: str) -> str | None:
+    if not all(n in known for n in names):
+        return None
+    return "SELECT s1_id, cand_id, " + ", ".join(f"round(CAST({known[n]} AS DOUBLE), 6) AS {n}" for n in names) + f" FROM {table}"
+
+
 def _feature_query(name: str, names: list[str]) -> None:
-    sql = None
-    if all(n in FEATURE_SQL for n in names):
-        sql = "SELECT s1_id, cand_id, " + ", ".join(f"round(CAST({FEATURE_SQL[n]} AS DOUBLE), 6) AS {n}" for n in names) + " FROM fs"
+    table, more, known = "fs", "", FEATURE_SQL
+    if set(names) & set(fq.RATIOS):
+        table, more, known = "fr", "," + fq.RATIO_TABLES, FEATURE_SQL | {n: n for n in fq.RATIOS}
+    elif set(names) & set(_SOUNDS):
+        table, more, known = "fp", "," + fq.SOUND_TABLES, _SOUNDS
 
-    @query(name, sql, _PAIRS)
+    @query(name, _feature_sql(names, known, table), _PAIRS + more)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = features.pair_features(pair_texts(spark, sf_dir), names)
         return df.select("s1_id", "cand_id", *(F.round(n, 6).alias(n) for n in names))
@@ -442,14 +454,40 @@ def feat_all_48(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.pair_features(pair_texts(spark, sf_dir))
 
 
-@query("feat_v1_29")
-def feat_v1_29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.pair_features_v1(pair_texts(spark, sf_dir))
+_ALL = FEATURE_SQL | {n: n for n in fq.RATIOS}
 
 
-@query("feat_v1_36")
+@query("feat_v1_29", _feature_sql(features.FEATURE_NAMES_V1, _ALL, "fr"), _PAIRS + "," + fq.RATIO_TABLES)
+def feat_v1_29(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = features.pair_features_v1(pair_texts(spark, sf_dir))
+    return df.select("s1_id", "cand_id", *(F.round(n, 6).alias(n) for n in features.FEATURE_NAMES_V1))
+
+
+def _modular_sql() -> str:
+    """The 36 of the modular first generation: 31 from the pair, 5 from those."""
+    opening = lambda c: rf"regexp_extract({c}, '^\s*(\S+)', 1)"
+    match = lambda a, b: f"CASE WHEN len({a}) > 0 THEN {_both(a, b)} / len({a}) WHEN len({b}) = 0 THEN 1.0 ELSE 0.5 END"
+    names = {f"name_{new}": _ALL[f"name_{old}"] for new, old in (("levenshtein", "lev"), ("jaro_winkler", "jw"), ("token_sort_ratio", "tsort"), ("token_set_ratio", "tset"), ("partial_ratio", "partial"), ("jaccard", "jac"), ("overlap", "ovl"), ("dice", "dice"), ("containment_12", "cont12"), ("containment_21", "cont21"), ("length_ratio", "lr"), ("token_count_diff", "tok_diff"))}
+    names |= {f"addr_{new}": _ALL[f"addr_{old}"] for new, old in (("levenshtein", "lev"), ("jaro_winkler", "jw"), ("token_sort_ratio", "tsort"), ("token_set_ratio", "tset"), ("partial_ratio", "partial"), ("jaccard", "jac"), ("overlap", "ovl"), ("dice", "dice"), ("length_ratio", "lr"))}
+    names |= {"addr_num_jaccard": _ALL["anum_jac"], "addr_num_overlap": _ALL["anum_ovl"], "addr_num_match_ratio_12": match("an1", "an2"), "addr_num_match_ratio_21": match("an2", "an1")}
+    names |= {"combined_token_sort": "comb_tsort", "combined_token_set": "comb_tset", "combined_jaccard": _ALL["comb_jac"], "country_match": "CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END"}
+    names["name_first_token_match"] = f"CASE WHEN {opening('n1')} <> '' AND {opening('n1')} = {opening('n2')} THEN 1.0 ELSE 0.0 END"
+    names["name_in_addr"] = "CASE WHEN (n1 <> '' AND contains(a2, n1)) OR (n2 <> '' AND contains(a1, n2)) THEN 1.0 ELSE 0.0 END"
+    later = {"max_name_containment": "greatest(name_containment_12, name_containment_21)", "max_addr_num_match": "greatest(addr_num_match_ratio_12, addr_num_match_ratio_21)"}
+    later |= {f"agg_{s}_score": f"({s}_jaro_winkler + {s}_token_sort_ratio + {s}_jaccard) / 3" for s in ("name", "addr")}
+    later["agg_combined_score"] = "0.5 * (name_jaro_winkler + name_token_sort_ratio + name_jaccard) / 3 + 0.5 * (addr_jaro_winkler + addr_token_sort_ratio + addr_jaccard) / 3"
+    inner = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in names.items())
+    outer = ", ".join(f"round({n}, 6) AS {n}" for n in names) + ", " + ", ".join(f"round({e}, 6) AS {n}" for n, e in later.items())
+    return f"SELECT s1_id, cand_id, {outer} FROM (SELECT s1_id, cand_id, {inner} FROM fr JOIN (SELECT entity_id AS s1_id, country AS ca FROM s1) USING (s1_id) JOIN (SELECT entity_id AS cand_id, country AS cb FROM pool) USING (cand_id))"
+
+
+@query("feat_v1_36", _modular_sql(), _PAIRS + "," + fq.RATIO_TABLES)
 def feat_v1_36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.pair_features_modular(pair_texts(spark, sf_dir).withColumns({"c1": F.lit("x"), "c2": F.lit("x")}))
+    s1, pool = fx.normalised(spark, sf_dir)
+    countries = lambda df, key, c: df.select(F.col("entity_id").alias(key), F.col("country").alias(c))
+    texts = pair_texts(spark, sf_dir).join(countries(s1, "s1_id", "c1"), "s1_id").join(countries(pool, "cand_id", "c2"), "cand_id")
+    df = features.pair_features_modular(texts)
+    return df.select("s1_id", "cand_id", *(F.round(n, 6).alias(n) for n in df.columns[2:]))
 
 
 # --- Decisions -------------------------------------------------------------------------------------------------------
