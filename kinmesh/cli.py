@@ -21,6 +21,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--sample-size", type=int)
         s.add_argument("--no-resume", action="store_true")
         s.add_argument("--clear-checkpoints", action="store_true")
+        s.add_argument("--clear-cache", action="store_true")
+        s.add_argument("--generation", type=int, choices=(1, 2), default=2)
     s = sub.add_parser("blocking")
     s.add_argument("--train-dir", required=True)
     s.add_argument("--country", required=True)
@@ -62,18 +64,25 @@ def main(argv: list[str] | None = None) -> int:
         if args.out:
             spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(args.out)
         return 0
+    root = checkpoint_root()
+    if args.clear_cache:
+        print(f"{writers.clear_all(spark, root, 'cache')} caches deleted")
+    if args.clear_checkpoints:
+        print(f"{writers.clear_all(spark, root, 'train') + writers.clear_all(spark, root, 'predict')} runs deleted")
+    if args.generation == 1:
+        config = config.first_generation()
     if args.mode in ("train", "full"):
-        stages = writers.Stages(spark, checkpoint_root(), "train", config, resume=not args.no_resume, folder=args.train_dir, sample=args.sample_size)
-        if args.clear_checkpoints:
-            stages.clear()
+        files = _paths(args.train_dir, "train")
+        stages = writers.Stages(spark, root, "train", config, resume=not args.no_resume, sources=writers.identity(spark, *files.values()), sample=args.sample_size)
         s1, pool, truth = linkage.load_training(spark, _paths(args.train_dir, "train"), config, args.sample_size)
         trained = linkage.run_train(s1, pool, truth, config, stages)
         writers.save_model(spark, trained.models, trained.threshold, FEATURE_NAMES, args.model)
         print(f"threshold {trained.threshold}, held-out macro F0.5 {trained.score}")
     if args.mode in ("predict", "full"):
         models, threshold = readers.load_model(spark, args.model, FEATURE_NAMES)
-        stages = writers.Stages(spark, checkpoint_root(), "predict", config, resume=not args.no_resume, folder=args.test_dir, model=args.model)
         test = _paths(args.test_dir, "test")
+        # By content, not by path: a model trained anew in the same place must not meet the scores of the old one.
+        stages = writers.Stages(spark, root, "predict", config, resume=not args.no_resume, sources=writers.identity(spark, *test.values()), model=writers.identity(spark, args.model))
         s1, pool = readers.load_source(spark, test["s1"]), readers.union_pool(*readers.load_sources(spark, test["s2"], test["s3"]))
         matches, pairs = linkage.run_predict(s1, pool, models, threshold, config, stages)
         linkage.write_run(s1, matches, pairs, args.out)

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LSH_ROWS = 3
+THRESHOLD = 0.3
+
+
+def band_rows(threshold: float, permutations: int) -> int:
+    """Rows a band for which two sets of that similarity are as likely found as not: the r with (1/b) ** (1/r) nearest, b bands of r rows."""
+    return min(range(1, permutations + 1), key=lambda r: (abs((r / permutations) ** (1 / r) - threshold), r))
+
+
 #: Query vectors are broadcast up to this number (8 bytes a dimension each).
 BROADCAST_QUERIES = 20_000
 
@@ -63,9 +70,9 @@ def dense_probe(queries: DataFrame, pool: DataFrame, *, k: int, group: str = "co
 
 
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct character n-grams; a shorter text is one shingle, an empty one has none."""
+    """Distinct character n-grams; a shorter text has none, and is found by nobody."""
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
-    return F.when(F.length(text) >= n, grams).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def minhash(records: DataFrame, *, text: str = "combined", permutations: int = 128, ngram: int = 3) -> DataFrame:
@@ -75,8 +82,11 @@ def minhash(records: DataFrame, *, text: str = "combined", permutations: int = 1
     return sets.groupBy("entity_id", "country_norm").agg(*least).select("entity_id", "country_norm", F.array(*(F.col(f"m{p}") for p in range(permutations))).alias("signature"))
 
 
-def lsh_pairs(s1: DataFrame, pool: DataFrame, *, text: str = "combined", permutations: int = 128, rows: int = LSH_ROWS, cap: int | None = 100, ngram: int = 3) -> DataFrame:
-    """(s1_id, cand_id, bands): pairs of a country with a band of `rows` signature values in common; of each query the cap with most bands, ties to the smaller id."""
+def lsh_pairs(s1: DataFrame, pool: DataFrame, *, text: str = "combined", permutations: int = 128, threshold: float = THRESHOLD, cap: int | None = 100, ngram: int = 3) -> DataFrame:
+    """(s1_id, cand_id, bands): pairs of a country with a band of signature values in common, bands as the threshold asks; of each query the cap with most
+    bands, ties to the smaller id."""
+    rows = band_rows(threshold, permutations)
+
     def banded(df: DataFrame, id_name: str) -> DataFrame:
         sig = minhash(df, text=text, permutations=permutations, ngram=ngram)
         bands = F.array(*(F.xxhash64(F.lit(b), *(F.get("signature", F.lit(b * rows + i)) for i in range(rows))) for b in range(permutations // rows)))
@@ -87,3 +97,13 @@ def lsh_pairs(s1: DataFrame, pool: DataFrame, *, text: str = "combined", permuta
         return pairs
     place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("bands"), "cand_id"))
     return pairs.withColumn("_r", place).filter(F.col("_r") <= cap).drop("_r")
+
+
+def lsh_similar(s1: DataFrame, pool: DataFrame, *, at_least: float, text: str = "combined", ngram: int = 3, **how) -> DataFrame:
+    """(s1_id, cand_id, score): pairs of lsh_pairs, without its cap, whose sets of shingles have at least that Jaccard similarity, to six places."""
+    sets = lambda df, key, name: df.select(F.col("entity_id").alias(key), shingles(F.col(text), ngram).alias(name))
+    pairs = lsh_pairs(s1, pool, text=text, ngram=ngram, cap=None, **how).select("s1_id", "cand_id")
+    both = pairs.join(sets(s1, "s1_id", "a"), "s1_id").join(sets(pool, "cand_id", "b"), "cand_id")
+    shared = F.size(F.array_intersect("a", "b"))
+    scored = both.select("s1_id", "cand_id", (shared.cast("double") / (F.size("a") + F.size("b") - shared)).alias("score"))
+    return scored.filter(F.col("score") >= at_least).withColumn("score", F.round("score", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +30,10 @@ class Trained:
 def strategies(s1: DataFrame, pool: DataFrame, config: Config, vectors: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Candidates of every strategy that the settings turn on, in a fixed order.
 
-    vectors: (queries, pool) with entity_id, country_norm, embedding from any encoder; without them dense retrieval is off.
+    vectors: (queries, pool) with entity_id, country_norm, embedding from any encoder; without them dense retrieval is off, with a warning.
     """
+    if config.use_dense and vectors is None:
+        warnings.warn("dense retrieval is on, but there are no vectors: it is left out", stacklevel=2)
     out: dict[str, DataFrame] = {}
     if config.use_char:
         out["char_tfidf"] = tfidf.retrieve(s1, pool, "char", k=config.char_top_k, max_df=config.max_df, max_features=config.char_max_features)
@@ -42,7 +46,7 @@ def strategies(s1: DataFrame, pool: DataFrame, config: Config, vectors: tuple[Da
     if config.use_dense and vectors is not None:
         out["dense"] = neighbours.dense_top_k(*vectors, k=config.dense_top_k)
     if config.use_lsh:
-        out["lsh"] = neighbours.lsh_pairs(s1, pool, permutations=config.lsh_permutations, cap=config.lsh_cap, ngram=config.lsh_ngram)
+        out["lsh"] = neighbours.lsh_pairs(s1, pool, permutations=config.lsh_permutations, threshold=config.lsh_threshold, cap=config.lsh_cap, ngram=config.lsh_ngram)
     return {name: df.select("s1_id", "cand_id") for name, df in out.items()}
 
 
@@ -51,6 +55,11 @@ def candidates(s1: DataFrame, pool: DataFrame, config: Config, vectors: tuple[Da
     return blocking.prefilter(blocking.union(strategies(s1, pool, config, vectors)), s1, pool, cap=config.prefilter_cap, min_score=config.prefilter_min_score)
 
 
+def _records(stages: Stages, s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides from the shared folder: every strategy reads normalised records instead of making them."""
+    return stages.stage("s1", lambda: s1), stages.stage("pool", lambda: pool)
+
+
 def score(pairs: DataFrame, s1: DataFrame, pool: DataFrame, models: list, floor: float | None = None) -> DataFrame:
     """(s1_id, cand_id, p); pairs below the floor aren't kept."""
     rows = training.assembled(features.pair_features(blocking.pair_texts(pairs, s1, pool)), features.FEATURE_NAMES)
@@ -63,6 +72,7 @@ def run_train(s1: DataFrame, pool: DataFrame, truth: DataFrame, config: Config,
 
     With neg_pos_ratio set, a second round adds hard negatives. Every stage is stored and taken up again by a later run.
     """
+    s1, pool = _records(stages, s1, pool)
     entities = s1.select(F.col("entity_id").alias("s1_id"))
     split = stages.stage("split", lambda: training.split_entities(entities, config))
     pairs = stages.stage("candidates", lambda: candidates(s1, pool, config, vectors))
@@ -89,6 +99,7 @@ def run_train(s1: DataFrame, pool: DataFrame, truth: DataFrame, config: Config,
 def run_predict(s1: DataFrame, pool: DataFrame, models: list, threshold: float, config: Config, stages: Stages, vectors=None) -> tuple[DataFrame, DataFrame]:
     """(matches, candidates). Countries never meet in a join, so one run does what a loop over them would."""
     config.check_floor(threshold)
+    s1, pool = _records(stages, s1, pool)
     pairs = stages.stage("candidates", lambda: candidates(s1, pool, config, vectors))
     scores = stages.stage("scores", lambda: score(pairs, s1, pool, models, config.score_floor))
     return decide.decide(scores, threshold, one_to_one=config.one_to_one, singleton_best=config.singleton_best), pairs
@@ -123,5 +134,20 @@ def evaluate_blocking(spark: SparkSession, paths: dict[str, str], country: str,
     return evaluate.blocking_report(entities, truth, found, final), evaluate.unique_recall(truth, blocking.tagged(found)), evaluate.cap_curve(truth, blocking.ranked_candidates(everything, s1, pool))
 
 
+def encoded(records: DataFrame, encode: Callable[[DataFrame], DataFrame], root: str, name: str, sources: list[str], *, encoder: str) -> DataFrame:
+    """entity_id, country_norm, embedding of records from any encoder (a function of a frame with entity_id, country_norm, combined), from the cache if it holds them.
+
+    encoder names the model and its settings; another name, or other source files, is another cache.
+    """
+    make = lambda: encode(records.select("entity_id", "country_norm", "combined")).select("entity_id", "country_norm", "embedding")
+    return writers.cached(records.sparkSession, root, name, sources, make, version=encoder)
+
+
+def run_full(train: tuple[DataFrame, DataFrame, DataFrame], test: tuple[DataFrame, DataFrame], config: Config, stages: Callable[[str], Stages], **how) -> tuple[Trained, DataFrame, DataFrame]:
+    """Trains on (s1, pool, truth) and predicts (s1, pool): the model, matches and candidates. stages: the stages of a kind of run."""
+    trained = run_train(*train, config, stages("train"), **how)
+    return trained, *run_predict(*test, trained.models, trained.threshold, config, stages("predict"))
+
+
 def write_run(entities: DataFrame, matches: DataFrame, pairs: DataFrame, out_dir: str) -> None:
     writers.write_results(entities.select(F.col("entity_id").alias("s1_id")), matches, pairs, out_dir)

@@ -312,6 +312,20 @@ def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.lsh_pairs(*fx.normalised(spark, sf_dir))
 
 
+_SHINGLES = lambda c: f"CASE WHEN length({c}) >= 3 THEN list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3))) ELSE [] END"
+
+
+@query(
+    "minhash_similar",
+    "SELECT * FROM (SELECT s1_id, cand_id, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) AS score FROM ga JOIN gb USING (country_norm) WHERE len(a) > 0 AND len(b) > 0) WHERE score >= 0.6",
+    f"ga AS (SELECT entity_id AS s1_id, country_norm, {_SHINGLES('combined')} AS a FROM s1), gb AS (SELECT entity_id AS cand_id, country_norm, {_SHINGLES('combined')} AS b FROM pool)",
+)
+def minhash_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found by bands, verified exactly; SQL compares all pairs of a country."""
+    s1, pool = (writers.stored(df, "records") for df in fx.normalised(spark, sf_dir))
+    return neighbours.lsh_similar(s1, pool, at_least=0.6)
+
+
 # --- Blocking evaluation ---------------------------------------------------------------------------------------------
 
 def _sql_eval(pred: str) -> str:

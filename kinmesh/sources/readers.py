@@ -61,12 +61,19 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path).select("entity_id").filter("entity_id IS NOT NULL")
 
 
+def first_records(records: DataFrame, *order: str) -> DataFrame:
+    """One record an id: the least by the columns of order and then by all others, so that every branch of a plan has the same one."""
+    rest = [c for c in records.columns if c not in (*order, "entity_id")]
+    least = records.groupBy("entity_id").agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    return least.select(*(F.col(c) if c == "entity_id" else F.col(f"_first.{c}") for c in records.columns))
+
+
 def union_pool(*sources: DataFrame) -> DataFrame:
-    """Secondary sources as one pool; of an id in several, any one record stays."""
-    out = sources[0]
-    for s in sources[1:]:
-        out = out.unionByName(s)
-    return out.dropDuplicates(["entity_id"])
+    """Secondary sources as one pool; of an id in several, the record of the first source stays."""
+    out = sources[0].withColumn("_source", F.lit(0))
+    for i, s in enumerate(sources[1:], 1):
+        out = out.unionByName(s.withColumn("_source", F.lit(i)))
+    return first_records(out, "_source").drop("_source")
 
 
 def load_model(spark: SparkSession, path: str, feature_names: list[str]):

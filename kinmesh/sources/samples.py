@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmesh.sources.readers import first_records
+
 
 def shuffled(id_col: str, seed: int) -> Column:
     """Place in a seeded order that SQL engines agree on."""
@@ -21,7 +23,7 @@ def sample_pool(pool: DataFrame, must: DataFrame, extra: int | None, seed: int)
 
     extra None takes all. must: column entity_id. Ids are unique in the result.
     """
-    pool = pool.dropDuplicates(["entity_id"])
+    pool = first_records(pool)
     if extra is None:
         return pool
     needed = pool.join(must.select("entity_id").distinct(), "entity_id", "left_semi")
@@ -30,6 +32,11 @@ def sample_pool(pool: DataFrame, must: DataFrame, extra: int | None, seed: int)
     return needed.unionByName(others.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= extra).drop("_n"))
 
 
+def quota_pool_v1(pool: DataFrame, must: DataFrame, sample_size: int, seed: int) -> DataFrame:
+    """First generation: every must-have record and, for each country, max(10 n, 50,000) others."""
+    return sample_pool(pool, must, max(10 * sample_size, 50_000), seed)
+
+
 def bernoulli_pool(pool: DataFrame, must: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Every must-have record and each other one with the given chance."""
     flagged = pool.join(must.select("entity_id", F.lit(True).alias("_must")).distinct(), "entity_id", "left")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +49,59 @@ def clear(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def identity(spark: SparkSession, *paths: str) -> str:
+    """Digest of the name, length and time of change of every file at or below the paths; a path that isn't there counts as empty."""
+    found = []
+    for path in paths:
+        system, target = _filesystem(spark, path)
+        if system.exists(target):
+            files = system.listFiles(target, True)
+            while files.hasNext():
+                f = files.next()
+                if not f.getPath().getName().startswith((".", "_")):
+                    found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        found.append((path, -1, 0))
+    return hashlib.sha1(json.dumps(sorted(found)).encode()).hexdigest()
+
+
+def cached(spark: SparkSession, root: str, name: str, sources: list[str], make: Callable[[], DataFrame], *, version: object = PREPROCESS_VERSION) -> DataFrame:
+    """make()'s rows from Parquet below root, written when there is no finished copy for these source files and this version.
+
+    Serves normalised records (sources: their files) and embeddings (version: what names the encoder) alike.
+    """
+    key = hashlib.sha1(json.dumps([name, str(version), identity(spark, *sources)]).encode()).hexdigest()[:12]
+    path = f"{root}/cache-{name}-{key}/rows"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, deleted when the application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='kinmesh-')}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    system, target = _filesystem(spark, path)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new shared folder and read back: what several branches of a plan use is made once, and lost executors cost no more than a read."""
+    path = f"{scratch(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Stages:
     """Named stages of a run below root/<key>; the key changes with every setting that changes results.
 
+    Callers pass what else identifies a run as arguments: identity() of the source files, and of the model when predicting.
+
     A finished stage is read instead of computed; that also cuts lineage. An unfinished one has no _SUCCESS and is written anew.
     """
 
@@ -65,6 +119,14 @@ class Stages:
         clear(self.spark, self.dir)
 
 
+def clear_all(spark: SparkSession, root: str, kind: str | None = None) -> int:
+    """Deletes all runs below root, or those of a kind; gives their number."""
+    runs = [r["run"] for r in list_runs(spark, root).select("run", "kind").distinct().collect() if kind in (None, r["kind"]) or kind and r["kind"].startswith(f"{kind}-")]
+    for run in runs:
+        clear(spark, f"{root}/{run}")
+    return len(runs)
+
+
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """(run, kind, stage, finished) of all runs below root."""
     rows = []

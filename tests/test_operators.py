@@ -85,6 +85,18 @@ def test_stages_resume(spark, tmp_path):
         assert writers.Stages(spark, str(tmp_path), "train", Config(), n=1).stage("a", make).count() == 3
     assert len(made) == 1 and Config().key("train") != Config(seed=1).key("train")
     assert writers.list_runs(spark, str(tmp_path)).filter("finished").count() == 1
+    with pytest.warns(UserWarning, match="vectors"):
+        linkage.strategies(*fx.normalised(spark, SF), Config(use_char=False, use_word=False))
+    with pytest.raises(ValueError, match="score_floor"):
+        Config(score_floor=0.5).check_floor(0.3)
+    # The same path with other contents is another run: sources and models are told by what they hold.
+    spark.range(3).write.parquet(f"{tmp_path}/model")
+    before = writers.identity(spark, f"{tmp_path}/model")
+    assert before == writers.identity(spark, f"{tmp_path}/model") != writers.identity(spark, f"{tmp_path}/none")
+    spark.range(4).write.mode("overwrite").parquet(f"{tmp_path}/model")
+    after = writers.identity(spark, f"{tmp_path}/model")
+    assert Config().key("predict", model=before) != Config().key("predict", model=after)
+    assert writers.clear_all(spark, str(tmp_path), "predict") == 0 and writers.clear_all(spark, str(tmp_path), "train") == 1
     with pytest.raises(ValueError, match="score_floor"):
         Config(score_floor=0.5).check_floor(0.3)
     assert (pool_extra(100, False, None), pool_extra(None, True, None), pool_extra(5, False, 7), pool_extra(5, False)) == (20_000, 500_000, 7, None)
