@@ -82,7 +82,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", phrases
 
     n_base, first_word and last_word are of the phrases' places; score is the largest share of a template that a
     span covers, 1 for a whole phrase. Null and empty texts have no words and no labels; repeated rows are kept
-    apart; an empty table gives an empty table; other columns of docs play no part.
+    apart; texts of any length are taken whole; an empty table gives an empty table; other columns of docs play no part.
     """
     templates = [*phrases, *notices]
     grams = gram_rows(templates)

@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = OP9_PERCENT, id_col: str
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set).
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with the same id are one document: they share
-    the links of all their texts. A row without an id is linked with nothing, has no component and is kept. An empty table
+    the links of all their texts, which are taken whole, however long. A row without an id is linked with nothing, has no component and is kept. An empty table
     gives an empty table; other columns of docs play no part.
     """
     base = stored(sketches(docs, id_col=id_col, text=text), "sketches")

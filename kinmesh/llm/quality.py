@@ -37,7 +37,7 @@ RULES = (("symbols", "n_symbols", "word_chars"), ("dup_lines", "n_dup_lines", "n
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus COUNTS, all long; columns of docs with these names are replaced.
 
-    Null and blank texts have zeros. Lines are split at line feeds and only those with a word count. Words in
+    Null and blank texts have zeros; texts of any length are taken whole; repeated rows are measured each. Lines are split at line feeds and only those with a word count. Words in
     repeated windows are told by a 64-bit hash of the window's words within one text.
     """
     kept = [c for c in docs.columns if c.lower() not in COUNTS]

@@ -80,7 +80,10 @@ def place(df: DataFrame, names: Sequence[str], *, key: str = "doc_id", slots: in
 
 
 def write_shards(placed: DataFrame, path: str, *, files_per_shard: int = 8, key: str = "doc_id") -> None:
-    """Writes one folder a shard. Rows of a shard are dealt over several files, so that no shard is one task."""
+    """Writes one folder a shard. Rows of a shard are dealt over several files, so that no shard is one task.
+
+    All rows are written, repeated ones too; those with the same key share a file, a null key counts as a key; an empty table makes no folder.
+    """
     salt = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(files_per_shard))
     placed.repartition("shard", salt).write.mode("overwrite").partitionBy("shard").parquet(path)
 

@@ -51,6 +51,31 @@ def test_against_sql(spark, name):
     same_rows(registry.queries()[name](spark, SF), duck(SF), registry.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op8_mixing"])
+def test_without_broadcasts(spark, monkeypatch, name):
+    """What is broadcast below a checked size is shuffled beyond it, with the same rows."""
+    for module, switch in ((quality, "BROADCAST_STRATA"), (mixing, "BROADCAST_LEAVES")):
+        monkeypatch.setattr(module, switch, -1)
+    same_rows(registry.queries()[name](spark, SF), duck(SF), registry.oracle_sql()[name])
+
+
+def test_near_duplicates_and_shards_without_broadcasts(spark, monkeypatch):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    links = lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame).collect()}
+    shards = lambda: sorted(tuple(r) for r in tokens.op7(spark, SF).collect())
+    kept = lambda: sorted(r.doc_id for r in neardup.keep_one(frame).collect())
+    before = links(), shards(), kept()
+    for module, switch in ((neardup, "BROADCAST_TASKS"), (neardup, "BROADCAST_IDS"), (components, "BROADCAST_NODES"), (tokens, "BROADCAST_SHARDS")):
+        monkeypatch.setattr(module, switch, -1)
+    assert (links(), shards(), kept()) == before
+
+
+def test_near_duplicates_of_a_thousand_documents(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.read.parquet(path)).collect()}
+    assert got == brute_components([(r.doc_id, r.text) for r in spark.read.parquet(path).collect()])
+
+
 def test_lookup_table_by_taking_turns():
     names, size = ["a", "b", "c", "d", "e"], 101
     orders = [[(sharding._digest(f"{n}|offset") + j * (sharding._digest(f"{n}|step") % (size - 1) + 1)) % size for j in range(size)] for n in names]
@@ -285,7 +310,7 @@ def brute_components(docs):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and (both := len(sets[a] & sets[b])) and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * min(len(sets[a]), len(sets[b])) >= 85 * max(len(sets[a]), len(sets[b])) and (both := len(sets[a] & sets[b])) and 100 * both >= 85 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
