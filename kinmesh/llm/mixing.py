@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from kinmesh.llm.common import cut, space_words, table
 
-#: Ranges of the digest in which tokens are summed; only one range of each leaf is looked at row by row.
-RANGES = 1024
+#: Ranges of the digest in which tokens are summed, and of that one of a leaf in which its budget ends, again; only one of about a million
+#: ranges of each leaf is looked at row by row.
+RANGES, LEVELS = 1024, 2
 _BITS = 60
 #: Leaves up to this number are broadcast (about 100 bytes each); beyond it the planner joins by shuffle.
 BROADCAST_LEAVES = 50_000
@@ -104,15 +105,20 @@ def cutoffs(sized: DataFrame, plan: DataFrame, names: Sequence[str], seed: int,
     """
     some = plan.filter("rest > 0").select(*names, "epochs", "rest")
     placed = sized.join(F.broadcast(some) if few else some, list(names)).select(*names, "rest", "tokens", order(F.col("id"), seed, F.col("epochs")).alias("place"))
-    placed = placed.withColumn("range", F.shiftright("place", _BITS - RANGES.bit_length() + 1))
-    sums = placed.groupBy(*names, "range").agg(F.sum("tokens").alias("_km_t"), F.first("rest").alias("rest"))
-    below = F.coalesce(F.sum("_km_t").over(Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
-    edge = sums.withColumn("_km_below", below).filter((F.col("_km_below") <= F.col("rest")) & (F.col("_km_below") + F.col("_km_t") > F.col("rest")))
-    edge = edge.select(*names, "range", "_km_below")
-    inside = placed.join(F.broadcast(edge) if few else edge, [*names, "range"])
+    bits, below = RANGES.bit_length() - 1, F.lit(0).cast("bigint")
+    for level in range(1, LEVELS + 1):
+        placed = placed.withColumn("range", F.shiftright("place", _BITS - level * bits))
+        sums = placed.groupBy(*names, "range").agg(F.sum("tokens").alias("_km_t"), F.first("rest").alias("rest"), F.first(below).alias("_km_base"))
+        before = F.coalesce(F.sum("_km_t").over(Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+        edge = sums.withColumn("_km_below", before + F.col("_km_base")).filter((F.col("_km_below") <= F.col("rest")) & (F.col("_km_below") + F.col("_km_t") > F.col("rest")))
+        # Cut: the next level, and the rows at the end, look at one range of each leaf only.
+        edge = cut(edge.select(*names, "range", "_km_below"))
+        placed = placed.drop("_km_below").join(F.broadcast(edge) if few else edge, [*names, "range"])
+        below = F.col("_km_below")
+    inside = placed
     running = F.sum("tokens").over(Window.partitionBy(*names, "range").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     found = inside.withColumn("_km_sum", running + F.col("_km_below")).filter("_km_sum <= rest").groupBy(*names).agg(F.max("place").alias("_km_in"))
-    start = edge.select(*names, (F.shiftleft(F.col("range").cast("bigint"), _BITS - RANGES.bit_length() + 1) - 1).alias("_km_start"))
+    start = edge.select(*names, (F.shiftleft(F.col("range").cast("bigint"), _BITS - LEVELS * bits) - 1).alias("_km_start"))
     bounds = start.join(found, list(names), "left").select(*names, F.coalesce("_km_in", "_km_start").alias("_km_cut"))
     return plan.join(bounds, list(names), "left").withColumn("cutoff", F.coalesce(F.col("_km_cut"), F.lit(-1).cast("bigint"))).drop("_km_cut")
 
