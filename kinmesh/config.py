@@ -30,7 +30,6 @@ class Config:
     use_lsh: bool = False
     key_bucket: int = 100
     dense_top_k: int = 50
-    dense_fetch: int = 3
     lsh_permutations: int = 128
     lsh_threshold: float = 0.3
     lsh_ngram: int = 3
