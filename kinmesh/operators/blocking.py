@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmesh.functions import kernels
+from kinmesh.functions import batch
 from kinmesh.functions.text import token_set
 
 PREFIX_LEAST = 3
@@ -97,7 +97,7 @@ def pair_texts(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([kernels.jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series(batch.jaro_winkler(a.tolist(), b.tolist()))
 
 
 def cheap_score(texts: DataFrame) -> DataFrame:

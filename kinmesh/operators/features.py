@@ -6,14 +6,15 @@ phonetic codes are computed together in one Arrow pass over the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmesh.functions import kernels, setsim
+from kinmesh.functions import batch, kernels, setsim
 from kinmesh.functions.text import numbers, token_set
 
 # Address words that are no town.
@@ -34,35 +35,43 @@ FEATURE_NAMES_V1 = [
 ]
 
 
-def _first_word(text: str) -> str:
-    import re
+def _first_words(texts: Sequence[str]) -> list[str]:
+    found = (re.search("[a-zA-Z]+", t) for t in texts)
+    return [f[0] if f else "" for f in found]
 
-    found = re.search("[a-zA-Z]+", text)
-    return found[0] if found else ""
 
+def _codes(code: Callable[[str], str], texts: Sequence[str]) -> list[str]:
+    """Each distinct word is coded once."""
+    words = _first_words(texts)
+    known = {w: code(w) for w in set(words)}
+    return [known[w] for w in words]
 
-def _same_code(code, a: str, b: str) -> float:
-    x, y = code(_first_word(a)), code(_first_word(b))
-    return float(bool(x) and x == y)
 
+def _same_codes(code: Callable[[str], str], left: Sequence[str], right: Sequence[str]) -> list[float]:
+    return [float(bool(x) and x == y) for x, y in zip(_codes(code, left), _codes(code, right), strict=True)]
 
-#: What the Arrow pass computes from n1, a1, n2, a2 and the combined texts.
+
+def _joined(names: Sequence[str], addresses: Sequence[str]) -> list[str]:
+    return [f"{n} {a}" for n, a in zip(names, addresses, strict=True)]
+
+
+#: What the Arrow pass computes from a batch's n1, a1, n2 and a2, each distinct pair of texts once.
 KERNELS = {
-    "name_jw": lambda n1, a1, n2, a2: kernels.jaro_winkler(n1, n2),
-    "name_tsort": lambda n1, a1, n2, a2: kernels.token_sort(n1, n2),
-    "name_tset": lambda n1, a1, n2, a2: kernels.token_set(n1, n2),
-    "name_partial": lambda n1, a1, n2, a2: kernels.partial(n1, n2),
-    "name_ratio": lambda n1, a1, n2, a2: kernels.ratio(n1, n2),
-    "name_lcs": lambda n1, a1, n2, a2: kernels.sequence_ratio(n1, n2),
-    "addr_jw": lambda n1, a1, n2, a2: kernels.jaro_winkler(a1, a2),
-    "addr_tsort": lambda n1, a1, n2, a2: kernels.token_sort(a1, a2),
-    "addr_tset": lambda n1, a1, n2, a2: kernels.token_set(a1, a2),
-    "addr_partial": lambda n1, a1, n2, a2: kernels.partial(a1, a2),
-    "comb_tsort": lambda n1, a1, n2, a2: kernels.token_sort(f"{n1} {a1}", f"{n2} {a2}"),
-    "comb_tset": lambda n1, a1, n2, a2: kernels.token_set(f"{n1} {a1}", f"{n2} {a2}"),
-    "phon_metaphone_match": lambda n1, a1, n2, a2: _same_code(kernels.metaphone, n1, n2),
-    "phon_soundex_jw": lambda n1, a1, n2, a2: kernels.jaro_winkler(kernels.soundex(_first_word(n1)), kernels.soundex(_first_word(n2))),
-    "phon_nysiis_match": lambda n1, a1, n2, a2: _same_code(kernels.nysiis, n1, n2),
+    "name_jw": lambda n1, a1, n2, a2: batch.jaro_winkler(n1, n2),
+    "name_tsort": lambda n1, a1, n2, a2: batch.token_sort(n1, n2),
+    "name_tset": lambda n1, a1, n2, a2: batch.token_set(n1, n2),
+    "name_partial": lambda n1, a1, n2, a2: batch.partial(n1, n2),
+    "name_ratio": lambda n1, a1, n2, a2: batch.ratio(n1, n2),
+    "name_lcs": lambda n1, a1, n2, a2: batch.each(kernels.sequence_ratio)(n1, n2),
+    "addr_jw": lambda n1, a1, n2, a2: batch.jaro_winkler(a1, a2),
+    "addr_tsort": lambda n1, a1, n2, a2: batch.token_sort(a1, a2),
+    "addr_tset": lambda n1, a1, n2, a2: batch.token_set(a1, a2),
+    "addr_partial": lambda n1, a1, n2, a2: batch.partial(a1, a2),
+    "comb_tsort": lambda n1, a1, n2, a2: batch.token_sort(_joined(n1, a1), _joined(n2, a2)),
+    "comb_tset": lambda n1, a1, n2, a2: batch.token_set(_joined(n1, a1), _joined(n2, a2)),
+    "phon_metaphone_match": lambda n1, a1, n2, a2: _same_codes(kernels.metaphone, n1, n2),
+    "phon_soundex_jw": lambda n1, a1, n2, a2: batch.jaro_winkler(_codes(kernels.soundex, n1), _codes(kernels.soundex, n2)),
+    "phon_nysiis_match": lambda n1, a1, n2, a2: _same_codes(kernels.nysiis, n1, n2),
 }
 
 
@@ -113,8 +122,8 @@ def kernel_pass(texts: DataFrame, names: list[str], kept: list[str]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("n1", "a1", "n2", "a2")), strict=True))
-            values = [pa.array([KERNELS[n](*r) for r in rows], pa.float64()) for n in names]
+            texts_of = [b.column(c).to_pylist() for c in ("n1", "a1", "n2", "a2")]
+            values = [pa.array(KERNELS[n](*texts_of), pa.float64()) for n in names]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *values], schema.names)
 
     return texts.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kinmesh.functions import batch
 from kinmesh.functions import kernels as k
 
 text = st.text("abc ", max_size=9)
@@ -42,3 +43,25 @@ def test_properties(a, b):
         if a.split():
             assert f(a, a) == pytest.approx(1)
     assert k.partial(a, b) >= k.ratio(a, b) - 1e-12 or len(a) != len(b)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(text, st.one_of(text, st.text("abc éж𝔘", max_size=70))), max_size=40))
+def test_batches_equal_single_pairs(pairs):
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    for name in ("jaro_winkler", "ratio", "token_sort", "token_set", "partial"):
+        assert list(getattr(batch, name)(left, right)) == [getattr(k, name)(a, b) for a, b in pairs], name
+
+
+def test_batches_of_long_and_repeated_pairs(monkeypatch):
+    words = ["".join(chr(97 + (i * j) % 17) for j in range(1 + i % 11)) for i in range(1, 60)]
+    texts = [" ".join(words[i : i + 1 + i % 20]) for i in range(40)] + ["", "x" * 700, "x" * 699 + "y", "ab" * 40, "".join(map(chr, range(256, 600)))]
+    pairs = [(a, b) for a in texts[::3] for b in texts[::4]] * 2
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    for cells, masks in ((batch.CELLS, batch.MASKS), (64, 256)):
+        monkeypatch.setattr(batch, "CELLS", cells)
+        monkeypatch.setattr(batch, "MASKS", masks)
+        for name in ("jaro_winkler", "ratio", "token_sort", "token_set"):
+            assert list(getattr(batch, name)(left, right)) == [getattr(k, name)(a, b) for a, b in pairs], name
+    short = [(a, b) for a, b in pairs if len(a) + len(b) < 200][:60]
+    assert list(batch.partial([a for a, _ in short], [b for _, b in short])) == [k.partial(a, b) for a, b in short]
