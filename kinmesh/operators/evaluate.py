@@ -70,15 +70,26 @@ def unique_recall(truth: DataFrame, tagged: DataFrame) -> DataFrame:
 
 def blocking_report(entities: DataFrame, truth: DataFrame, strategies: dict[str, DataFrame], final: DataFrame | None = None) -> DataFrame:
     """(strategy, pair_recall, entity_recall, mean, p95) of each strategy, of UNION and, if given, of FINAL."""
-    everything = None
-    for df in strategies.values():
-        everything = df.select("s1_id", "cand_id") if everything is None else everything.unionByName(df.select("s1_id", "cand_id"))
-    rows = strategies | {"UNION": everything.distinct()} | ({} if final is None else {"FINAL": final})
-    out = None
-    for name, df in rows.items():
-        row = recall(entities, truth, df).join(candidate_sizes(entities, df)).select(F.lit(name).alias("strategy"), "pair_recall", "entity_recall", "mean", "p95")
-        out = row if out is None else out.unionByName(row)
-    return out
+    sets = strategies | ({} if final is None else {"FINAL": final})
+    # All sets and the truth are grouped by pair once: a flag a set, and the sums of flags an entity, serve every row.
+    tagged = truth.select(F.lit(-1).alias("k"), "s1_id", "cand_id")
+    for k, df in enumerate(sets.values()):
+        tagged = tagged.unionByName(df.select(F.lit(k).alias("k"), "s1_id", "cand_id"))
+    flag = lambda which, name: F.max(which.cast("bigint")).alias(name)
+    flags = {name: F.col("k") == k for k, name in enumerate(sets)}
+    flags = {name: flags[name] for name in strategies} | {"UNION": F.col("k").between(0, len(strategies) - 1)} | {name: flags[name] for name in sets if name not in strategies}
+    pairs = tagged.groupBy("s1_id", "cand_id").agg(flag(F.col("k") == -1, "t"), *(flag(which, f"p{i}") for i, which in enumerate(flags.values())))
+    n = range(len(flags))
+    counts = pairs.groupBy("s1_id").agg(F.sum("t").alias("nt"), *(F.sum(f"p{i}").alias(f"np{i}") for i in n), *(F.sum(F.col(f"p{i}") * F.col("t")).alias(f"tp{i}") for i in n))
+    e = entities.select("s1_id").distinct().join(counts, "s1_id", "left").na.fill(0, ["nt", *(f"{x}{i}" for x in ("np", "tp") for i in n)])
+    matched = lambda x: F.when(F.col("nt") > 0, x)
+    share = lambda over: F.round(F.coalesce(over, F.lit(0.0)), 6)
+    wide = e.agg(*(F.struct(
+        F.lit(name).alias("strategy"), share(F.sum(matched(F.col(f"tp{i}"))) / F.sum(matched(F.col("nt")))).alias("pair_recall"),
+        share(F.avg(matched((F.col(f"tp{i}") == F.col("nt")).cast("double")))).alias("entity_recall"),
+        F.round(F.avg(f"np{i}"), 6).alias("mean"), F.round(F.percentile(f"np{i}", 0.95), 6).alias("p95"),
+    ).alias(f"r{i}") for i, name in enumerate(flags)))
+    return wide.select(F.inline(F.array(*(f"r{i}" for i in n))))
 
 
 def cap_curve(truth: DataFrame, ranked: DataFrame, caps: tuple[int, ...] = (10, 25, 50, 75, 100, 150, 200)) -> DataFrame:

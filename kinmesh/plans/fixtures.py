@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.functions.text import fold_latin, normalise
+from kinmesh.sources.writers import stored
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,12 @@ def normalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return first_source(df), secondary(df)
 
 
+def stored_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """normalised(), made once for the many branches of a plan, as a run's first stage does."""
+    df = stored(normalise(records(spark, sf_dir)), "records")
+    return first_source(df), secondary(df)
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = records(spark, sf_dir)
     a = first_source(df).select(F.col("entity_id").alias("s1_id"), "country", "match_key")

@@ -207,7 +207,7 @@ for _name in _KEYS:
 
 @query("block_union", "SELECT * FROM uni", _TAGGED)
 def block_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.union(blocking.block_keys(*fx.normalised(spark, sf_dir)))
+    return blocking.union(blocking.block_keys(*fx.stored_records(spark, sf_dir)))
 
 
 @query("block_v1_keys", "SELECT 'name_key' AS strategy, * FROM nk UNION ALL SELECT 'addr_nums', * FROM an", _V1 + "," + _sql_key("nk", "name_key", "name_key <> ''", 50, "v2") + "," + _sql_key("an", "array_to_string(nums[1:3], '_')", "len(nums) > 0", 50, "v2"))
@@ -252,7 +252,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, can
 def _tfidf_query(name: str, kind: str, column: str, max_df: float | None, features: int, k: int) -> None:
     @query(name, f"SELECT s1_id, cand_id, score, rank FROM top WHERE rank <= {k}", _sql_tfidf(column, "word" if kind == "word" else "char", max_df, features))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return tfidf.retrieve(*fx.normalised(spark, sf_dir), kind, k=k, max_df=max_df, max_features=features)
+        return tfidf.retrieve(*fx.stored_records(spark, sf_dir), kind, k=k, max_df=max_df, max_features=features)
 
 
 _tfidf_query("tfidf_char_topk", "char", "combined", 0.05, 200_000, 30)
@@ -277,14 +277,20 @@ ranked AS (SELECT s1_id, cand_id, score, row_number() OVER (PARTITION BY s1_id O
 
 @query("prefilter_ranked", "SELECT s1_id, cand_id, score, rank FROM ranked", _TAGGED + "," + _CHEAP)
 def prefilter_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, pool = fx.normalised(spark, sf_dir)
+    s1, pool = fx.stored_records(spark, sf_dir)
     return blocking.ranked_candidates(blocking.union(blocking.block_keys(s1, pool)), s1, pool)
 
 
-@query("prefilter_topk", "SELECT s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS r FROM ranked WHERE n <= 10 OR score >= 0.15) WHERE n <= 10 OR r <= 10", _TAGGED + "," + _CHEAP)
-def prefilter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1, pool = fx.normalised(spark, sf_dir)
-    return blocking.prefilter(blocking.union(blocking.block_keys(s1, pool)), s1, pool, cap=10)
+def _prefilter_query(name: str, cap: int) -> None:
+    @query(name, f"SELECT s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS r FROM ranked WHERE n <= {cap} OR score >= 0.15) WHERE n <= {cap} OR r <= {cap}", _TAGGED + "," + _CHEAP)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s1, pool = fx.stored_records(spark, sf_dir)
+        return blocking.prefilter(blocking.union(blocking.block_keys(s1, pool)), s1, pool, cap=cap)
+
+
+# The second has the default cap of a run; on the smaller tables nobody has more than 100 candidates, so the first tests the cut.
+_prefilter_query("prefilter_topk", 10)
+_prefilter_query("prefilter_top100", 100)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -309,7 +315,7 @@ def dense_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("minhash_pairs")
 def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.lsh_pairs(*fx.normalised(spark, sf_dir))
+    return neighbours.lsh_pairs(*fx.stored_records(spark, sf_dir))
 
 
 _SHINGLES = lambda c: f"CASE WHEN length({c}) >= 3 THEN list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3))) ELSE [] END"
@@ -322,7 +328,7 @@ _SHINGLES = lambda c: f"CASE WHEN length({c}) >= 3 THEN list_distinct(list_trans
 )
 def minhash_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found by bands, verified exactly; SQL compares all pairs of a country."""
-    s1, pool = (writers.stored(df, "records") for df in fx.normalised(spark, sf_dir))
+    s1, pool = fx.stored_records(spark, sf_dir)
     return neighbours.lsh_similar(s1, pool, at_least=0.6)
 
 
@@ -378,7 +384,7 @@ _REPORT = ",".join(
     _TAGGED + "," + _REPORT,
 )
 def blocking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.blocking_report(fx.entities(spark, sf_dir), fx.truth(spark, sf_dir), blocking.block_keys(*fx.normalised(spark, sf_dir)))
+    return evaluate.blocking_report(fx.entities(spark, sf_dir), fx.truth(spark, sf_dir), blocking.block_keys(*fx.stored_records(spark, sf_dir)))
 
 
 # --- Features --------------------------------------------------------------------------------------------------------
