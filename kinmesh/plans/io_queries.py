@@ -25,7 +25,7 @@ def _written(spark: SparkSession, sf_dir: str, *, gaps: bool = False) -> dict[st
     if gaps:
         rows = rows.withColumn("business_address", F.expr(_GAPS))
     for n in "123":
-        rows.filter(F.startswith("entity_id", F.lit(f"S{n}-"))).write.csv(f"{root}/s{n}.tsv", sep="\t", header=True, quote='"', escape='"')
+        rows.filter(F.startswith("entity_id", F.lit(f"S{n}-"))).write.csv(f"{root}/s{n}.tsv", **writers.WHOLE_FIELDS, header=True, quote='"', escape='"')
     return {f"s{n}": f"{root}/s{n}.tsv" for n in "123"}
 
 

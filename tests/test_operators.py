@@ -1,5 +1,6 @@
 """Decisions, metrics, validation, files, stages, models and streams."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from kinmesh.plans import fixtures as fx
 from kinmesh.plans import linkage
 from kinmesh.plans import queries as plans
 from kinmesh.sources import readers, writers
+from tests.conftest import same_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,3 +131,18 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     match_stream(stream, s1, score, f"{tmp_path}/out", f"{tmp_path}/cp", threshold=plans.THRESHOLD).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() > 0
+
+
+def test_fields_keep_blanks_at_their_ends(spark, tmp_path):
+    rows = [("S1-000001", " a", "666 ", "FR"), ("S1-000002", "b", " ", "\u00a0FR")]
+    lists = spark.createDataFrame(rows, readers.RECORD_SCHEMA)
+    writers.write_tsv(lists, f"{tmp_path}/f.tsv")
+    assert sorted(map(tuple, readers.read_tsv(spark, f"{tmp_path}/f.tsv").collect())) == rows
+
+
+def test_scan_of_short_texts(spark, tmp_path):
+    """An address without words and ending is a number and a blank."""
+    spark.createDataFrame([(3, "one two", "fr"), (7, "one", "fr"), (11, "a b c d e", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert same_rows(plans.QUERIES["src_tsv_scan"](spark, str(tmp_path)), con, plans.SQL["src_tsv_scan"]) == 3
