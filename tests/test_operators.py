@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinmesh.config import Config, pool_extra
 from kinmesh.functions.text import fold_any, fold_latin, normalise
-from kinmesh.operators import decide, evaluate, features, training, validate
+from kinmesh.operators import blocking, decide, evaluate, features, training, validate
 from kinmesh.plans import fixtures as fx
 from kinmesh.plans import linkage
 from kinmesh.plans import queries as plans
@@ -146,3 +146,13 @@ def test_scan_of_short_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert same_rows(plans.QUERIES["src_tsv_scan"](spark, str(tmp_path)), con, plans.SQL["src_tsv_scan"]) == 3
+
+
+def test_prefilter_ranks_by_rounded_scores(spark):
+    """The three scores are 0.667143 to six places and differ in the last bit; the smallest id is the least of them unrounded."""
+    texts = [("S1-1", "abcabca", "abcabca"), ("S2-1", "bcbc", "abcaab"), ("S2-2", "aaccba", "abcaab"), ("S2-3", "abacbc", "aba")]
+    records = spark.createDataFrame(texts, "entity_id string, name_clean string, addr_clean string")
+    some = pairs(spark, ("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-1", "S2-3"))
+    for cap in (1, 2):
+        kept = blocking.prefilter(some, fx.first_source(records), fx.secondary(records), cap=cap)
+        assert [r.cand_id for r in kept.orderBy("cand_id").collect()] == ["S2-1", "S2-2"][:cap]
