@@ -1,12 +1,14 @@
 """Decisions, metrics, validation, files, stages, models and streams."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from kinmesh.config import Config, pool_extra
 from kinmesh.functions.text import fold_any, fold_latin, normalise
-from kinmesh.operators import blocking, decide, evaluate, features, training, validate
+from kinmesh.operators import blocking, decide, evaluate, features, tfidf, training, validate
 from kinmesh.plans import fixtures as fx
 from kinmesh.plans import linkage
 from kinmesh.plans import queries as plans
@@ -156,3 +158,18 @@ def test_prefilter_ranks_by_rounded_scores(spark):
     for cap in (1, 2):
         kept = blocking.prefilter(some, fx.first_source(records), fx.secondary(records), cap=cap)
         assert [r.cand_id for r in kept.orderBy("cand_id").collect()] == ["S2-1", "S2-2"][:cap]
+
+
+def test_tfidf_in_blocks(spark):
+    """Blocks of any size give the same rows, with a vocabulary sent to the workers or joined, and no pairs are shuffled."""
+    rows = [(f"S{1 + i % 3}-{i:06}", f"name{i % 7} word{i % 11} of{i % 5}", "fr" if i % 4 else "en") for i in range(120)] + [("S1-000000", "name1 more", "en"), ("S2-000777", "", "en"), ("S2-000778", None, None)]
+    records = spark.createDataFrame(rows, "entity_id string, combined string, country_norm string")
+    s1, pool = fx.first_source(records), fx.secondary(records)
+    index = tfidf.fit(pool, max_df=None)
+    whole = tfidf.query(s1, index, k=7)
+    assert not re.search(r"hashpartitioning\(s1_id#\d+, cand_id", whole._jdf.queryExecution().toString())
+    expected = sorted(whole.collect())
+    assert {r.s1_id for r in expected} == {r.entity_id for r in s1.collect()} and max(r["rank"] for r in expected) == 7
+    assert sorted(tfidf.query(s1, index, k=7, left_rows=9, right_rows=4).collect()) == expected
+    joined = tfidf.query(s1, tfidf.fit(pool, max_df=None, max_features=None), k=7, right_rows=30)
+    assert [tuple(r)[:3] for r in sorted(joined.collect())] == [tuple(r)[:3] for r in expected]
