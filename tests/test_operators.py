@@ -173,3 +173,16 @@ def test_tfidf_in_blocks(spark):
     assert sorted(tfidf.query(s1, index, k=7, left_rows=9, right_rows=4).collect()) == expected
     joined = tfidf.query(s1, tfidf.fit(pool, max_df=None, max_features=None), k=7, right_rows=30)
     assert [tuple(r)[:3] for r in sorted(joined.collect())] == [tuple(r)[:3] for r in expected]
+
+
+def test_token_overlap_in_blocks(spark):
+    """Against all pairs; blocks of any size give the same, and no pairs are shuffled."""
+    rows = [(f"S{1 + i % 3}-{i:06}", [f"t{i % 4}", f"u{i % 7}", f"v{i % 5}"][: i % 4], [str(i % 6), str(i % 9)][: i % 3], "fr" if i % 4 else "en") for i in range(150)] + [("S2-000900", ["t1", "u1"], ["1"], None)]
+    records = spark.createDataFrame(rows, "entity_id string, name_tokens array<string>, addr_nums array<string>, country_norm string")
+    enough = lambda a, b: len(set(a[1]) & set(b[1])) >= 1 and len(set(a[2]) & set(b[2])) >= 1 if a[2] and b[2] else len(set(a[1]) & set(b[1])) >= 2
+    expected = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < "S2" <= b[0] and a[3] == b[3] and enough(a, b))
+    s1, pool = fx.first_source(records), fx.secondary(records)
+    for size in ({}, {"left_rows": 11, "right_rows": 6}):
+        found = blocking.token_overlap(s1, pool, **size)
+        assert sorted(map(tuple, found.collect())) == expected and len(expected) > 100
+        assert not re.search(r"hashpartitioning\(s1_id#\d+, cand_id", found._jdf.queryExecution().toString())
