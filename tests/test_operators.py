@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinmesh.config import Config, pool_extra
 from kinmesh.functions.text import fold_any, fold_latin, normalise
-from kinmesh.operators import blocking, decide, evaluate, features, tfidf, training, validate
+from kinmesh.operators import blocking, decide, evaluate, features, neighbours, tfidf, training, validate
 from kinmesh.plans import fixtures as fx
 from kinmesh.plans import linkage
 from kinmesh.plans import queries as plans
@@ -186,3 +186,16 @@ def test_token_overlap_in_blocks(spark):
         found = blocking.token_overlap(s1, pool, **size)
         assert sorted(map(tuple, found.collect())) == expected and len(expected) > 100
         assert not re.search(r"hashpartitioning\(s1_id#\d+, cand_id", found._jdf.queryExecution().toString())
+
+
+def test_similar_in_blocks(spark):
+    """Against all pairs; blocks of any size give the same, and no pairs are shuffled."""
+    rows = [(f"S{1 + i % 3}-{i:06}", f"name{i % 7} of word{i % 11}"[: i % 20], "fr" if i % 4 else "en") for i in range(150)] + [("S2-000900", "name1", None)]
+    records = spark.createDataFrame(rows, "entity_id string, combined string, country_norm string")
+    sets = {r[0]: {r[1][n : n + 3] for n in range(len(r[1]) - 2)} for r in rows}
+    of = lambda a, b: len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1)
+    expected = sorted((a[0], b[0], round(of(a[0], b[0]), 6)) for a in rows for b in rows if a[0] < "S2" <= b[0] and a[2] == b[2] and of(a[0], b[0]) >= 0.6)
+    for size in ({}, {"left_rows": 11, "right_rows": 6}):
+        found = neighbours.lsh_similar(fx.first_source(records), fx.secondary(records), at_least=0.6, **size)
+        assert sorted(map(tuple, found.collect())) == expected and len(expected) > 50
+        assert not re.search(r"hashpartitioning\(s1_id#\d+, cand_id", found._jdf.queryExecution().toString())
