@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmesh.llm import decontam, licenses, mixing, neardup, quality, sharding, substring, tokens, warc
+from kinmesh.llm import classifier, decontam, licenses, mixing, neardup, negatives, quality, sharding, substring, tokens, trie, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,11 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8,
         "op9_near_dedup": neardup.op9,
         "op10_substring_dedup": substring.op10,
+        "op11_conversation_trie": trie.op11,
+        "op12_hard_negatives": negatives.op12,
+        "op13_quality_classifier": classifier.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of 2, 7 (a tokeniser's result) and 9 (components of a similarity join) there is no SQL; tests hold them against brute force."""
+    """Of 2, 7 (a tokeniser's result), 9 (components of a similarity join) and 13 (a trained model) there is no SQL; tests hold them against brute force."""
     return {
         "op1_sharding": sharding.oracle(),
         "op3_license_scan": licenses.oracle(),
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.oracle(),
         "op8_mixing": mixing.oracle(),
         "op10_substring_dedup": substring.oracle(),
+        "op11_conversation_trie": trie.oracle(),
+        "op12_hard_negatives": negatives.oracle(),
     }
