@@ -188,7 +188,7 @@ class Memory:
         return number
 
     def look(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn: Callable[[np.ndarray, list[bytes], np.ndarray], None]) -> np.ndarray:
-        """Numbers of all pieces; learn is told places, bytes and numbers of those that are new. Starts anew when full."""
+        """Numbers of all pieces, CACHE at most; learn is told places, bytes and numbers of those that are new. Starts anew when full."""
         size = ends - starts
         long = np.flatnonzero(size > EXACT)
         k1, k2 = self.coded(b, starts, np.minimum(size, EXACT))
@@ -201,8 +201,6 @@ class Memory:
             # Different pieces with the same code are left for another round.
             fresh = missing[np.unique(self._mixed(k1[missing], k2[missing], narrow[missing]), return_index=True)[1]]
             if self.n + len(fresh) + len(new) > CACHE:
-                if not self.n:
-                    raise ValueError("more distinct pieces in one group of texts than a worker may remember")
                 self.clear()
                 return self.look(b, starts, ends, learn)
             numbers = np.concatenate([self.add(k1[fresh], k2[fresh], narrow[fresh]), np.arange(self.n, self.n + len(new), dtype=np.int32)])
@@ -322,6 +320,11 @@ def text_groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     return groups(offsets, GROUP_BYTES)
 
 
+def slices(n: int) -> Iterator[slice]:
+    """Pieces are looked up in runs of CACHE: however many distinct ones a text has, those of a run can be remembered together."""
+    return (slice(a, a + CACHE) for a in range(0, n, CACHE))
+
+
 def _column(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pa.array(texts, pa.string()))
 
@@ -355,7 +358,8 @@ class Counter:
         """Tokens of each text low..high, and the largest number of its leading characters that take at most limit tokens."""
         b, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         starts, ends, firsts = self.splitter.split(data, offsets, low, high)
-        running = np.concatenate([[0], np.cumsum(self.counts[self.memory.look(b, starts, ends, self._learn)], dtype=np.int64)])
+        counts = [self.counts[self.memory.look(b, starts[s], ends[s], self._learn)] for s in slices(len(starts))]
+        running = np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)]) if counts else np.zeros(1, np.int64)
         total = running[firsts[1:]] - running[firsts[:-1]]
         chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
         fits = chars[at[1:]] - chars[at[:-1]]
@@ -458,15 +462,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_of(*_column(texts), 0, len(texts))
 
-    def encode_of(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> list[np.ndarray]:
-        b = data[offsets[low] : offsets[high]]
-        starts, ends, firsts = self.splitter.split(data, offsets, low, high)
+    def _run(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive pieces, and how many each has."""
         self.white = self.splitter.white_at(ends - 1)
         number = self.memory.look(b, starts, ends, self._learn)
         sizes = self.size[number].astype(np.int64)
         stop = np.cumsum(sizes)
-        total = int(stop[-1]) if len(stop) else 0
-        flat, begin = np.empty(total, np.uint32), self.begin[number]
+        flat, begin = np.empty(int(stop[-1]), np.uint32), self.begin[number]
         one = sizes == 1
         flat[stop[one] - 1] = self.ids[begin[one]]
         more = np.flatnonzero(sizes > 1)
@@ -474,7 +476,14 @@ class Encoder:
             n = sizes[more]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             flat[np.repeat(stop[more] - n, n) + step] = self.ids[np.repeat(begin[more], n) + step]
-        at = np.concatenate([[0], stop])[firsts]
+        return flat, sizes
+
+    def encode_of(self, data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+        b = data[offsets[low] : offsets[high]]
+        starts, ends, firsts = self.splitter.split(data, offsets, low, high)
+        parts = [self._run(b, starts[s], ends[s]) for s in slices(len(starts))]
+        flat = np.concatenate([ids for ids, _ in parts]) if len(parts) > 1 else parts[0][0] if parts else np.empty(0, np.uint32)
+        at = np.concatenate([[0], *(sizes for _, sizes in parts)]).cumsum()[firsts]
         out = [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         for d in self.splitter.with_added(data, offsets, low, high):
             out[d] = self.encode_one(data[offsets[low + d] : offsets[low + d + 1]].tobytes().decode())

@@ -63,7 +63,7 @@ def order(id_col: Column, seed: int, epoch: Column) -> Column:
 
 
 def budgets(leaves: DataFrame, names: Sequence[str], *, share: float, max_epochs: int, weights: Mapping[tuple[str, ...], float]) -> DataFrame:
-    """leaves: names and tokens. Adds budget, epochs (whole ones) and rest (tokens of one more)."""
+    """leaves: names and tokens. Adds budget, epochs (whole ones) and rest (tokens of one more). Without leaves there is nothing to plan; a leaf without tokens has no budget."""
     tree = leaves.withColumn("_km_cap", (F.col("tokens") * max_epochs).cast("double"))
     given = None
     for depth in range(1, len(names) + 1):
@@ -124,12 +124,13 @@ def cutoffs(sized: DataFrame, plan: DataFrame, names: Sequence[str], seed: int,
 
 
 def sizes(docs: DataFrame, tree: Sequence[Level], id_col: str = "doc_id", tokens: Column | None = None) -> DataFrame:
+    """id, levels and tokens of each row: white-space words, or what tokens gives. Null texts and null counts are 0; repeated rows count each."""
     counted = F.size(space_words(F.col("text"))) if tokens is None else tokens
     return docs.select(F.col(f"`{id_col}`").alias("id"), *(c.alias(n) for n, c in tree), F.coalesce(counted, F.lit(0)).cast("bigint").alias("tokens"))
 
 
 def plan_mix(docs: DataFrame, tree: Sequence[Level], *, share: float = SHARE, max_epochs: int = MAX_EPOCHS, weights: Mapping[tuple[str, ...], float] = WEIGHTS, seed: int = SEED, id_col: str = "doc_id", tokens: Column | None = None) -> tuple[DataFrame, DataFrame, bool]:
-    """(sized documents, leaves with epochs and cutoff, whether the leaves are few enough to broadcast)."""
+    """(sized documents, leaves with epochs and cutoff, whether the leaves are few enough to broadcast). An empty table has no leaves."""
     names = [n for n, _ in tree]
     sized = cut(sizes(docs, tree, id_col, tokens))
     leaves = sized.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
@@ -154,14 +155,14 @@ def mix(docs: DataFrame, *, tree: Sequence[Level] | None = None, id_col: str = "
     """docs with all its columns, each row as often as its leaf's budget takes it.
 
     Null levels count as empty names, null texts as no tokens; a document without tokens is taken if its place is in
-    the prefix. Rows with the same id stand at the same place and are taken or left together. Columns whose names
-    clash with the tree's keep their values: the tree is worked out beside them. An empty table gives an empty table.
+    the prefix. Rows with the same id stand at the same place and are taken or left together. All columns keep their values, whatever
+    their names: the tree is worked out beside them. An empty table gives an empty table. Tokens are words unless tokens says otherwise.
     """
     tree = levels() if tree is None else list(tree)
     names, seed = [n for n, _ in tree], how.get("seed", SEED)
     _, plan, few = plan_mix(docs, tree, id_col=id_col, **how)
-    rows = docs.withColumns({f"_km_l_{n}": c for n, c in tree})
-    return chosen(rows, plan, names, few, F.col(f"`{id_col}`"), seed).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_km_row"), F.col(f"`{id_col}`").alias("_km_id"), *(c.alias(f"_km_l_{n}") for n, c in tree))
+    return chosen(rows, plan, names, few, F.col("_km_id"), seed).select("_km_row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from kinmesh.llm.components import components
 
 SHINGLE = 5
 K = 64
-#: Two documents are linked if 100 * intersection >= percent * union: the default of the stage that keeps one of each, and op9's.
+#: Two documents are linked if 100 * intersection >= percent * union: the operators' default, and what op9 asks for.
 PERCENT, OP9_PERCENT = 80, 85
 #: Chance at most that a sketch's overlap, or its estimate, keeps a pair at exactly the threshold from the check of its sets.
 MISSED = 1e-9
@@ -260,7 +260,7 @@ def links(docs: DataFrame, classes: DataFrame, *, percent: int, id_col: str = "d
     return near.select("a", "b").unionByName(far)
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = OP9_PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set).
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with the same id are one document: they share

@@ -35,7 +35,7 @@ RULES = (("symbols", "n_symbols", "word_chars"), ("dup_lines", "n_dup_lines", "n
 
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus COUNTS, all long; columns of docs with these names are replaced.
+    """docs plus COUNTS, all long; columns of docs with these names are replaced, all others keep their values.
 
     Null and blank texts have zeros; texts of any length are taken whole; repeated rows are measured each. Lines are split at line feeds and only those with a word count. Words in
     repeated windows are told by a 64-bit hash of the window's words within one text.
@@ -44,7 +44,8 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     none = F.array().cast("array<bigint>")
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    df = docs.withColumns({"_km_w": space_words(body), "_km_l": lines})
+    df = docs.select(*([F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_km_row")] if kept else []), space_words(body).alias("_km_w"), lines.alias("_km_l"), body.alias("_km_body"))
+    body = F.col("_km_body")
     df = df.withColumn("_km_h", F.transform("_km_w", lambda w: F.xxhash64(w)))
     last = F.size("_km_w") - WINDOW
     rolled = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("_km_h", i + j) for j in range(WINDOW))))
@@ -68,7 +69,7 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_km_l"),
         "n_upper": F.length(body) - F.length(F.regexp_replace(body, "[A-Z]+", "")),
     }
-    return df.select(*(F.col(f"`{c}`") for c in kept), *(c.cast("bigint").alias(n) for n, c in counts.items()))
+    return df.select(*(["_km_row.*"] if kept else []), *(c.cast("bigint").alias(n) for n, c in counts.items()))
 
 
 def base_failed() -> Column:

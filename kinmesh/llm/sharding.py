@@ -70,13 +70,14 @@ def place(df: DataFrame, names: Sequence[str], *, key: str = "doc_id", slots: in
     """All rows and columns of df, plus shard (index in names).
 
     Rows with the same key share a shard; a null key is placed as the empty string. An empty table
-    gives an empty table. A column named shard in df is replaced.
+    gives an empty table. A column named shard in df is replaced; all others keep their values, whatever their names.
     """
     spark = df.sparkSession
     filled = table_frame(spark, lookup_table(names, slots, weights))
-    kept = [c for c in df.columns if c.lower() != "shard"]
-    placed = df.withColumn("_km_at", slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(filled), F.col("_km_at") == F.col("_km_slot"))
-    return placed.select(*(F.col(f"`{c}`") for c in kept), F.col("_km_shard").alias("shard"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != "shard"]
+    hidden = df.select(*([F.struct(*kept).alias("_km_row")] if kept else []), slot_of(F.col(f"`{key}`"), slots).alias("_km_at"))
+    placed = hidden.join(F.broadcast(filled), F.col("_km_at") == F.col("_km_slot"))
+    return placed.select(*(["_km_row.*"] if kept else []), F.col("_km_shard").alias("shard"))
 
 
 def write_shards(placed: DataFrame, path: str, *, files_per_shard: int = 8, key: str = "doc_id") -> None:

@@ -3,7 +3,8 @@
 A shard file holds, little-endian: a header, the documents' keys and offsets in ascending key order, the index, and the raw ids
 of all documents one after the other (two bytes an id if the vocabulary allows, four otherwise). The index is a minimal perfect hash: a
 cascade of bit arrays in which every key has a bit of its own, the rank of that bit being the key's slot; the slot
-holds a fingerprint of the key and the document's number. A lookup reads a bit or two, a fingerprint and two offsets.
+holds a fingerprint of the key and the document's number. A lookup reads the header, a bit or two, a fingerprint, two offsets and the document;
+header and documents have sums of their own, so that it needs nothing else of the file.
 """
 
 from __future__ import annotations
@@ -11,18 +12,18 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinmesh.llm.bpe import Counter, Encoder, once, text_groups
 from kinmesh.llm.bytesvec import mix, text_bytes
-from kinmesh.llm.common import deleted_at_exit, scratch, table
+from kinmesh.llm.common import deleted_at_exit, running, scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -31,10 +32,11 @@ END_ID = 2
 SHARD_IDS = 4 << 20
 #: Shards up to this number have their starts broadcast (about 60 bytes each); beyond it they are joined by shuffle.
 BROADCAST_SHARDS = 100_000
-MAGIC = b"KMTOKEN2"
+MAGIC = b"KMTOKEN3"
 _HEADER = struct.Struct("<8sIIQQQ")
-#: After the header: length and CRC of all that follows.
+#: After the header: length and CRC of all that follows, and the CRC of the header and these two.
 _SEAL = struct.Struct("<QI")
+_HEAD_SUM = struct.Struct("<I")
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _MARK = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -147,38 +149,62 @@ def pack_shard(keys: list[int | None], ids: list[np.ndarray], width: int) -> byt
     prints, number = np.zeros(len(first), "<u4"), np.zeros(len(first), "<u4")
     prints[slot], number[slot] = _fingerprints(distinct), first
     header = _HEADER.pack(MAGIC, width, len(index.levels), len(keys), len(first), int(offsets[-1]))
-    parts = [key.tobytes(), null.astype(np.uint8).tobytes(), offsets.tobytes(), prints.tobytes(), number.tobytes()]
+    raw = [i.astype(f"<u{width}").tobytes() for i in ids]
+    sums = np.array([zlib.crc32(r) for r in raw], "<u4")
+    parts = [key.tobytes(), null.astype(np.uint8).tobytes(), offsets.tobytes(), sums.tobytes(), prints.tobytes(), number.tobytes()]
     for (words, ranks), base in zip(index.levels, index.bases, strict=True):
         parts += [struct.pack("<QQ", len(words), base), words.tobytes(), ranks.tobytes()]
-    flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    body = b"".join([*parts, flat.astype(f"<u{width}").tobytes()])
-    return header + _SEAL.pack(len(body), zlib.crc32(body)) + body
+    body = b"".join(parts + raw)
+    head = header + _SEAL.pack(len(body), zlib.crc32(body))
+    return head + _HEAD_SUM.pack(zlib.crc32(head)) + body
+
+
+class Far:
+    """An array in a file of which only the places asked for are read."""
+
+    def __init__(self, read: Callable[[int, int], bytes], at: int, kind: str, n: int) -> None:
+        self.read, self.at, self.kind, self.n = read, at, np.dtype(kind), n
+        self.nbytes = n * self.kind.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, place):
+        if isinstance(place, slice):
+            return np.frombuffer(self.read(self.at + place.start * self.kind.itemsize, (place.stop - place.start) * self.kind.itemsize), self.kind)
+        if isinstance(place, np.ndarray):
+            return np.array([self[int(i)] for i in place], self.kind)
+        return self[place : place + 1][0]
 
 
 class Shard:
-    """A shard file, read without copying."""
+    """A shard file: all of it, read without copying and checked as a whole, or one that is read where it is asked."""
 
-    def __init__(self, blob: bytes) -> None:
-        magic, self.width, n_levels, n_docs, n_keys, n_ids = _HEADER.unpack_from(blob)
-        if magic != MAGIC:
+    def __init__(self, blob: bytes | Callable[[int, int], bytes]) -> None:
+        far = callable(blob)
+        start = _HEADER.size + _SEAL.size
+        head = blob(0, start + _HEAD_SUM.size) if far else bytes(memoryview(blob)[: start + _HEAD_SUM.size])
+        if len(head) < start + _HEAD_SUM.size or head[: len(MAGIC)] != MAGIC:
             raise ValueError("not a shard file")
-        length, crc = _SEAL.unpack_from(blob, _HEADER.size)
-        at = _HEADER.size + _SEAL.size
-        if len(blob) < at + length or zlib.crc32(memoryview(blob)[at : at + length]) != crc:
+        if zlib.crc32(head[:start]) != _HEAD_SUM.unpack_from(head, start)[0]:
+            raise ValueError("a shard file that is torn or was changed")
+        _, self.width, n_levels, n_docs, n_keys, n_ids = _HEADER.unpack_from(head)
+        length, crc = _SEAL.unpack_from(head, _HEADER.size)
+        at = start + _HEAD_SUM.size
+        if not far and (len(blob) < at + length or zlib.crc32(memoryview(blob)[at : at + length]) != crc):
             raise ValueError("a shard file that is torn or was changed")
 
-        def take(kind: str, n: int) -> np.ndarray:
+        def take(kind: str, n: int) -> np.ndarray | Far:
             nonlocal at
-            out = np.frombuffer(blob, kind, n, at)
+            out = Far(blob, at, kind, n) if far else np.frombuffer(blob, kind, n, at)
             at += out.nbytes
             return out
 
-        self.keys, self.null, self.offsets = take("<i8", n_docs), take("u1", n_docs).astype(bool), take("<u8", n_docs + 1)
-        self.prints, self.number = take("<u4", n_keys), take("<u4", n_keys)
+        self.keys, self.null, self.offsets = take("<i8", n_docs), take("?", n_docs), take("<u8", n_docs + 1)
+        self.sums, self.prints, self.number = take("<u4", n_docs), take("<u4", n_keys), take("<u4", n_keys)
         levels, bases = [], []
         for _ in range(n_levels):
-            n, base = struct.unpack_from("<QQ", blob, at)
-            at += 16
+            n, base = struct.unpack("<QQ", take("u1", 16)[0:16].tobytes())
             levels.append((take("<u8", n), take("<u4", n)))
             bases.append(base)
         self.index = PerfectHash(levels, bases)
@@ -195,8 +221,14 @@ class Shard:
         return out
 
     def get(self, key: int) -> np.ndarray | None:
+        """Ids of the first document with a key, checked by its own sum."""
         at = int(self.find(np.array([key]))[0])
-        return None if at < 0 else self.document(at)
+        if at < 0 or int(self.keys[at]) != key:
+            return None
+        ids = self.document(at)
+        if zlib.crc32(ids.tobytes()) != int(self.sums[at]):
+            raise ValueError("a shard file that is torn or was changed")
+        return ids
 
     def document(self, number: int) -> np.ndarray:
         return self.ids[int(self.offsets[number]) : int(self.offsets[number + 1])]
@@ -247,12 +279,23 @@ def write_shards(docs: DataFrame, path: str, *, vocabulary: str = VOCABULARY, en
 
 
 def get(spark: SparkSession, path: str, key: int) -> np.ndarray | None:
-    """Ids of the first document with a key, or None. The folders' key ranges leave one file to be read, its index one place in it."""
+    """Ids of the first document with a key, or None. The folders' key ranges leave one file, and of that a number of ranges that depends on the
+    levels of its index alone is read, besides the document. A changed header or document is refused; read_shards checks whole files."""
     files = spark.read.format("binaryFile").load(path)
     if "shard" not in files.columns:
         return None
-    for row in files.filter((F.col("first_key").cast("bigint") <= key) & (F.col("last_key").cast("bigint") >= key)).select("content").toLocalIterator():
-        found = Shard(bytes(row["content"])).get(key)
+    for row in files.filter((F.col("first_key").cast("bigint") <= key) & (F.col("last_key").cast("bigint") >= key)).select("path").toLocalIterator():
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row["path"])
+        stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+
+        def read(at: int, n: int, stream=stream) -> bytes:
+            stream.seek(at)
+            return bytes(stream.readNBytes(n))
+
+        try:
+            found = Shard(read).get(key)
+        finally:
+            stream.close()
         if found is not None:
             return found
     return None
@@ -265,8 +308,7 @@ def read_shards(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> Da
     if "shard" not in files.columns:  # of an empty table there are no shards
         return spark.createDataFrame([], schema)
     files = files.withColumn("n_ids", F.col("n_ids").cast("bigint"))
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
-    starts = files.select("shard", "n_ids").select("shard", before.alias("base"))
+    starts = running(files.select("shard", "n_ids"), [], [F.col("shard").asc()], F.col("n_ids"), "base", "starts").select("shard", "base")
     few = files.select("shard").limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
     rows = files.select("shard", "content").join(F.broadcast(starts) if few else starts, "shard").select("base", "content")
 

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm.common import cut, space_words, stored, table
+from kinmesh.llm.common import cut, running, space_words, stored, table
 
 #: Conversations c take their first turns from c - c % HOSTS, HEADS - 1 of them at most.
 HOSTS, HEADS = 20, 4
@@ -35,22 +35,6 @@ EMPTY = hashlib.sha256().hexdigest()
 COLUMNS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, name: str) -> DataFrame:
-    """df with the sum of value over the rows before it that have the same keys, 0 for the first.
-
-    Rows are dealt by ranges of keys and order, so that one key may span tasks; a key's sums of whole ranges are added up apart.
-    """
-    part, before = "_km_part", Window.unboundedPreceding
-    rows = df.withColumn("_km_value", value.cast("bigint")).withColumn("_km_tie", F.monotonically_increasing_id())
-    rows = stored(rows.repartitionByRange(*keys, *order, "_km_tie").withColumn(part, F.spark_partition_id()), name)
-    sums = rows.groupBy(*keys, part).agg(F.sum("_km_value").alias("_km_sum"))
-    offset = F.coalesce(F.sum("_km_sum").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(before, -1)), F.lit(0))
-    local = F.coalesce(F.sum("_km_value").over(Window.partitionBy(*keys, part).orderBy(*order, "_km_tie").rowsBetween(before, -1)), F.lit(0))
-    offsets = sums.select(*keys, part, offset.alias("_km_offset"))
-    rows = rows.withColumn("_km_local", local).join(offsets.hint("merge"), [*keys, part])
-    return rows.withColumn(out, F.col("_km_local") + F.col("_km_offset")).drop("_km_local", "_km_offset", "_km_value", "_km_tie", part)
-
-
 def numbered(conversations: DataFrame) -> DataFrame:
     """conv_id, pos (from 0), key (digest of role and text), words. Rows without a conv_id belong to no conversation and go.
 

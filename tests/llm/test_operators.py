@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinmesh.llm import bpe, components, decontam, licenses, mixing, neardup, quality, registry, sharding, substring, tokens, warc
+from kinmesh.llm import bpe, common, components, decontam, licenses, mixing, neardup, quality, registry, sharding, substring, tokens, warc
 from tests.conftest import duck, same_rows
 
 SF = "/root/testdata/sf0.001"
@@ -72,7 +72,7 @@ def test_near_duplicates_and_shards_without_broadcasts(spark, monkeypatch):
 
 def test_near_duplicates_of_a_thousand_documents(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.read.parquet(path)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.read.parquet(path), percent=85).collect()}
     assert got == brute_components([(r.doc_id, r.text) for r in spark.read.parquet(path).collect()])
 
 
@@ -295,7 +295,7 @@ def test_mixing_rows(docs, none):
     assert twice.filter("doc_id = 5").count() == 2
 
 
-def brute_components(docs):
+def brute_components(docs, percent=85):
     sets, up = {}, {}
     for i, t in docs:
         w = simple_words(t)
@@ -310,7 +310,7 @@ def brute_components(docs):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and 100 * min(len(sets[a]), len(sets[b])) >= 85 * max(len(sets[a]), len(sets[b])) and (both := len(sets[a] & sets[b])) and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])) and (both := len(sets[a] & sets[b])) and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -326,10 +326,10 @@ def test_near_duplicates(spark, docs, none):
             w[j] = f"u{i}-{j}"
         rows.append((i, " ".join(w)))
     shuffled = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(shuffled).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(shuffled, percent=85).collect()}
     assert got == brute_components(rows)
     real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"), percent=85).collect()}
     assert got == brute_components(real)
     out = neardup.near_duplicates(docs)
     rows = {r.doc_id: r for r in out.collect()}
@@ -375,7 +375,7 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
         w = list(w)
         w[int(rng.integers(100, 200))] = f"u{i}"
         rows.append((int(rng.permutation(90)[0]) * 1000 + i, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
     assert got == brute_components(rows)
 
 
@@ -402,7 +402,9 @@ def test_substring_dedup(spark, docs, none):
     left = sorted(map(repr, substring.remove_repeats(other.withColumns({"_km_id": F.lit(1), "Removed": F.lit("old")})).collect()))
     assert sorted(r.text or "" for r in substring.remove_repeats(other).collect()) == sorted([line, "x", "y\nunique line", "x", "", line + " more"]) and len(left) == 6
     assert substring.remove_passages(other.withColumn("_km_spans", F.lit(1))).count() == 6
-    assert substring.removals(none).isEmpty() and {r.doc_id for r in substring.removals(docs).collect()} == set()
+    assert substring.removals(none).isEmpty() and {r.doc_id for r in substring.removals(docs).collect()} == {5, 7}
+    spans = [(r.doc_id, r.unit, r.n_words) for r in substring.removals(docs.filter("doc_id = 5")).collect() if r.kind == "passage"]
+    assert {(i, w + x) for i, w, n in spans for x in range(n)} == brute_passages([(5, LONG)])
 
 
 def brute_passages(rows, n=50):
@@ -442,20 +444,107 @@ def test_passages_in_short_and_inside_long_lines(spark, docs, none):
     assert substring.passages(none).isEmpty() and substring.remove_passages(docs).columns == docs.columns and substring.remove_passages(docs).count() == len(ROWS)
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, monkeypatch):
+    """Every stage's rows, whole: by SQL of its operator on its own input, near duplicates by brute force."""
     import corpus_pipeline
 
+    sf = "/root/testdata/sf0.01"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontaminate", "mix_sources", "shard"]
-    raw = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF).collect()
-    ids = [r.doc_id for r in out]
-    assert len(ids) == len(set(ids)) > 0 and {c for c in raw.columns} < set(out[0].asDict())
-    failed = {r.doc_id for r in registry.queries()["op5_quality_rules"](spark, SF).filter("NOT kept").collect()}
-    assert not failed & set(ids)
-    alive = [(r.doc_id, r.text) for r in raw.collect() if r.doc_id not in failed]
-    groups = brute_components(alive)
-    assert len({groups[i][1] for i in ids}) == len(ids)
-    dirty = {r.doc_id for r in registry.queries()["op4_decontamination"](spark, SF).filter("contaminated").collect()}
-    assert not dirty & set(ids)
+    monkeypatch.setattr(mixing, "MAX_EPOCHS", corpus_pipeline.MAX_EPOCHS)
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    con = duck(sf)
+    con.execute("create table here as select * from documents")
+    con.execute("create or replace view documents as select * from here")
+    rows = lambda sql: con.sql(sql).fetchall()
+
+    def keep(ids):
+        con.execute("create or replace table kept as select unnest($1::bigint[]) as doc_id", [sorted(ids)])
+        con.execute("delete from here where doc_id not in (select doc_id from kept)")
+        return {i for (i,) in rows("select doc_id from here")}
+
+    want = [
+        lambda: [i for (i,) in rows(f"select doc_id from ({quality.oracle()}) where kept")],
+        lambda: [i for i, (_, c) in brute_components(rows("select doc_id, text from here"), 80).items() if i == c],
+        lambda: [i for (i,) in rows(f"select doc_id from ({decontam.oracle()}) where not contaminated")],
+        lambda: [i for (i,) in rows(f"select doc_id from ({mixing.oracle()})")],
+    ]
+    docs = raw
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, want, strict=False):
+        docs = common.stored(stage(spark, docs, sf), name)
+        before = {i for (i,) in rows("select doc_id from here")}
+        after = keep(expected())
+        assert {r.doc_id for r in docs.select("doc_id").collect()} == after and docs.count() == len(after), name
+        assert 0 < len(after) < len(before), name
+    shards = dict(rows(f"select doc_id, shard from ({sharding.oracle()})"))
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id: r.shard for r in out} == shards and len(out) == len(shards)
+    texts = dict(rows("select doc_id, text from here"))
+    assert {r.doc_id: r.text for r in out} == texts
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, raw.limit(0), SF).isEmpty()
+        assert stage(spark, raw.limit(0), sf).isEmpty()
+
+
+#: Names that operators give to columns of their own, in any case.
+HIDDEN = ("epoch", "Epoch_", "_km_l_lang", "_km_l_domain", "_km_p_lang", "_km_at", "_km_slot", "_km_shard", "_km_w", "_km_l", "_km_h", "_km_row", "_km_id", "_km_times", "_km_in", "_km_body", "_km_cutoff")
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"old {c}") for c in HIDDEN})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for out in (mixing.mix(docs, share=1.0, max_epochs=1, weights={}), sharding.place(docs, sharding.shard_names(5), slots=101), quality.signals(docs), quality.filter_quality(docs, labels)):
+        for r in out.select(*HIDDEN).collect():
+            assert r.asDict() == {c: f"old {c}" for c in HIDDEN}
+    given = sorted(repr(tuple(r)) for r in docs.select("doc_id", "text", *HIDDEN).collect())
+    assert sorted(repr(tuple(r)) for r in quality.signals(docs).select("doc_id", "text", *HIDDEN).collect()) == given
+    assert sorted(repr(tuple(r)) for r in sharding.place(docs, sharding.shard_names(5), slots=101).select("doc_id", "text", *HIDDEN).collect()) == given
+    assert sharding.place(docs.select(F.col("doc_id").alias("shard")), sharding.shard_names(5), key="shard", slots=101).count() == len(ROWS)
+
+
+def test_more_pieces_than_a_worker_remembers(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 500)
+    text = " ".join(f"n{i}" for i in range(4000)) + "  \n" + " ".join(map(str, range(3000))) + " 語 " * 700
+    texts = ["", text, "a b", text[::-1], "x" * 5000]
+    path = tokens.vocabulary_path(tokens.VOCABULARY)
+    encoder, counter = bpe.Encoder(path), bpe.Counter(path)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(e) for e in encoder.encode(texts)] == want
+    n, fits = counter.totals(texts, 1024)
+    assert n.tolist() == list(map(len, want))
+    for t, k in zip(texts, fits.tolist(), strict=True):
+        count = len(encoder.tokenizer.encode(t[:k], add_special_tokens=False).ids)
+        assert count <= 1024 and (k == len(t) or count >= 1020)
+
+
+def test_a_million_distinct_pieces():
+    text = " ".join(map(str, range(10_000_000, 11_050_000)))
+    path = tokens.vocabulary_path(tokens.VOCABULARY)
+    encoder, counter = bpe.Encoder(path), bpe.Counter(path)
+    (ids,) = encoder.encode([text])
+    assert len(ids) == counter.totals([text], 1024)[0][0] and encoder.tokenizer.decode(ids[-40:].tolist()) in text
+    assert ids[:4000].tolist() == encoder.encode_one(text[:30_000])[:4000].tolist()
+
+
+def test_keyed_access_reads_ranges(spark, tmp_path):
+    docs = spark.range(0, 6000, 2).selectExpr("id as doc_id", "concat('text number ', id, repeat(' word', int(id % 50))) as text")
+    path = f"file://{tmp_path}/k"
+    tokens.write_shards(docs.coalesce(1), path, shard_ids=1 << 30)
+    tok = bpe.load(tokens.vocabulary_path(tokens.VOCABULARY))
+    for key in (0, 2222, 5998):
+        assert tokens.get(spark, path, key).tolist() == [*tok.encode(f"text number {key}" + " word" * (key % 50), add_special_tokens=False).ids, 2]
+    assert tokens.get(spark, path, 3) is None and tokens.get(spark, path, -1) is None
+    keys = list(range(0, 20_000, 2))
+    blob = bytearray(tokens.pack_shard(keys, [np.full(30, i, np.uint32) for i in keys], 4))
+    asked = []
+
+    def read(at, n):
+        asked.append(n)
+        return bytes(blob[at : at + n])
+
+    assert tokens.Shard(read).get(8888).tolist() == [8888] * 30 and sum(asked) < 1000 < len(blob) / 1000
+    assert all(tokens.Shard(read).get(k) is None for k in range(1, 2000, 2))
+    blob[-30 * 4 * len(keys) + 4444 * 120] ^= 1
+    with pytest.raises(ValueError, match="torn"):
+        tokens.Shard(read).get(8888)
+    blob[20] ^= 1
+    with pytest.raises(ValueError, match="torn"):
+        tokens.Shard(read)
