@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmesh.config import Config
+from kinmesh.operators import boosting
+from kinmesh.operators.boosting import Boosted, Settings
 from kinmesh.operators.decide import pr_curve
 from kinmesh.sources.samples import shuffled
+from kinmesh.sources.writers import Stages
 
-# Fixed values: (depth, step, trees) of the settings that are tried. Spark's trees have no L1, L2 or split penalty.
+Model = Boosted | GBTClassificationModel
+
+# Fixed values: (depth, step, trees) of the settings that are tried.
 GRID = ((8, 0.05, 800), (10, 0.05, 800), (10, 0.03, 1200), (12, 0.05, 600), (8, 0.1, 500), (10, 0.1, 500))
 # The first generation's single setting.
-SINGLE_V1 = (8, 0.1, 500)
+SINGLE_V1 = Settings(8, 0.1, 500, least_hessian=5.0, patience=30)
 
 
 def split_entities(entities: DataFrame, config: Config) -> DataFrame:
@@ -49,16 +54,23 @@ def assembled(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep").transform(features)
 
 
+def fit_single_v1(pairs: DataFrame, seed: int = 42) -> Boosted:
+    """First generation: one model of one setting."""
+    return boosting.fit(pairs, SINGLE_V1, seed=seed)
+
+
 def fit_gbt(pairs: DataFrame, *, depth: int, step: float, trees: int, seed: int) -> GBTClassificationModel:
-    """pairs: features (vector), label, validation. True pairs weigh as much as all others together; stops early on validation rows."""
+    """Spark's own trees, without L1, L2 and split penalties. pairs: features (vector), label, validation. True pairs weigh as much as all others together; stops early on validation rows."""
     counts = pairs.filter("NOT validation").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).first()
     heavy = (counts["n"] - counts["p"]) / max(1, counts["p"] or 0)
     weighted = pairs.withColumns({"w": F.when(F.col("label") == 1, float(max(heavy, 1e-6))).otherwise(1.0), "label": F.col("label").cast("double")})
     return GBTClassifier(maxDepth=depth, stepSize=step, maxIter=trees, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, weightCol="w", validationIndicatorCol="validation", validationTol=0.001).fit(weighted)
 
 
-def predict(rows: DataFrame, models: Sequence[GBTClassificationModel]) -> DataFrame:
+def predict(rows: DataFrame, models: Sequence[Model]) -> DataFrame:
     """rows plus p: the mean of the models' probabilities."""
+    if all(isinstance(m, Boosted) for m in models):
+        return boosting.probabilities(rows, models)
     for i, m in enumerate(models):
         m = m.copy().setPredictionCol(f"_y{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}")
         rows = m.transform(rows).withColumn(f"_q{i}", vector_to_array(F.col(f"_p{i}"))[1]).drop(f"_y{i}", f"_p{i}", f"_r{i}")
@@ -72,22 +84,29 @@ def best_threshold(labelled: DataFrame) -> tuple[float, float]:
     return (row["threshold"], row["f"]) if row else (0.5, 0.0)
 
 
-def grid_search(pairs: DataFrame, *, grid: Sequence[tuple[int, float, int]] = GRID, seed: int = 42) -> tuple[tuple[int, float, int], list[tuple[tuple[int, float, int], float]]]:
-    """The setting with the best pair F0.5 on validation rows, and all settings with theirs."""
-    tried = []
+def grid_search(pairs: DataFrame, *, grid: Sequence[tuple[int, float, int]] = GRID, seed: int = 42, stages: Stages | None = None) -> tuple[tuple[int, float, int], list[tuple[tuple[int, float, int], float]]]:
+    """The setting with the best pair F0.5 on validation rows, and all settings with theirs. With stages each setting's model is kept, and a later run fits the others only."""
+    spark, tried = pairs.sparkSession, []
     for depth, step, trees in grid:
-        model = fit_gbt(pairs, depth=depth, step=step, trees=trees, seed=seed)
-        tried.append(((depth, step, trees), best_threshold(predict(pairs.filter("validation"), [model]))[1]))
+
+        def fitted(s: Settings = Settings(depth, step, trees)) -> DataFrame:
+            model = boosting.fit(pairs, s, seed=seed)
+            model.f = best_threshold(predict(pairs.filter("validation"), [model]))[1]
+            return model.frame(spark)
+
+        made = stages.stage(f"grid-{depth}-{step}-{trees}", fitted) if stages else fitted()
+        tried.append(((depth, step, trees), Boosted.from_frame(made).f))
     return max(tried, key=lambda x: x[1])[0], tried
 
 
-def ensemble(pairs: DataFrame, setting: tuple[int, float, int], config: Config) -> list[GBTClassificationModel]:
-    depth, step, trees = setting
-    return [fit_gbt(pairs, depth=depth, step=step, trees=trees, seed=config.seed + i) for i in range(config.n_models)]
+def ensemble(pairs: DataFrame, setting: tuple[int, float, int], config: Config) -> list[Boosted]:
+    """n_models fits that differ in their seed."""
+    return [boosting.fit(pairs, Settings(*setting), seed=config.seed + i) for i in range(config.n_models)]
 
 
-def importance(models: Sequence[GBTClassificationModel], names: Sequence[str], top: int = 15) -> list[tuple[str, float]]:
-    total = [sum(float(m.featureImportances[i]) for m in models) / len(models) for i in range(len(names))]
+def importance(models: Sequence[Model], names: Sequence[str], top: int = 15) -> list[tuple[str, float]]:
+    shares = [m.importances if isinstance(m, Boosted) else [float(v) for v in m.featureImportances.toArray()] for m in models]
+    total = [sum(s[i] for s in shares if i < len(s)) / len(models) for i in range(len(names))]
     return sorted(zip(names, total, strict=True), key=lambda x: (-x[1], x[0]))[:top]
 
 

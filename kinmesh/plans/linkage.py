@@ -14,7 +14,7 @@ from kinmesh.operators import blocking, decide, evaluate, features, neighbours,
 from kinmesh.sources import readers, samples, writers
 from kinmesh.sources.writers import Stages
 
-#: Settings that training tries unless told otherwise: the reference grid's depths with trees that a CPU cluster grows in reasonable time.
+#: Two small settings for a first look; training tries training.GRID unless told otherwise.
 QUICK_GRID = ((8, 0.1, 60), (10, 0.1, 60))
 
 
@@ -67,7 +67,7 @@ def score(pairs: DataFrame, s1: DataFrame, pool: DataFrame, models: list, floor:
     return out if floor is None else out.filter(F.col("p") >= floor)
 
 
-def run_train(s1: DataFrame, pool: DataFrame, truth: DataFrame, config: Config, stages: Stages, *, grid=QUICK_GRID, vectors=None) -> Trained:
+def run_train(s1: DataFrame, pool: DataFrame, truth: DataFrame, config: Config, stages: Stages, *, grid=training.GRID, vectors=None) -> Trained:
     """Blocks, labels, fits the grid and an ensemble of the best setting, tunes the threshold on held-out entities.
 
     With neg_pos_ratio set, a second round adds hard negatives. Every stage is stored and taken up again by a later run.
@@ -82,7 +82,7 @@ def run_train(s1: DataFrame, pool: DataFrame, truth: DataFrame, config: Config,
         return training.assembled(rows.join(labelled, ["s1_id", "cand_id"]).join(split, "s1_id"), features.FEATURE_NAMES).select("s1_id", "cand_id", "label", "validation", "features")
 
     labelled = stages.stage("pairs", lambda: vectors_of(training.labelled_pairs(pairs, truth, ratio=config.neg_pos_ratio, seed=config.seed)))
-    setting, _ = training.grid_search(labelled, grid=grid, seed=config.seed)
+    setting, _ = training.grid_search(labelled, grid=grid, seed=config.seed, stages=stages)
     models = training.ensemble(labelled, setting, config)
     if config.neg_pos_ratio is not None:
         everything = vectors_of(training.labelled_pairs(pairs, truth))

@@ -80,9 +80,12 @@ def load_model(spark: SparkSession, path: str, feature_names: list[str]):
     """(models, threshold) as sinks.save_model wrote them; refused if made for other preprocessing or features."""
     from pyspark.ml.classification import GBTClassificationModel
 
+    from kinmesh.operators.boosting import Boosted
+
     side = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/sidecar").collect()))
     if side["preprocess_version"] != PREPROCESS_VERSION:
         raise ValueError(f"the model expects preprocessing version {side['preprocess_version']}, this is {PREPROCESS_VERSION}")
     if side["feature_names"] != list(feature_names):
         raise ValueError("the model was trained on other features")
-    return [GBTClassificationModel.load(f"{path}/model-{i}") for i in range(side["models"])], side["threshold"]
+    kinds = side.get("kinds", ["spark"] * side["models"])
+    return [Boosted.from_frame(spark.read.parquet(f"{path}/model-{i}")) if kind == "nodes" else GBTClassificationModel.load(f"{path}/model-{i}") for i, kind in enumerate(kinds)], side["threshold"]

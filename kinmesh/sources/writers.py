@@ -144,10 +144,10 @@ def list_runs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def save_model(spark: SparkSession, models: list, threshold: float, feature_names: list[str], path: str) -> None:
-    """Each model in Spark ML's format, and a sidecar with what load_model checks."""
+    """Each model, trees of our own as a table of nodes and Spark's in their format, and a sidecar with what load_model checks."""
     for i, m in enumerate(models):
-        m.write().overwrite().save(f"{path}/model-{i}")
-    side = {"models": len(models), "threshold": threshold, "preprocess_version": PREPROCESS_VERSION, "feature_names": list(feature_names)}
+        (m.frame(spark).coalesce(1).write.mode("overwrite").parquet if hasattr(m, "frame") else m.write().overwrite().save)(f"{path}/model-{i}")
+    side = {"models": len(models), "kinds": ["nodes" if hasattr(m, "frame") else "spark" for m in models], "threshold": threshold, "preprocess_version": PREPROCESS_VERSION, "feature_names": list(feature_names)}
     spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/sidecar")
 
 
