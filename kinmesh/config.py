@@ -30,6 +30,7 @@ class Config:
     use_lsh: bool = False
     key_bucket: int = 100
     dense_top_k: int = 50
+    dense_exact: bool = False
     lsh_permutations: int = 128
     lsh_threshold: float = 0.3
     lsh_ngram: int = 3

@@ -14,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmesh.sources.writers import stored
+
 #: Records of a block of the first and of the second side.
 LEFT_ROWS, RIGHT_ROWS = 65_536, 32_768
+#: Sizes of groups (60 bytes each) are broadcast up to this number; beyond it they are joined by shuffle.
+BROADCAST_GROUPS = 100_000
 #: Sums a task holds at a time.
 CELLS = 1 << 20
 
@@ -25,7 +29,8 @@ Match = Callable[[pa.Table, pa.Table], pa.Table]
 def meet(left: DataFrame, right: DataFrame, group: str, match: Match, schema: str, *, left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS) -> DataFrame:
     """match's rows for every two blocks of a group; a group that is null, or on one side only, has none. Both sides have a column id, by which they are dealt."""
     parts = lambda df, name, rows: df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-    sizes = F.broadcast(parts(left, "_ln", left_rows).join(parts(right, "_rn", right_rows), group))
+    sizes = stored(parts(left, "_ln", left_rows).join(parts(right, "_rn", right_rows), group), "sizes")
+    sizes = F.broadcast(sizes) if sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else sizes.hint("merge")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = left.join(sizes, group).withColumn("_l", block("_ln")).withColumn("_r", every("_rn")).drop("_ln", "_rn")

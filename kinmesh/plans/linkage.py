@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.config import Config
-from kinmesh.operators import blocking, decide, evaluate, features, neighbours, tfidf, training
+from kinmesh.operators import blocking, decide, evaluate, features, ivf, neighbours, tfidf, training
 from kinmesh.sources import readers, samples, writers
 from kinmesh.sources.writers import Stages
 
@@ -44,7 +44,7 @@ def strategies(s1: DataFrame, pool: DataFrame, config: Config, vectors: tuple[Da
     if config.name_top_k:
         out["name_tfidf"] = tfidf.retrieve(s1, pool, "name", k=config.name_top_k, max_df=config.max_df, max_features=config.name_max_features)
     if config.use_dense and vectors is not None:
-        out["dense"] = neighbours.dense_top_k(*vectors, k=config.dense_top_k)
+        out["dense"] = (neighbours.dense_top_k if config.dense_exact else ivf.top_k)(*vectors, k=config.dense_top_k)
     if config.use_lsh:
         out["lsh"] = neighbours.lsh_pairs(s1, pool, permutations=config.lsh_permutations, threshold=config.lsh_threshold, cap=config.lsh_cap, ngram=config.lsh_ngram)
     return {name: df.select("s1_id", "cand_id") for name, df in out.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.functions import text, text_v1
-from kinmesh.operators import blocking, decide, evaluate, features, neighbours, tfidf, training, validate
+from kinmesh.operators import blocking, decide, evaluate, features, ivf, neighbours, tfidf, training, validate
 from kinmesh.plans import feature_sql as fq
 from kinmesh.plans import fixtures as fx
 from kinmesh.sources import readers, samples, writers
@@ -313,6 +313,11 @@ def dense_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.dense_probe(*_vectors(spark, sf_dir), k=10)
 
 
+@query("dense_topk_ivf")
+def dense_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.top_k(*_vectors(spark, sf_dir), k=10)
+
+
 @query("minhash_pairs")
 def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.lsh_pairs(*fx.stored_records(spark, sf_dir))
