@@ -59,6 +59,9 @@ def main(argv: list[str] | None = None) -> int:
         return int(not found.filter("severity = 'error'").isEmpty())
     if args.mode == "blocking":
         report, unique, curve = linkage.evaluate_blocking(spark, _paths(args.train_dir, "train"), args.country, Config(seed=args.seed), n_queries=args.n_queries, pool_fraction=args.pool_fraction)
+        report = report.cache()
+        for name, df in (("strategies", report), ("unique recall", unique), ("pre-filter caps", curve)):
+            print(f"{name}\n{writers.text_table(df)}\n", file=sys.stderr)
         text = writers.json_report({"strategies": report, "unique_recall": unique, "prefilter_caps": curve}, vars(args))
         print(text)
         if args.out:
@@ -83,7 +86,8 @@ def main(argv: list[str] | None = None) -> int:
         test = _paths(args.test_dir, "test")
         # By content, not by path: a model trained anew in the same place must not meet the scores of the old one.
         stages = writers.Stages(spark, root, "predict", config, resume=not args.no_resume, sources=writers.identity(spark, *test.values()), model=writers.identity(spark, args.model))
-        s1, pool = readers.load_source(spark, test["s1"]), readers.union_pool(*readers.load_sources(spark, test["s2"], test["s3"]))
+        how = {"transliterate": config.transliterate}
+        s1, pool = readers.load_source(spark, test["s1"], **how), readers.union_pool(*readers.load_sources(spark, test["s2"], test["s3"], **how))
         matches, pairs = linkage.run_predict(s1, pool, models, threshold, config, stages)
         linkage.write_run(s1, matches, pairs, args.out)
     return 0

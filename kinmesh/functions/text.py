@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinmesh.functions.scripts import romanised
+
 # Dotted legal forms, replaced wherever they stand.
 DOTTED_FORMS = {
     "s.a.r.l.": "sarl", "s.a.r.l": "sarl", "s.a.s.": "sas", "s.a.s": "sas", "s.c.i.": "sci", "s.c.i": "sci", "l.l.c.": "llc", "l.l.c": "llc",
@@ -77,7 +79,7 @@ def map_replace(text: Column, mapping: Mapping[str, str], *, bounded: bool) -> C
 
 def _cleaned(text: Column, transliterate: bool) -> Column:
     text = F.coalesce(text, F.lit(""))
-    text = F.lower(fold_latin(text) if transliterate else text)
+    text = F.lower(fold_latin(romanised(text)) if transliterate else text)
     text = F.regexp_replace(text, r"[\[\](){}]", " ")
     return F.replace(F.replace(text, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and "))
 

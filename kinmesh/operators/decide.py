@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmesh.operators.order import running
+
 #: Thresholds that tuning tries: .05 to .94 in steps of .01, .95 to .995 in steps of .005. Fixed values.
 GRID = tuple(i / 1000 for i in (*range(50, 950, 10), *range(950, 1000, 5)))
 
@@ -62,11 +64,11 @@ def tune(scores: DataFrame, truth: DataFrame, entities: DataFrame, *, one_to_one
 
 
 def pr_curve(labelled: DataFrame, beta: float = 0.5) -> DataFrame:
-    """(threshold, precision, recall, f) at every distinct score of (p, label), pairs counted alone."""
-    by = labelled.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hit"))
-    upto = Window.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = by.select(F.col("p").alias("threshold"), F.sum("n").over(upto).alias("n"), F.sum("hit").over(upto).alias("tp")).join(F.broadcast(labelled.agg(F.sum("label").alias("all"))))
-    precision, recall = F.col("tp") / F.col("n"), F.when(F.col("all") > 0, F.col("tp") / F.col("all")).otherwise(0.0)
+    """(threshold, precision, recall, f) at every distinct score of (p, label), pairs counted alone. Scores are dealt by ranges; no task sees them all."""
+    by = labelled.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.sum("label").cast("bigint").alias("hit"))
+    run, total = running(by, [F.desc("p")], {"n": "c", "tp": "hit"})
+    run = run.withColumn("threshold", F.col("p"))
+    precision, recall = F.col("tp") / F.col("n"), F.col("tp") / F.lit(total["tp"]) if total["tp"] else F.lit(0.0)
     run = run.withColumns({"precision": precision, "recall": recall})
     b = beta * beta
     f = F.when(F.col("tp") > 0, (1 + b) * F.col("precision") * F.col("recall") / (b * F.col("precision") + F.col("recall"))).otherwise(0.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,15 +95,35 @@ def with_bands(df: DataFrame, *, text: str, permutations: int, threshold: float,
     return minhash(df, text=text, permutations=permutations, ngram=ngram).select("entity_id", "country_norm", bands.alias("bands"))
 
 
-def lsh_pairs(s1: DataFrame, pool: DataFrame, *, text: str = "combined", permutations: int = 128, threshold: float = THRESHOLD, cap: int | None = 100, ngram: int = 3) -> DataFrame:
+def _most_bands(cap: int | None) -> blocks.Match:
+    def match(asked: pa.Table, pool: pa.Table) -> pa.Table:
+        pool = pool.take(pc.sort_indices(pool["id"]))
+        (mine, starts), (theirs, ends), found = blocks.lists(asked, "bands"), blocks.lists(pool, "bands"), []
+        for low, sums in blocks.Postings(theirs, ends, np.ones(len(theirs))).sums(mine, starts, np.ones(len(mine))):
+            i, j = np.divmod(np.flatnonzero(sums > 0.5), sums.shape[1])
+            n = np.rint(sums[i, j]).astype(np.int64)
+            if cap is not None:
+                order = np.lexsort((j, -n, i))
+                i, j, n = i[order], j[order], n[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < cap
+                i, j, n = i[first], j[first], n[first]
+            found.append((i + low, j, n))
+        i, j, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"s1_id": asked["id"].take(pa.array(i)), "cand_id": pool["id"].take(pa.array(j)), "bands": n})
+
+    return match
+
+
+def lsh_pairs(s1: DataFrame, pool: DataFrame, *, text: str = "combined", permutations: int = 128, threshold: float = THRESHOLD, cap: int | None = 100, ngram: int = 3, **size: int) -> DataFrame:
     """(s1_id, cand_id, bands): pairs of a country with a band of signature values in common, bands as the threshold asks; of each query the cap with most
-    bands, ties to the smaller id."""
+    bands, ties to the smaller id. Bands in common are counted block by block, where a band that very many records share is a row of a matrix; only what
+    a block leaves of each query within the cap is shuffled."""
 
-    def banded(df: DataFrame, id_name: str) -> DataFrame:
+    def side(df: DataFrame, name: str) -> DataFrame:
         found = with_bands(df, text=text, permutations=permutations, threshold=threshold, ngram=ngram)
-        return found.select(F.col("entity_id").alias(id_name), "country_norm", F.explode("bands").alias("band"))
+        return stored(found.select(F.col("entity_id").alias("id"), "country_norm", "bands"), name)
 
-    pairs = banded(s1, "s1_id").join(banded(pool, "cand_id"), ["country_norm", "band"]).groupBy("s1_id", "cand_id").agg(F.count(F.lit(1)).alias("bands"))
+    pairs = blocks.meet(side(s1, "left"), side(pool, "right"), "country_norm", _most_bands(cap), "s1_id string, cand_id string, bands long", **size)
     if cap is None:
         return pairs
     place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("bands"), "cand_id"))
@@ -177,7 +198,8 @@ def _members(values: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.nda
 
 def lsh_similar(s1: DataFrame, pool: DataFrame, *, at_least: float, text: str = "combined", ngram: int = 3, permutations: int = 128, threshold: float = THRESHOLD, left_rows: int = 16_384, right_rows: int = 16_384) -> DataFrame:
     """(s1_id, cand_id, score): pairs of a country with a band in common, as lsh_pairs finds without its cap, whose sets of shingles have at least that
-    Jaccard similarity, to six places. Bands bring most pairs of a country together, so records meet in blocks and pairs aren't shuffled."""
+    Jaccard similarity, to six places. Pairs with a band in common grow with the square of a country, so records meet in blocks, where shared rare members
+    are looked for first and bands afterwards, and pairs aren't shuffled."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         bands = with_bands(df, text=text, permutations=permutations, threshold=threshold, ngram=ngram)

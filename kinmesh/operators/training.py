@@ -14,6 +14,7 @@ from kinmesh.config import Config
 from kinmesh.operators import boosting
 from kinmesh.operators.boosting import Boosted, Settings
 from kinmesh.operators.decide import pr_curve
+from kinmesh.operators.order import smallest
 from kinmesh.sources.samples import shuffled
 from kinmesh.sources.writers import Stages
 
@@ -113,7 +114,7 @@ def importance(models: Sequence[Model], names: Sequence[str], top: int = 15) ->
 def mine_hard_negatives(scored: DataFrame, config: Config) -> DataFrame:
     """scored: s1_id, cand_id, label, p. All true pairs; at most hard_ratio others for each, hard_mix of them false ones scored high, the rest any.
 
-    Samples are by seeded digest; the numbers are counted first, rows never leave the executors.
+    Samples are those first by seeded digest. Numbers are counted first, then ranges of the digest, so that no row is sorted or leaves the executors.
     """
     counts = scored.agg(F.sum("label").alias("p"), F.sum(F.when((F.col("label") == 0) & (F.col("p") >= config.hard_floor), 1).otherwise(0)).alias("h"), F.count(F.lit(1)).alias("n")).first()
     positives, hard, others = counts["p"] or 0, counts["h"] or 0, (counts["n"] or 0) - (counts["p"] or 0)
@@ -121,6 +122,6 @@ def mine_hard_negatives(scored: DataFrame, config: Config) -> DataFrame:
     n_hard = min(int(wanted * config.hard_mix), hard)
     place = F.md5(F.concat_ws("|", "s1_id", "cand_id", F.lit(str(config.seed))))
     negatives = scored.filter("label = 0").withColumn("_o", place)
-    tough = negatives.filter(F.col("p") >= config.hard_floor).orderBy("_o", "s1_id", "cand_id").limit(n_hard)
-    rest = negatives.join(tough.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti").orderBy("_o", "s1_id", "cand_id").limit(max(0, wanted - n_hard))
+    tough = smallest(negatives.filter(F.col("p") >= config.hard_floor), "_o", ["s1_id", "cand_id"], n_hard)
+    rest = smallest(negatives.join(tough.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti"), "_o", ["s1_id", "cand_id"], max(0, wanted - n_hard))
     return scored.filter("label = 1").unionByName(tough.drop("_o")).unionByName(rest.drop("_o"))

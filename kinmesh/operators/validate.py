@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEADERS = {"matching": ("source1_entity_id", "matched_entity_ids"), "candidate": ("source1_entity_id", "candidate_entity_ids")}
@@ -13,19 +13,26 @@ def _found(df: DataFrame, rule: str, severity: str, entity: Column, detail: Colu
     return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), entity.alias("entity_id"), detail.alias("detail"))
 
 
+def _one(spark: SparkSession, rule: str, severity: str, detail: str) -> DataFrame:
+    return spark.range(1).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit("").alias("entity_id"), F.lit(detail).alias("detail"))
+
+
 def check_lists(lists: DataFrame, required: DataFrame, known: DataFrame | None = None, *, column: str = "matched_entity_ids") -> DataFrame:
     """Rules on rows. lists: source1_entity_id and a comma-joined column; required: entity_id; known: entity_id, for the id check."""
     sid = F.col("source1_entity_id")
     ids = F.filter(F.split(F.coalesce(column, F.lit("")), ","), lambda x: x != "")
     rows = lists.select(sid, ids.alias("ids"))
     join = lambda a: F.array_join(F.sort_array(a), ",")
-    repeated = F.array_distinct(F.filter("ids", lambda x: F.size(F.filter("ids", lambda y: y == x)) > 1))
+    # Lists with repeats are taken apart, so that a long one costs no more than its ids.
+    double = rows.filter(F.size("ids") > F.size(F.array_distinct("ids"))).withColumn("_row", F.monotonically_increasing_id())
+    double = double.select("_row", sid, F.explode("ids").alias("id")).groupBy("_row", "source1_entity_id", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    double = double.groupBy("_row", "source1_entity_id").agg(F.collect_list("id").alias("repeated"))
     own = F.array_distinct(F.filter("ids", lambda x: F.startswith(x, F.lit("S1-"))))
     odd = F.array_distinct(F.filter("ids", lambda x: ~F.startswith(x, F.lit("S1-")) & ~F.startswith(x, F.lit("S2-")) & ~F.startswith(x, F.lit("S3-"))))
     need = required.select(F.col("entity_id").alias("source1_entity_id")).distinct()
     parts = [
         _found(rows.groupBy("source1_entity_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "duplicate_row", "error", sid, F.col("n").cast("string")),
-        _found(rows.filter(F.size(repeated) > 0), "duplicate_id", "error", sid, join(repeated)),
+        _found(double, "duplicate_id", "error", sid, join(F.col("repeated"))),
         _found(rows.filter(F.size(own) > 0), "self_match", "error", sid, join(own)),
         _found(rows.filter(F.size(odd) > 0), "wrong_prefix", "error", sid, join(odd)),
         _found(need.join(rows, "source1_entity_id", "left_anti"), "missing_required", "error", sid, F.lit("")),
@@ -53,7 +60,7 @@ def check_file(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Rules on the file: there, not empty, tab-separated, the exact header, a tab in every row."""
     from kinmesh.sources.writers import exists
 
-    one = lambda rule, severity, detail: spark.range(1).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit("").alias("entity_id"), F.lit(detail).alias("detail"))
+    one = lambda rule, severity, detail: _one(spark, rule, severity, detail)
     if not exists(spark, path):
         return one("file_missing", "error" if kind == "matching" else "warning", path)
     text = spark.read.text(path)
@@ -72,16 +79,15 @@ def list_counts(lists: DataFrame, column: str = "matched_entity_ids") -> DataFra
 
 
 def messages(findings: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """(rule, severity, n, examples): counts, and the first few entities in order."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("rule", "severity").orderBy("entity_id", "detail"))
-    few = findings.withColumn("_n", place)
-    return few.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("_n") <= examples, F.col("entity_id")))).alias("examples"))
+    """(rule, severity, n, examples): counts, and the first few entities in order. Each task keeps the first few of its own before any are shuffled."""
+    by = ["rule", "severity"]
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("entity_id", "detail"))
+    few = findings.select(*by, "entity_id", place.alias("_n")).filter(F.col("_n") <= examples).groupBy(*by).agg(F.sort_array(F.collect_list("entity_id")).alias("examples"))
+    return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(few, by)
 
 
 def validate(spark: SparkSession, matching: str, candidate: str | None, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """All findings on a pair of result files; errors of form come alone, as the rows can't be trusted then."""
+    """All findings on a pair of result files; errors of form come alone, as the rows can't be trusted then. What isn't checked, for want of a candidate file or of known ids, is a warning."""
     from kinmesh.sources.readers import TRUTH_SCHEMA, read_tsv
 
     def read(path: str, kind: str) -> DataFrame:
@@ -92,7 +98,11 @@ def validate(spark: SparkSession, matching: str, candidate: str | None, required
         return out
     m = read(matching, "matching")
     out = check_lists(m, required, known)
-    if candidate is not None:
+    if known is None:
+        out = out.unionByName(_one(spark, "ids_not_checked", "warning", "no known ids were given"))
+    if candidate is None:
+        out = out.unionByName(_one(spark, "candidates_not_checked", "warning", "no candidate file was given"))
+    else:
         form = check_file(spark, candidate, "candidate")
         if not form.isEmpty():
             return out.unionByName(form)

@@ -22,7 +22,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.filter(owner == 0).unionByName(x.join(firsts.select("doc_id"), "doc_id", "left_semi"))
     kind = lambda n, endings: _case(F.col("doc_id") % n, endings)
     return x.select(
-        F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("entity_id"),
+        F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), F.greatest(F.lit(6), F.length(F.col("doc_id").cast("string"))), "0")).alias("entity_id"),
         F.concat("nm", kind(5, (" Corporation", " Private Limited", " S.A.R.L.", " & Company"))).alias("business_name"),
         F.concat((F.length("nm") * 37 % 997).cast("string"), F.lit(" "), "ad", kind(4, (" Street", " Road", " (Avenue)"))).alias("business_address"),
         F.upper("lang").alias("country"),
@@ -71,7 +71,7 @@ SQL_RECORDS = r"""
 t0 AS (SELECT doc_id, lang, string_split(trim(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '\s+', ' ', 'g')), ' ') AS a FROM documents),
 w0 AS (SELECT doc_id, lang, array_to_string(a[1:4], ' ') AS nm, array_to_string(a[5:12], ' ') AS ad FROM t0),
 x0 AS (SELECT *, CAST(length(nm) * 37 % 997 AS BIGINT) AS hn FROM w0),
-recs AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS entity_id,
+recs AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || lpad(CAST(doc_id AS VARCHAR), greatest(6, length(CAST(doc_id AS VARCHAR)))::INT, '0') AS entity_id,
   nm || CASE doc_id % 5 WHEN 0 THEN ' Corporation' WHEN 1 THEN ' Private Limited' WHEN 2 THEN ' S.A.R.L.' WHEN 3 THEN ' & Company' ELSE '' END AS business_name,
   hn || ' ' || ad || CASE doc_id % 4 WHEN 0 THEN ' Street' WHEN 1 THEN ' Road' WHEN 2 THEN ' (Avenue)' ELSE '' END AS business_address,
   upper(lang) AS country, nm AS match_key FROM x0

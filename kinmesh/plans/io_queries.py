@@ -9,7 +9,7 @@ from kinmesh.config import Config
 from kinmesh.functions import text_v1
 from kinmesh.operators import blocking, evaluate, validate
 from kinmesh.plans import fixtures as fx
-from kinmesh.plans.queries import _KEYS, _REPORT, _TAGGED, _V1, query
+from kinmesh.plans.queries import _CHEAP, _KEYS, _REPORT, _TAGGED, _V1, query
 from kinmesh.sources import readers, samples, writers
 from kinmesh.sources.writers import Stages
 
@@ -95,17 +95,20 @@ def snk_cache_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.cached(spark, root, "s1", [paths["s1"]], lambda: spark.range(1)).select("entity_id", "name_clean", "addr_clean")
 
 
-@query("snk_embedding_cache", "SELECT vec_id AS entity_id, CAST(label AS VARCHAR) AS country_norm, CAST(len(embedding) AS BIGINT) AS dims FROM embeddings")
+@query(
+    "snk_embedding_cache",
+    "SELECT entity_id, country_norm, CAST(length(combined) AS BIGINT) AS dims, CASE WHEN combined IN (SELECT combined FROM s1) THEN 0 ELSE 1 END AS again FROM norm",
+)
 def snk_embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of any encoder, stored once: the second call reads them."""
+    """Vectors (here of lengths) by text: first those of the first source, then of all records, of which only texts not seen before are encoded again."""
     from kinmesh.plans.linkage import encoded
 
-    path, root = f"{sf_dir}/embeddings.parquet", writers.scratch(spark, "cache")
-    vectors = spark.read.parquet(path).select(F.col("vec_id").alias("entity_id"), F.col("label").cast("string").alias("country_norm"), "embedding")
-    records = vectors.select("entity_id", "country_norm", F.lit("").alias("combined"))
-    for encode in (lambda r: vectors, lambda r: vectors.limit(0)):
-        out = encoded(records, encode, root, "vectors", [path], encoder="given")
-    return out.select("entity_id", "country_norm", F.size("embedding").cast("bigint").alias("dims"))
+    s1, pool = (df.select("entity_id", "country_norm", "combined") for df in fx.stored_records(spark, sf_dir))
+    records, root = s1.unionByName(pool), writers.scratch(spark, "cache")
+    encode = lambda again: lambda r: r.select("entity_id", F.array(F.length("combined").cast("float"), F.lit(again).cast("float")).alias("embedding"))
+    encoded(s1, encode(0), root, encoder="lengths").isEmpty()
+    out = encoded(records, encode(1), root, encoder="lengths")
+    return out.select("entity_id", "country_norm", F.col("embedding")[0].cast("bigint").alias("dims"), F.col("embedding")[1].cast("int").alias("again"))
 
 
 @query("snk_stage_resume", "SELECT entity_id, name_clean FROM s1")
@@ -119,41 +122,46 @@ def snk_stage_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUNS = (("predict", "scores", True), ("train", "candidates", True), ("train", "split", True))
 
 
-@query("snk_runs", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{s}', {str(f).lower()})" for k, s, f in _RUNS) + ") AS v(kind, stage, finished)")
+@query("snk_runs", "SELECT kind, stage, finished, n FROM (VALUES " + ", ".join(f"('{k}', '{s}', {str(f).lower()})" for k, s, f in _RUNS) + ") AS v(kind, stage, finished), (SELECT count(*) AS n FROM s1)")
 def snk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs as they are listed, after one of another seed was cleared and a run of its own kind was deleted as a whole."""
-    root = writers.scratch(spark, "runs")
+    """Runs over the records as they are listed, with the rows of a stage, after one of another seed was cleared and a run of its own kind was deleted as a whole."""
+    root, s1 = writers.scratch(spark, "runs"), fx.stored_records(spark, sf_dir)[0].select("entity_id")
     for kind, stage, _ in (*_RUNS, ("other", "x", True)):
-        Stages(spark, root, kind, Config()).stage(stage, lambda: spark.range(2))
+        kept = Stages(spark, root, kind, Config()).stage(stage, lambda: s1)
     gone = Stages(spark, root, "train", Config(seed=7))
-    gone.stage("split", lambda: spark.range(2))
+    gone.stage("split", lambda: s1)
     gone.clear()
     writers.clear_all(spark, root, "other")
-    return writers.list_runs(spark, root).select("kind", "stage", "finished")
-
-
-# Files of results and what the validator must say of each. Fixed values.
-_FILES = {
-    "missing": (None, ["file_missing"]),
-    "empty": ("", ["file_empty"]),
-    "comma": ("source1_entity_id,matched_entity_ids\nS1-1,\n", ["comma_header"]),
-    "header": ("id\tmatches\nS1-1\t\n", ["wrong_header"]),
-    "tabs": ("source1_entity_id\tmatched_entity_ids\nS1-1\nS1-2\t\n", ["row_without_tab"]),
-    "good": ("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-2\t\n", []),
-    "rows": ("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-1,S1-9,X-1\nS1-1\t\nS1-3\t\n", ["duplicate_id", "duplicate_row", "missing_required", "self_match", "unknown_row", "wrong_prefix"]),
+    rows = Stages(spark, root, "train", Config()).stage("split", lambda: kept.limit(0))
+    return writers.list_runs(spark, root).select("kind", "stage", "finished").join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))
+
+
+_HEAD = "\t".join(validate.HEADERS["matching"])
+# Files made of the records' ids (a row of header and of each id), and what the validator must say of each.
+_FILES: dict[str, tuple[str | None, str | None, dict[str, str]]] = {
+    "missing": (None, None, {"file_missing": "1"}),
+    "empty": (None, "", {"file_empty": "1"}),
+    "comma": (_HEAD.replace("\t", ","), "concat(entity_id, ',')", {"comma_header": "1"}),
+    "header": ("id\tmatches", "concat(entity_id, '\t')", {"wrong_header": "1"}),
+    "tabs": (_HEAD, "entity_id", {"row_without_tab": "n"}),
+    "good": (_HEAD, "concat(entity_id, '\tS2-1')", {}),
+    "rows": (_HEAD, "concat(entity_id, '\tS2-1,S2-1,S1-9,X-1')", {"duplicate_id": "n", "self_match": "n", "wrong_prefix": "n"}),
+    "other": (_HEAD, "concat(entity_id, 'x\t')", {"missing_required": "n", "unknown_row": "n"}),
 }
 
 
-@query("val_files", "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{rule}', CAST(1 AS BIGINT))" for name, (_, rules) in _FILES.items() for rule in rules) + ") AS v(file, rule, n)")
+@query("val_files", "SELECT file, rule, CASE WHEN each THEN n ELSE 1 END AS n FROM (VALUES " + ", ".join(f"('{name}', '{rule}', {str(n == 'n').lower()})" for name, (*_, rules) in _FILES.items() for rule, n in rules.items()) + ") AS v(file, rule, each), (SELECT count(*) AS n FROM s1)")
 def val_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = writers.scratch(spark, "results")
-    need = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
+    root, need = writers.scratch(spark, "results"), fx.stored_records(spark, sf_dir)[0].select("entity_id")
     out = None
-    for name, (content, _) in _FILES.items():
+    for name, (head, row, _) in _FILES.items():
         path = f"{root}/{name}.tsv"
-        if content is not None:
-            spark.createDataFrame([(content.removesuffix("\n"),)] if content else [], "value string").coalesce(1).write.text(path)
-        found = validate.messages(validate.validate(spark, path, None, need)).select(F.lit(name).alias("file"), "rule", "n")
+        if row is not None:
+            if head:
+                need.select(F.expr(row).alias(head)).write.csv(path, header=True, **(writers.WHOLE_FIELDS | {"sep": "\x01"}), quote="", emptyValue="")
+            else:
+                need.limit(0).write.text(path)
+        found = validate.messages(validate.validate(spark, path, None, need).filter("severity = 'error'")).select(F.lit(name).alias("file"), "rule", "n")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -174,13 +182,14 @@ def _final_sql() -> str:
 @query(
     "blocking_report_final",
     _final_sql(),
-    _TAGGED + "," + _REPORT + """,
-kept AS (SELECT s1_id, cand_id FROM uni WHERE cand_id LIKE 'S2-%'),
+    _TAGGED + "," + _REPORT + "," + _CHEAP + """,
+kept AS (SELECT s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS r FROM ranked WHERE n <= 10 OR score >= 0.15) WHERE n <= 10 OR r <= 10),
 e_pool AS (SELECT ent.s1_id, coalesce(nt, 0) AS nt, coalesce(np, 0) AS np, coalesce(tp, 0) AS tp FROM ent LEFT JOIN (SELECT s1_id, count(*) AS nt FROM truth GROUP BY ALL) USING (s1_id)
   LEFT JOIN (SELECT s1_id, count(*) AS np FROM kept GROUP BY ALL) USING (s1_id) LEFT JOIN (SELECT s1_id, count(*) AS tp FROM kept JOIN truth USING (s1_id, cand_id) GROUP BY ALL) USING (s1_id))""",
 )
 def blocking_report_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report with its last row: what a cut of the union (here to the second source) keeps."""
-    found = blocking.block_keys(*fx.normalised(spark, sf_dir))
-    final = blocking.union(found).filter(F.startswith("cand_id", F.lit("S2-")))
+    """The report with its last row: what the pre-filter keeps of the union."""
+    s1, pool = fx.stored_records(spark, sf_dir)
+    found = blocking.block_keys(s1, pool)
+    final = blocking.prefilter(blocking.union(found), s1, pool, cap=10)
     return evaluate.blocking_report(fx.entities(spark, sf_dir), fx.truth(spark, sf_dir), found, final).select("strategy", F.round("pair_recall", 6).alias("pair_recall"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -27,26 +30,49 @@ class Trained:
     losses: DataFrame
 
 
-def strategies(s1: DataFrame, pool: DataFrame, config: Config, vectors: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
+class Timings:
+    """Seconds of each strategy, measured as it runs: build is what happens before its rows are asked for (an index, say), query is the making of its
+    rows, which are stored and used by everything that follows. No job is run for the sake of a figure."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, float, float]] = []
+
+    def __call__(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        began = time.monotonic()
+        df = make().select("s1_id", "cand_id")
+        built = time.monotonic()
+        df = writers.stored(df, name)
+        self.rows.append((name, built - began, time.monotonic() - built))
+        return df
+
+    def frame(self, spark: SparkSession, n_queries: int) -> DataFrame:
+        """(strategy, build_seconds, ms_per_query), UNION being the sum of all."""
+        rows = [*self.rows, ("UNION", sum(r[1] for r in self.rows), sum(r[2] for r in self.rows))]
+        return spark.createDataFrame([(n, round(b, 3), round(1000 * q / max(1, n_queries), 3)) for n, b, q in rows], "strategy string, build_seconds double, ms_per_query double")
+
+
+def strategies(s1: DataFrame, pool: DataFrame, config: Config, vectors: tuple[DataFrame, DataFrame] | None = None, timed: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Candidates of every strategy that the settings turn on, in a fixed order.
 
+    timed: a Timings, or anything else that makes a strategy's rows.
+
     vectors: (queries, pool) with entity_id, country_norm, embedding from any encoder; without them dense retrieval is off, with a warning.
     """
     if config.use_dense and vectors is None:
         warnings.warn("dense retrieval is on, but there are no vectors: it is left out", stacklevel=2)
-    out: dict[str, DataFrame] = {}
+    run, out = timed or (lambda name, make: make()), {}
     if config.use_char:
-        out["char_tfidf"] = tfidf.retrieve(s1, pool, "char", k=config.char_top_k, max_df=config.max_df, max_features=config.char_max_features)
+        out["char_tfidf"] = run("char_tfidf", lambda: tfidf.retrieve(s1, pool, "char", k=config.char_top_k, max_df=config.max_df, max_features=config.char_max_features))
     if config.use_keys:
-        out |= blocking.block_keys(s1, pool, config.key_bucket)
+        out |= {name: run(name, lambda df=df: df) for name, df in blocking.block_keys(s1, pool, config.key_bucket).items()}
     if config.use_word:
-        out["word_tfidf"] = tfidf.retrieve(s1, pool, "word", k=config.word_top_k, max_features=config.word_max_features)
+        out["word_tfidf"] = run("word_tfidf", lambda: tfidf.retrieve(s1, pool, "word", k=config.word_top_k, max_features=config.word_max_features))
     if config.name_top_k:
-        out["name_tfidf"] = tfidf.retrieve(s1, pool, "name", k=config.name_top_k, max_df=config.max_df, max_features=config.name_max_features)
+        out["name_tfidf"] = run("name_tfidf", lambda: tfidf.retrieve(s1, pool, "name", k=config.name_top_k, max_df=config.max_df, max_features=config.name_max_features))
     if config.use_dense and vectors is not None:
-        out["dense"] = (neighbours.dense_top_k if config.dense_exact else ivf.top_k)(*vectors, k=config.dense_top_k)
+        out["dense"] = run("dense", lambda: (neighbours.dense_top_k if config.dense_exact else ivf.top_k)(*vectors, k=config.dense_top_k))
     if config.use_lsh:
-        out["lsh"] = neighbours.lsh_pairs(s1, pool, permutations=config.lsh_permutations, threshold=config.lsh_threshold, cap=config.lsh_cap, ngram=config.lsh_ngram)
+        out["lsh"] = run("lsh", lambda: neighbours.lsh_pairs(s1, pool, permutations=config.lsh_permutations, threshold=config.lsh_threshold, cap=config.lsh_cap, ngram=config.lsh_ngram))
     return {name: df.select("s1_id", "cand_id") for name, df in out.items()}
 
 
@@ -111,36 +137,54 @@ def load_training(spark: SparkSession, paths: dict[str, str], config: Config, sa
 
     raw = readers.read_tsv(spark, paths["truth"], readers.TRUTH_SCHEMA)
     known = readers.truth_entities(raw).withColumnRenamed("s1_id", "entity_id")
-    s1 = readers.load_source(spark, paths["s1"]).join(known, "entity_id", "left_semi")
+    how = {"transliterate": config.transliterate}
+    s1 = readers.load_source(spark, paths["s1"], **how).join(known, "entity_id", "left_semi")
     if sample_size:
         s1 = samples.sample_ids(s1, sample_size, config.seed)
     truth = readers.parse_truth(raw).join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
-    pool = samples.restrict_to_countries(readers.union_pool(*readers.load_sources(spark, paths["s2"], paths["s3"])), s1)
+    pool = samples.restrict_to_countries(readers.union_pool(*readers.load_sources(spark, paths["s2"], paths["s3"], **how)), s1)
     extra = pool_extra(sample_size, sample_size is None, config.pool_extra)
     return s1, samples.sample_pool(pool, truth.select(F.col("cand_id").alias("entity_id")), extra, config.seed), truth
 
 
 def evaluate_blocking(spark: SparkSession, paths: dict[str, str], country: str, config: Config, *, n_queries: int, pool_fraction: float, vectors=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(report, unique recall, cap curve) of one country, on sampled queries and a sampled pool that holds all their matches."""
+    """(report, unique recall, cap curve) of one country, on sampled queries and a sampled pool that holds all their matches. The report has each strategy's build_seconds and
+    ms_per_query, taken while its candidates were made; FINAL, which is cut from them, has none."""
     raw = readers.read_tsv(spark, paths["truth"], readers.TRUTH_SCHEMA)
-    s1 = samples.sample_ids(readers.load_country(spark, paths["s1"], country), n_queries, config.seed)
+    load = lambda source: readers.load_country(spark, paths[source], country, transliterate=config.transliterate)
+    s1 = samples.sample_ids(load("s1"), n_queries, config.seed)
     entities = s1.select(F.col("entity_id").alias("s1_id"))
     truth = readers.parse_truth(raw).join(entities, "s1_id", "left_semi")
-    pool = readers.union_pool(readers.load_country(spark, paths["s2"], country), readers.load_country(spark, paths["s3"], country))
+    pool = readers.union_pool(load("s2"), load("s3"))
     pool = samples.bernoulli_pool(pool, truth.select(F.col("cand_id").alias("entity_id")), pool_fraction, config.seed)
-    found = strategies(s1, pool, config, vectors)
+    s1, pool, timings = writers.stored(s1, "s1"), writers.stored(pool, "pool"), Timings()
+    found = strategies(s1, pool, config, vectors, timings)
     everything = blocking.union(found)
     final = blocking.prefilter(everything, s1, pool, cap=config.prefilter_cap, min_score=config.prefilter_min_score)
-    return evaluate.blocking_report(entities, truth, found, final), evaluate.unique_recall(truth, blocking.tagged(found)), evaluate.cap_curve(truth, blocking.ranked_candidates(everything, s1, pool))
+    seconds = timings.frame(spark, s1.count())
+    return evaluate.blocking_report(entities, truth, found, final).join(F.broadcast(seconds), "strategy", "left"), evaluate.unique_recall(truth, blocking.tagged(found)), evaluate.cap_curve(truth, blocking.ranked_candidates(everything, s1, pool))
 
 
-def encoded(records: DataFrame, encode: Callable[[DataFrame], DataFrame], root: str, name: str, sources: list[str], *, encoder: str) -> DataFrame:
-    """entity_id, country_norm, embedding of records from any encoder (a function of a frame with entity_id, country_norm, combined), from the cache if it holds them.
+def encoded(records: DataFrame, encode: Callable[[DataFrame], DataFrame], root: str, *, encoder: str) -> DataFrame:
+    """entity_id, country_norm, embedding of records from any encoder: a function of a frame with entity_id and combined that gives entity_id and embedding.
 
-    encoder names the model and its settings; another name, or other source files, is another cache.
+    The store below root is by text: what is missing in it is encoded, each distinct text once, and appended as a segment; all else is read. encoder names the
+    model and its settings, and has a store of its own. A null text counts as the empty one. Texts that the encoder gives nothing for are asked again next time and have no row.
     """
-    make = lambda: encode(records.select("entity_id", "country_norm", "combined")).select("entity_id", "country_norm", "embedding")
-    return writers.cached(records.sparkSession, root, name, sources, make, version=encoder)
+    spark, text = records.sparkSession, F.coalesce("combined", F.lit(""))
+    path = f"{root}/embeddings-{hashlib.sha256(encoder.encode()).hexdigest()[:16]}"
+    rows = records.select("entity_id", "country_norm", text.alias("combined"), F.sha2(text, 256).alias("_text"))
+    missing = rows.groupBy("_text").agg(F.first("combined").alias("combined"))
+    segments = writers.segments(spark, path)
+    if segments:
+        missing = missing.join(spark.read.parquet(*segments).select("_text"), "_text", "left_anti")
+    missing = writers.stored(missing, "missing")
+    if not missing.isEmpty():
+        made = encode(missing.select(F.col("_text").alias("entity_id"), "combined"))
+        made.select(F.col("entity_id").alias("_text"), F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(f"{path}/segment-{uuid.uuid4().hex}")
+    segments = writers.segments(spark, path)
+    known = spark.read.parquet(*segments).dropDuplicates(["_text"]) if segments else spark.createDataFrame([], "_text string, embedding array<float>")
+    return rows.join(known, "_text").select("entity_id", "country_norm", "embedding")
 
 
 def run_full(train: tuple[DataFrame, DataFrame, DataFrame], test: tuple[DataFrame, DataFrame], config: Config, stages: Callable[[str], Stages], **how) -> tuple[Trained, DataFrame, DataFrame]:

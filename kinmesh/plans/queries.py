@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmesh.config import Config
 from kinmesh.functions import text, text_v1
 from kinmesh.operators import blocking, decide, evaluate, features, ivf, neighbours, tfidf, training, validate
 from kinmesh.plans import feature_sql as fq
@@ -52,10 +53,19 @@ EDGES = (
 )
 
 
-@query("legal_map_replace", "SELECT * FROM (VALUES " + ", ".join(f"({'NULL' if a is None else repr(a)}, {b!r})" for a, b in EDGES) + ") AS v(raw, clean)")
+#: Each record's name as one word, and one of EDGES after it, in turn.
+_WORD = "concat('q', regexp_replace(lower(business_name), '[^a-z]', ''))"
+
+
+@query(
+    "legal_map_replace",
+    f"""SELECT entity_id, CASE WHEN raw IS NULL THEN '' ELSE {_WORD.replace("'')", "'', 'g')")} || ' ' || clean END AS clean FROM norm
+  JOIN (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {'NULL' if a is None else repr(a)}, {b!r})" for i, (a, b) in enumerate(EDGES)) + f""") AS v(i, raw, clean)) ON CAST(substr(entity_id, 4) AS INT) % {len(EDGES)} = i""",
+)
 def legal_map_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = ", ".join(f"({'CAST(NULL AS string)' if a is None else repr(a)})" for a, _ in EDGES)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS v(raw)").select("raw", text.clean_name(F.col("raw")).alias("clean"))
+    edges = F.array(*(F.lit(a) if a is not None else F.lit(None).cast("string") for a, _ in EDGES))
+    raw = F.concat(F.expr(_WORD), F.lit(" "), F.get(edges, F.substring("entity_id", 4, 20).cast("int") % len(EDGES)))
+    return fx.records(spark, sf_dir).select("entity_id", text.clean_name(raw).alias("clean"))
 
 
 @query("domain_strip", r"SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_replace(regexp_extract(url, '^https?://([^/?#:]+)', 1), '\.(com|org|net|in|fr|co\.in)$', '') AS stripped FROM pages")
@@ -647,7 +657,7 @@ ids AS (SELECT sid, m, list_filter(string_split(m, ','), lambda x: x <> '') AS l
 
 def broken_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match lists with one fault or another for each rule."""
-    lists = match_lists(spark, sf_dir).withColumn("n", F.substring("source1_entity_id", 4, 6).cast("bigint"))
+    lists = match_lists(spark, sf_dir).withColumn("n", F.substring("source1_entity_id", 4, 20).cast("bigint"))
     m = F.col("matched_entity_ids")
     bad = F.when(F.col("n") % 7 == 0, F.concat(m, F.lit(",S1-000000"))).when(F.col("n") % 7 == 1, F.concat(m, F.lit(",X9-1"))).when(F.col("n") % 7 == 2, F.concat(m, F.lit(",S2-x,S2-x"))).otherwise(m)
     kept = lists.filter("n % 11 <> 0")
@@ -693,11 +703,44 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("train_split", f"SELECT s1_id, row_number() OVER (ORDER BY md5(s1_id || '|{SEED}'), s1_id) <= greatest(CAST(floor((SELECT count(*) FROM ent) * 0.1) AS BIGINT), 10) AS validation FROM ent")
 def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kinmesh.config import Config
-
     return training.split_entities(fx.entities(spark, sf_dir), Config())
 
 
+_HARD = Config()
+
+
+@query(
+    "train_hard_negatives",
+    f"""SELECT s1_id, cand_id, label FROM lab WHERE label = 1 UNION ALL SELECT s1_id, cand_id, label FROM tough WHERE k <= n_hard
+  UNION ALL SELECT s1_id, cand_id, label FROM (SELECT *, row_number() OVER (ORDER BY o, s1_id, cand_id) AS r FROM (SELECT * FROM lab JOIN num ON true WHERE label = 0) AS x WHERE NOT EXISTS (SELECT 1 FROM tough AS t WHERE t.s1_id = x.s1_id AND t.cand_id = x.cand_id AND k <= t.n_hard)) WHERE r <= wanted - n_hard""",
+    _SCORES + f""", lab AS (SELECT s1_id, cand_id, p, md5(s1_id || '|' || cand_id || '|{_HARD.seed}') AS o, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS label FROM scores LEFT JOIN truth AS t USING (s1_id, cand_id)),
+cnt AS (SELECT sum(label) AS pos, count(*) FILTER (label = 0 AND p >= {_HARD.hard_floor}) AS hard, count(*) FILTER (label = 0) AS neg FROM lab),
+num AS (SELECT least({_HARD.hard_ratio} * pos, neg) AS wanted, least(CAST(floor(least({_HARD.hard_ratio} * pos, neg) * {_HARD.hard_mix}::DOUBLE) AS BIGINT), hard) AS n_hard FROM cnt),
+tough AS (SELECT lab.*, n_hard, row_number() OVER (ORDER BY o, s1_id, cand_id) AS k FROM lab, num WHERE label = 0 AND p >= {_HARD.hard_floor})""",
+)
+def train_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = linear_scores(spark, sf_dir)
+    labelled = training.labelled_pairs(scores, fx.truth(spark, sf_dir)).join(scores, ["s1_id", "cand_id"])
+    return training.mine_hard_negatives(labelled, _HARD).select("s1_id", "cand_id", "label")
+
+
+#: Latin letters, and the Kannada consonants, vowels and vowel signs that stand for them in the query's names.
+_KANNADA = (("kgtdnpbmyrlvhjs", "\u0c95\u0c97\u0ca4\u0ca6\u0ca8\u0caa\u0cac\u0cae\u0caf\u0cb0\u0cb2\u0cb5\u0cb9\u0c9c\u0cb8"), ("aiueo", "\u0c85\u0c87\u0c89\u0c8e\u0c92"), ("iueo", "\u0cbf\u0cc1\u0cc6\u0cca"))
+
+
+@query("translit_indic", "SELECT entity_id, trim(regexp_replace(regexp_replace(name_clean, '[^kgtdnpbmyrlvhjsaiueo ]', '', 'g'), ' +', ' ', 'g')) AS name FROM norm")
+def translit_indic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written in Kannada letters (consonants with their a, vowel signs or a virama) fold back to what they were."""
+    (letters, consonants), (vowels, alone), (signed, signs) = _KANNADA
+    name = F.regexp_replace(text.clean_name(F.col("business_name")), f"[^{letters}{vowels} ]", "")
+    name = F.translate(name, letters, consonants)
+    for vowel, sign in zip(signed, signs, strict=True):
+        name = F.regexp_replace(name, f"([{consonants}]){vowel}", f"$1{sign}")
+    name = F.regexp_replace(name, f"([{consonants}])(?![a{signs}])", "$1\u0ccd")
+    name = F.translate(F.regexp_replace(name, f"([{consonants}])a", "$1"), vowels, alone)
+    return fx.records(spark, sf_dir).select("entity_id", text.clean_name(name).alias("name"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to match lists, from end to end."""
     return decide_full(spark, sf_dir)

@@ -40,10 +40,10 @@ def load_sources(spark: SparkSession, *paths: str, **how: object) -> list[DataFr
     return [load_source(spark, p, **how) for p in paths]
 
 
-def load_country(spark: SparkSession, path: str, country: str, keep: Column | None = None) -> DataFrame:
+def load_country(spark: SparkSession, path: str, country: str, keep: Column | None = None, *, transliterate: bool = True) -> DataFrame:
     """Records of one country, the filter standing before normalisation."""
     rows = read_tsv(spark, path).filter(country_norm(F.col("country")) == country.strip().lower())
-    return normalise(rows if keep is None else rows.filter(keep))
+    return normalise(rows if keep is None else rows.filter(keep), transliterate=transliterate)
 
 
 def parse_truth(truth: DataFrame) -> DataFrame:

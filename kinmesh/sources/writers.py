@@ -80,6 +80,22 @@ def cached(spark: SparkSession, root: str, name: str, sources: list[str], make:
     return spark.read.parquet(path)
 
 
+def segments(spark: SparkSession, path: str) -> list[str]:
+    """Finished folders below path, in order of their names; what a lost run has left behind has no _SUCCESS."""
+    if not exists(spark, path):
+        return []
+    system, target = _filesystem(spark, path)
+    found = [f.getPath().toString() for f in system.listStatus(target) if f.isDirectory()]
+    return sorted(p for p in found if exists(spark, f"{p}/_SUCCESS"))
+
+
+def text_table(df: DataFrame) -> str:
+    """A small report as aligned text."""
+    rows = [df.columns, *([("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in df.collect())]
+    widths = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, deleted when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
