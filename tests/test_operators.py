@@ -67,7 +67,7 @@ def test_files_round_trip(spark, tmp_path):
     part = next((tmp_path / "matching_results.tsv").glob("part-*"))
     assert part.read_bytes() == b"source1_entity_id\tmatched_entity_ids\nS1-00001\tS2-00047,S2-00193,S3-00812\nS1-00002\tS3-00004\nS1-00003\t\n"
     need = e.withColumnRenamed("s1_id", "entity_id")
-    assert validate.validate(spark, f"{tmp_path}/matching_results.tsv", f"{tmp_path}/candidate_pairs.tsv", need, need).isEmpty()
+    assert validate.validate(spark, f"{tmp_path}/matching_results.tsv", f"{tmp_path}/candidate_pairs.tsv", need, m.select(F.col("cand_id").alias("entity_id"))).isEmpty()
     assert [r.rule for r in validate.validate(spark, f"{tmp_path}/matching_results.tsv", None, need).collect()] == ["ids_not_checked", "candidates_not_checked"]
     assert [r.rule for r in validate.validate(spark, f"{tmp_path}/none.tsv", None, need).collect()] == ["file_missing"]
     (tmp_path / "bad.tsv").write_text("source1_entity_id,matched_entity_ids\n")
