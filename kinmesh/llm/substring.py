@@ -287,7 +287,8 @@ c AS (SELECT id, doc_id, i, x, sum(length(x)) OVER (PARTITION BY id ORDER BY i)
 p AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS word, stop - length(x) AS start, stop FROM c WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 g AS (SELECT id, doc_id, i - 1 AS word, md5(array_to_string(w[i : i + {PASSAGE - 1}], ' ')) AS g
   FROM (SELECT id, doc_id, w, unnest(range(1, len(w) - {PASSAGE - 2})) AS i FROM (SELECT id, doc_id, list_filter(t, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS w FROM t) WHERE len(w) >= {PASSAGE})),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, word) AS k FROM g) WHERE k > 1),
+h AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, word) AS k FROM g WHERE g IN (SELECT g FROM h)) WHERE k > 1),
 n AS (SELECT *, CASE WHEN word <= lag(word) OVER (PARTITION BY id ORDER BY word) + {PASSAGE} THEN 0 ELSE 1 END AS fresh FROM f),
 m AS (SELECT id, doc_id, min(word) AS word, max(word) + {PASSAGE} AS stop FROM (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY word) AS run FROM n) GROUP BY id, doc_id, run)
 SELECT 'line' AS kind, doc_id, unit, start, "end", n_words, first_doc_id, first_unit FROM r WHERE k > 1
