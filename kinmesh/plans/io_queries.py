@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from kinmesh.config import Config
 from kinmesh.functions import text_v1
-from kinmesh.operators import blocking, evaluate, validate
+from kinmesh.operators import blocking, evaluate, saved_index, tfidf, validate
 from kinmesh.plans import fixtures as fx
-from kinmesh.plans.queries import _CHEAP, _KEYS, _REPORT, _TAGGED, _V1, query
+from kinmesh.plans.queries import _CHEAP, _KEYS, _REPORT, _TAGGED, _V1, _sql_tfidf, query
 from kinmesh.sources import readers, samples, writers
 from kinmesh.sources.writers import Stages
 
@@ -111,6 +111,16 @@ def snk_embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entity_id", "country_norm", F.col("embedding")[0].cast("bigint").alias("dims"), F.col("embedding")[1].cast("int").alias("again"))
 
 
+@query("snk_saved_index", "SELECT s1_id, cand_id, score, rank FROM top WHERE rank <= 30", _sql_tfidf("name_clean", "char", 0.05, 200_000, "S2-"))
+def snk_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best names of an index that is fitted on the second source, saved, extended by the third and asked."""
+    s1, pool = fx.stored_records(spark, sf_dir)
+    path = f"{writers.scratch(spark, 'index')}/name"
+    saved_index.save(tfidf.fit(pool.filter(F.startswith("entity_id", F.lit("S2-"))), text="name_clean"), path)
+    saved_index.append(pool.filter(F.startswith("entity_id", F.lit("S3-"))), path)
+    return saved_index.query(s1, path, k=30)
+
+
 @query("snk_stage_resume", "SELECT entity_id, name_clean FROM s1")
 def snk_stage_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = writers.scratch(spark, "runs")

@@ -242,7 +242,8 @@ def block_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.token_overlap(fx.first_source(df), fx.secondary(df))
 
 
-def _sql_tfidf(column: str, kind: str, max_df: float | None, features: int) -> str:
+def _sql_tfidf(column: str, kind: str, max_df: float | None, features: int, fitted: str = "") -> str:
+    """fitted: how ids of the records begin that vocabulary and idf come from."""
     if kind == "char":
         terms = lambda t: f"""SELECT entity_id AS d, country_norm AS c, substr(p, CAST(i AS BIGINT), n) AS term FROM (SELECT entity_id, country_norm, p, n, unnest(range(1, length(p) - n + 2)) AS i
   FROM (SELECT entity_id, country_norm, ' ' || unnest(list_filter(string_split({column}, ' '), lambda x: x <> '')) || ' ' AS p FROM {t}), (VALUES (2), (3), (4)) AS v(n) WHERE length(p) >= n)"""
@@ -251,8 +252,8 @@ def _sql_tfidf(column: str, kind: str, max_df: float | None, features: int) -> s
     prune = f"WHERE df <= {max_df} * n" if max_df is not None else ""
     return f"""
 pc AS (SELECT d, c, term, count(*) AS tf FROM ({terms('pool')}) GROUP BY ALL), qc AS (SELECT d, c, term, count(*) AS tf FROM ({terms('s1')}) GROUP BY ALL),
-sz AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pool),
-voc AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM pc GROUP BY term), sz {prune} ORDER BY total DESC, term LIMIT {features}),
+sz AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pool WHERE entity_id LIKE '{fitted}%'),
+voc AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM pc WHERE d LIKE '{fitted}%' GROUP BY term), sz {prune} ORDER BY total DESC, term LIMIT {features}),
 pr AS (SELECT d, c, term, (1 + ln(tf)) * idf AS x FROM pc JOIN voc USING (term)), qr AS (SELECT d, c, term, (1 + ln(tf)) * idf AS x FROM qc JOIN voc USING (term)),
 pw AS (SELECT d, c, term, x / sqrt(sum(x * x) OVER (PARTITION BY d)) AS w FROM pr), qw AS (SELECT d, c, term, x / sqrt(sum(x * x) OVER (PARTITION BY d)) AS w FROM qr),
 sc AS (SELECT qw.d AS s1_id, pw.d AS cand_id, round(sum(qw.w * pw.w), 5) AS score FROM qw JOIN pw USING (c, term) GROUP BY ALL),
