@@ -3,10 +3,14 @@
 Where most pairs of a group have something in common, an equi-join shuffles all of them. Here both sides are dealt into blocks, each
 block meets each of the other side's once, and only what a pair of blocks yields leaves its task. A side is shuffled as
 often as the other has blocks; pairs are never shuffled.
+
+How large a block is follows from the counts: there are TASKS pairs of blocks a core, if the groups have that much work, and no block is beyond LEFT_ROWS
+or RIGHT_ROWS. A task so holds two blocks, CELLS sums (8 MB) and, where it has Postings, ROWS rows of a matrix over the second block (50 MB at most).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +20,10 @@ from pyspark.sql import functions as F
 
 from kinmesh.sources.writers import stored
 
-#: Records of a block of the first and of the second side.
+#: Records of a block of the first and of the second side, at most.
 LEFT_ROWS, RIGHT_ROWS = 65_536, 32_768
+#: Pairs of blocks for each core, and the records below which a block isn't split for their sake.
+TASKS, LEAST_ROWS = 3, 1_024
 #: Sizes of groups (60 bytes each) are broadcast up to this number; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 #: Sums a task holds at a time.
@@ -26,16 +32,29 @@ CELLS = 1 << 20
 Match = Callable[[pa.Table, pa.Table], pa.Table]
 
 
+def side(cells: float, cores: int) -> int:
+    """Records of a block of either side, so that cells pairs of records make up TASKS pairs of blocks a core. Square blocks shuffle least for their number."""
+    return max(LEAST_ROWS, math.ceil(math.sqrt(cells / (TASKS * cores))))
+
+
 def meet(left: DataFrame, right: DataFrame, group: str, match: Match, schema: str, *, left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS) -> DataFrame:
-    """match's rows for every two blocks of a group; a group that is null, or on one side only, has none. Both sides have a column id, by which they are dealt."""
-    parts = lambda df, name, rows: df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-    sizes = stored(parts(left, "_ln", left_rows).join(parts(right, "_rn", right_rows), group), "sizes")
-    sizes = F.broadcast(sizes) if sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else sizes.hint("merge")
+    """match's rows for every two blocks of a group; a group that is null, or on one side only, has none. Both sides have a column id, by which they are dealt.
+
+    left_rows and right_rows bound a block's records (on average; one id's records stay together); match's rows must not depend on how records are dealt.
+    """
+    spark = left.sparkSession
+    counts = lambda df, name: df.groupBy(group).agg(F.count(F.lit(1)).alias(name))
+    sizes = stored(counts(left, "_lc").join(counts(right, "_rc"), group), "sizes")
+    groups, cells = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("_lc").cast("double") * F.col("_rc")), F.lit(0.0))).first()
+    rows = side(cells, spark.sparkContext.defaultParallelism)
+    parts = lambda count, most: F.ceil(F.col(count) / min(most, rows)).cast("int")
+    sizes = sizes.select(group, parts("_lc", left_rows).alias("_ln"), parts("_rc", right_rows).alias("_rn"))
+    sizes = F.broadcast(sizes) if groups <= BROADCAST_GROUPS else sizes.hint("merge")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = left.join(sizes, group).withColumn("_l", block("_ln")).withColumn("_r", every("_rn")).drop("_ln", "_rn")
     b = right.join(sizes, group).withColumn("_r", block("_rn")).withColumn("_l", every("_ln")).drop("_ln", "_rn")
-    empty = pa.Table.from_batches([], _arrow(left.sparkSession, schema))
+    empty = pa.Table.from_batches([], _arrow(spark, schema))
 
     def both(x: pa.Table, y: pa.Table) -> pa.Table:
         return match(x, y) if x.num_rows and y.num_rows else empty
