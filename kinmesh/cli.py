@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--no-resume", action="store_true")
         s.add_argument("--clear-checkpoints", action="store_true")
         s.add_argument("--clear-cache", action="store_true")
-        s.add_argument("--generation", type=int, choices=(1, 2), default=2)
+        s.add_argument("--generation", type=int, choices=(0, 1, 2), default=2, help="2: current; 1: first, single file; 0: first, modules")
     s = sub.add_parser("blocking")
     s.add_argument("--train-dir", required=True)
     s.add_argument("--country", required=True)
@@ -45,7 +45,7 @@ def _paths(folder: str, prefix: str) -> dict[str, str]:
 def main(argv: list[str] | None = None) -> int:
     from kinmesh.operators import validate as v
     from kinmesh.operators.features import FEATURE_NAMES
-    from kinmesh.plans import linkage
+    from kinmesh.plans import first_generation, linkage
     from kinmesh.sources import readers, writers
 
     args = parser().parse_args(argv)
@@ -72,23 +72,25 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{writers.clear_all(spark, root, 'cache')} caches deleted")
     if args.clear_checkpoints:
         print(f"{writers.clear_all(spark, root, 'train') + writers.clear_all(spark, root, 'predict')} runs deleted")
-    if args.generation == 1:
-        config = config.first_generation()
+    old, kind = args.generation < 2, {} if args.generation == 2 else {"generation": args.generation}
+    names = first_generation.NAMES[args.generation] if old else FEATURE_NAMES
     if args.mode in ("train", "full"):
         files = _paths(args.train_dir, "train")
-        stages = writers.Stages(spark, root, "train", config, resume=not args.no_resume, sources=writers.identity(spark, *files.values()), sample=args.sample_size)
-        s1, pool, truth = linkage.load_training(spark, _paths(args.train_dir, "train"), config, args.sample_size)
-        trained = linkage.run_train(s1, pool, truth, config, stages)
-        writers.save_model(spark, trained.models, trained.threshold, FEATURE_NAMES, args.model)
+        stages = writers.Stages(spark, root, "train", config, resume=not args.no_resume, sources=writers.identity(spark, *files.values()), sample=args.sample_size, **kind)
+        s1, pool, truth = linkage.load_training(spark, _paths(args.train_dir, "train"), config, args.sample_size, generation=args.generation)
+        trained = first_generation.run_train(s1, pool, truth, args.generation, config, stages) if old else linkage.run_train(s1, pool, truth, config, stages)
+        writers.save_model(spark, trained.models, trained.threshold, names, args.model)
         print(f"threshold {trained.threshold}, held-out macro F0.5 {trained.score}")
+        if old:
+            print(", ".join(f"{k} {v}" for k, v in trained.report.items()))
     if args.mode in ("predict", "full"):
-        models, threshold = readers.load_model(spark, args.model, FEATURE_NAMES)
+        models, threshold = readers.load_model(spark, args.model, names)
         test = _paths(args.test_dir, "test")
         # By content, not by path: a model trained anew in the same place must not meet the scores of the old one.
-        stages = writers.Stages(spark, root, "predict", config, resume=not args.no_resume, sources=writers.identity(spark, *test.values()), model=writers.identity(spark, args.model))
-        how = {"transliterate": config.transliterate}
+        stages = writers.Stages(spark, root, "predict", config, resume=not args.no_resume, sources=writers.identity(spark, *test.values()), model=writers.identity(spark, args.model), **kind)
+        how = {"transliterate": config.transliterate, "generation": args.generation}
         s1, pool = readers.load_source(spark, test["s1"], **how), readers.union_pool(*readers.load_sources(spark, test["s2"], test["s3"], **how))
-        matches, pairs = linkage.run_predict(s1, pool, models, threshold, config, stages)
+        matches, pairs = first_generation.run_predict(s1, pool, models, threshold, args.generation, stages) if old else linkage.run_predict(s1, pool, models, threshold, config, stages)
         linkage.write_run(s1, matches, pairs, args.out)
     return 0
 

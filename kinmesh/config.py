@@ -59,10 +59,6 @@ class Config:
         text = json.dumps([kind, args, dataclasses.asdict(self), PREPROCESS_VERSION], sort_keys=True, default=str)
         return hashlib.sha1(text.encode()).hexdigest()[:12]
 
-    def first_generation(self) -> Config:
-        """The first generation's run: keys beside TF-IDF top 20, five negatives a positive, one model."""
-        return dataclasses.replace(self, use_keys=True, use_dense=False, char_top_k=20, word_top_k=20, key_bucket=50, neg_pos_ratio=5, n_models=1)
-
     def check_floor(self, threshold: float) -> None:
         """Scores under the floor are not stored, so it must not exceed what decisions look at."""
         if self.score_floor > min(threshold, self.singleton_best):

@@ -34,6 +34,14 @@ FEATURE_NAMES_V1 = [
     "comb_tsort", "comb_tset", "comb_jac", "name_tok_diff",
 ]
 
+FEATURE_NAMES_MODULAR = [
+    "name_levenshtein", "name_jaro_winkler", "name_token_sort_ratio", "name_token_set_ratio", "name_partial_ratio", "name_jaccard", "name_overlap", "name_dice",
+    "name_containment_12", "name_containment_21", "name_first_token_match", "name_length_ratio", "name_token_count_diff", "addr_levenshtein", "addr_jaro_winkler",
+    "addr_token_sort_ratio", "addr_token_set_ratio", "addr_partial_ratio", "addr_jaccard", "addr_overlap", "addr_dice", "addr_length_ratio", "addr_num_jaccard",
+    "addr_num_overlap", "addr_num_match_ratio_12", "addr_num_match_ratio_21", "combined_token_sort", "combined_token_set", "combined_jaccard", "country_match", "name_in_addr",
+    "max_name_containment", "max_addr_num_match", "agg_name_score", "agg_addr_score", "agg_combined_score",
+]
+
 
 def _first_words(texts: Sequence[str]) -> list[str]:
     found = (re.search("[a-zA-Z]+", t) for t in texts)

@@ -55,9 +55,9 @@ def assembled(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep").transform(features)
 
 
-def fit_single_v1(pairs: DataFrame, seed: int = 42) -> Boosted:
+def fit_single_v1(pairs: DataFrame, seed: int = 42, settings: Settings | None = None) -> Boosted:
     """First generation: one model of one setting."""
-    return boosting.fit(pairs, SINGLE_V1, seed=seed)
+    return boosting.fit(pairs, settings or SINGLE_V1, seed=seed)
 
 
 def fit_gbt(pairs: DataFrame, *, depth: int, step: float, trees: int, seed: int) -> GBTClassificationModel:
@@ -79,9 +79,9 @@ def predict(rows: DataFrame, models: Sequence[Model]) -> DataFrame:
     return rows.withColumn("p", total / len(models)).drop(*(f"_q{i}" for i in range(len(models))))
 
 
-def best_threshold(labelled: DataFrame) -> tuple[float, float]:
-    """(threshold, F0.5) of single pairs; of equal ones the higher threshold."""
-    row = pr_curve(labelled).orderBy(F.desc("f"), F.desc("threshold")).first()
+def best_threshold(labelled: DataFrame, *, lowest: bool = False) -> tuple[float, float]:
+    """(threshold, F0.5) of single pairs; of equal ones the higher threshold, or the lowest, as the first generation takes it."""
+    row = pr_curve(labelled).orderBy(F.desc("f"), F.asc("threshold") if lowest else F.desc("threshold")).first()
     return (row["threshold"], row["f"]) if row else (0.5, 0.0)
 
 

@@ -81,7 +81,7 @@ def candidates(s1: DataFrame, pool: DataFrame, config: Config, vectors: tuple[Da
     return blocking.prefilter(blocking.union(strategies(s1, pool, config, vectors)), s1, pool, cap=config.prefilter_cap, min_score=config.prefilter_min_score)
 
 
-def _records(stages: Stages, s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+def records_of(stages: Stages, s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides from the shared folder: every strategy reads normalised records instead of making them."""
     return stages.stage("s1", lambda: s1), stages.stage("pool", lambda: pool)
 
@@ -98,7 +98,7 @@ def run_train(s1: DataFrame, pool: DataFrame, truth: DataFrame, config: Config,
 
     With neg_pos_ratio set, a second round adds hard negatives. Every stage is stored and taken up again by a later run.
     """
-    s1, pool = _records(stages, s1, pool)
+    s1, pool = records_of(stages, s1, pool)
     entities = s1.select(F.col("entity_id").alias("s1_id"))
     split = stages.stage("split", lambda: training.split_entities(entities, config))
     pairs = stages.stage("candidates", lambda: candidates(s1, pool, config, vectors))
@@ -125,26 +125,29 @@ def run_train(s1: DataFrame, pool: DataFrame, truth: DataFrame, config: Config,
 def run_predict(s1: DataFrame, pool: DataFrame, models: list, threshold: float, config: Config, stages: Stages, vectors=None) -> tuple[DataFrame, DataFrame]:
     """(matches, candidates). Countries never meet in a join, so one run does what a loop over them would."""
     config.check_floor(threshold)
-    s1, pool = _records(stages, s1, pool)
+    s1, pool = records_of(stages, s1, pool)
     pairs = stages.stage("candidates", lambda: candidates(s1, pool, config, vectors))
     scores = stages.stage("scores", lambda: score(pairs, s1, pool, models, config.score_floor))
     return decide.decide(scores, threshold, one_to_one=config.one_to_one, singleton_best=config.singleton_best), pairs
 
 
-def load_training(spark: SparkSession, paths: dict[str, str], config: Config, sample_size: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(s1, pool, truth) of a training folder: a sample of the first source, its matches, and pool records of its countries."""
+def load_training(spark: SparkSession, paths: dict[str, str], config: Config, sample_size: int | None, *, generation: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(s1, pool, truth) of a training folder: a sample of the first source, its matches, and pool records of its countries (generation 1: of a sample's, a quota each)."""
     from kinmesh.config import pool_extra
 
     raw = readers.read_tsv(spark, paths["truth"], readers.TRUTH_SCHEMA)
     known = readers.truth_entities(raw).withColumnRenamed("s1_id", "entity_id")
-    how = {"transliterate": config.transliterate}
+    how = {"transliterate": config.transliterate, "generation": generation}
     s1 = readers.load_source(spark, paths["s1"], **how).join(known, "entity_id", "left_semi")
     if sample_size:
         s1 = samples.sample_ids(s1, sample_size, config.seed)
     truth = readers.parse_truth(raw).join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi")
     pool = samples.restrict_to_countries(readers.union_pool(*readers.load_sources(spark, paths["s2"], paths["s3"], **how)), s1)
-    extra = pool_extra(sample_size, sample_size is None, config.pool_extra)
-    return s1, samples.sample_pool(pool, truth.select(F.col("cand_id").alias("entity_id")), extra, config.seed), truth
+    must = truth.select(F.col("cand_id").alias("entity_id"))
+    if generation == 1 and sample_size:
+        return s1, samples.quota_pool_v1(pool, must, sample_size, config.seed), truth
+    extra = pool_extra(sample_size, sample_size is None, config.pool_extra) if generation == 2 else None
+    return s1, samples.sample_pool(pool, must, extra, config.seed), truth
 
 
 def evaluate_blocking(spark: SparkSession, paths: dict[str, str], country: str, config: Config, *, n_queries: int, pool_fraction: float, vectors=None) -> tuple[DataFrame, DataFrame, DataFrame]:
