@@ -11,6 +11,7 @@ from kinmesh.config import Config
 from kinmesh.functions import text, text_v1
 from kinmesh.operators import blocking, decide, evaluate, features, ivf, neighbours, tfidf, training, validate
 from kinmesh.plans import feature_sql as fq
+from kinmesh.plans import first_generation
 from kinmesh.plans import fixtures as fx
 from kinmesh.sources import readers, samples, writers
 
@@ -242,7 +243,7 @@ def block_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.token_overlap(fx.first_source(df), fx.secondary(df))
 
 
-def _sql_tfidf(column: str, kind: str, max_df: float | None, features: int, fitted: str = "") -> str:
+def _sql_tfidf(column: str, kind: str, max_df: float | None, features: int, fitted: str = "", s1: str = "s1", pool: str = "pool") -> str:
     """fitted: how ids of the records begin that vocabulary and idf come from."""
     if kind == "char":
         terms = lambda t: f"""SELECT entity_id AS d, country_norm AS c, substr(p, CAST(i AS BIGINT), n) AS term FROM (SELECT entity_id, country_norm, p, n, unnest(range(1, length(p) - n + 2)) AS i
@@ -251,8 +252,8 @@ def _sql_tfidf(column: str, kind: str, max_df: float | None, features: int, fitt
         terms = lambda t: rf"""SELECT d, c, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT entity_id AS d, country_norm AS c, regexp_extract_all(lower({column}), '\b\w\w+\b') AS w FROM {t})"""
     prune = f"WHERE df <= {max_df} * n" if max_df is not None else ""
     return f"""
-pc AS (SELECT d, c, term, count(*) AS tf FROM ({terms('pool')}) GROUP BY ALL), qc AS (SELECT d, c, term, count(*) AS tf FROM ({terms('s1')}) GROUP BY ALL),
-sz AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pool WHERE entity_id LIKE '{fitted}%'),
+pc AS (SELECT d, c, term, count(*) AS tf FROM ({terms(pool)}) GROUP BY ALL), qc AS (SELECT d, c, term, count(*) AS tf FROM ({terms(s1)}) GROUP BY ALL),
+sz AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {pool} WHERE entity_id LIKE '{fitted}%'),
 voc AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM pc WHERE d LIKE '{fitted}%' GROUP BY term), sz {prune} ORDER BY total DESC, term LIMIT {features}),
 pr AS (SELECT d, c, term, (1 + ln(tf)) * idf AS x FROM pc JOIN voc USING (term)), qr AS (SELECT d, c, term, (1 + ln(tf)) * idf AS x FROM qc JOIN voc USING (term)),
 pw AS (SELECT d, c, term, x / sqrt(sum(x * x) OVER (PARTITION BY d)) AS w FROM pr), qw AS (SELECT d, c, term, x / sqrt(sum(x * x) OVER (PARTITION BY d)) AS w FROM qr),
@@ -272,6 +273,18 @@ _tfidf_query("tfidf_name_topk", "name", "name_clean", 0.05, 200_000, 30)
 _tfidf_query("tfidf_char_topk_v1", "char", "combined", None, 200_000, 20)
 
 
+_FIRST = "SELECT entity_id, country_norm, trim(name_norm || ' ' || addr_norm) AS combined FROM v2 WHERE entity_id"
+
+
+@query(
+    "first_candidates", "SELECT s1_id, cand_id FROM nk UNION SELECT s1_id, cand_id FROM an UNION SELECT s1_id, cand_id FROM top WHERE rank <= 20",
+    ",".join((_V1, _sql_key("nk", "name_key", "name_key <> ''", 50, "v2"), _sql_key("an", "array_to_string(nums[1:3], '_')", "len(nums) > 0", 50, "v2"), f"q1 AS ({_FIRST} LIKE 'S1-%'), p1 AS ({_FIRST} NOT LIKE 'S1-%')", _sql_tfidf("combined", "char", None, 200_000, s1="q1", pool="p1"))),
+)
+def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = writers.stored(text_v1.normalise_v1(fx.records(spark, sf_dir)), "records")
+    return first_generation.candidates(fx.first_source(df), fx.secondary(df), 0)
+
+
 @query("tfidf_char_weights", "SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM voc", _sql_tfidf("combined", "char", 0.05, 200_000))
 def tfidf_char_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = tfidf.fit(fx.normalised(spark, sf_dir)[1])

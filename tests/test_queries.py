@@ -11,7 +11,7 @@ NAMES = [
     "norm_name_clean", "norm_addr_clean", "legal_map_replace", "domain_strip", "norm1_names", "norm1_keys", "norm_chain", "match_lists", "pool_sampled", "block_union", "block_token_overlap", "block_v1_keys",
     "tfidf_char_topk", "tfidf_word_topk", "prefilter_ranked", "prefilter_topk", "prefilter_top100", "blocking_report", "minhash_similar", "dense_topk_exact", "recall_unique_by_strategy", "cap_recall_curve", "feat_sets", "feat_lev", "feat_numbers", "feat_jaro_winkler", "decide_full",
     "tune_threshold", "pr_curve", "f05_per_entity", "loss_breakdown", "country_rollup", "match_histogram", "val_duplicate_id", "val_unknown_id", "train_pairs", "train_split",
-    "feat_indel_suite", "feat_phonetic", "feat_v1_36", "src_tsv_scan", "src_country_scan", "src_union_pool", "snk_embedding_cache", "snk_saved_index", "snk_stage_resume", "snk_runs", "val_files", "train_hard_negatives", "translit_indic", "val_unknown_row", "val_self_match", "blocking_report_final",
+    "feat_indel_suite", "feat_phonetic", "feat_v1_36", "src_tsv_scan", "src_country_scan", "src_union_pool", "snk_embedding_cache", "snk_saved_index", "snk_stage_resume", "snk_runs", "val_files", "train_hard_negatives", "translit_indic", "val_unknown_row", "val_self_match", "blocking_report_final", "first_candidates",
 ]
 
 
