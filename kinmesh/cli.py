@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--no-resume", action="store_true")
         s.add_argument("--clear-checkpoints", action="store_true")
         s.add_argument("--clear-cache", action="store_true")
+        s.add_argument("--parts", action="store_true", help="write results in parts, by many tasks, instead of one file each")
         s.add_argument("--generation", type=int, choices=(0, 1, 2), default=2, help="2: current; 1: first, single file; 0: first, modules")
     s = sub.add_parser("blocking")
     s.add_argument("--train-dir", required=True)
@@ -91,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
         how = {"transliterate": config.transliterate, "generation": args.generation}
         s1, pool = readers.load_source(spark, test["s1"], **how), readers.union_pool(*readers.load_sources(spark, test["s2"], test["s3"], **how))
         matches, pairs = first_generation.run_predict(s1, pool, models, threshold, args.generation, stages) if old else linkage.run_predict(s1, pool, models, threshold, config, stages)
-        linkage.write_run(s1, matches, pairs, args.out)
+        linkage.write_run(s1, matches, pairs, args.out, single_file=not args.parts)
     return 0
 
 

@@ -30,6 +30,7 @@ INDIAN_STATES = {
     "maharashtra": "mh", "manipur": "mn", "meghalaya": "ml", "mizoram": "mz", "nagaland": "nl", "odisha": "od", "punjab": "pb", "rajasthan": "rj",
     "sikkim": "sk", "telangana": "tg", "tripura": "tr", "uttarakhand": "uk", "delhi": "dl", "chandigarh": "ch", "puducherry": "py",
 }
+# Likewise.
 US_STATES = {
     "alabama": "al", "alaska": "ak", "arizona": "az", "arkansas": "ar", "california": "ca", "colorado": "co", "connecticut": "ct", "delaware": "de",
     "florida": "fl", "georgia": "ga", "hawaii": "hi", "idaho": "id", "illinois": "il", "indiana": "in", "iowa": "ia", "kansas": "ks", "kentucky": "ky",

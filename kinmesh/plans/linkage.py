@@ -196,5 +196,5 @@ def run_full(train: tuple[DataFrame, DataFrame, DataFrame], test: tuple[DataFram
     return trained, *run_predict(*test, trained.models, trained.threshold, config, stages("predict"))
 
 
-def write_run(entities: DataFrame, matches: DataFrame, pairs: DataFrame, out_dir: str) -> None:
-    writers.write_results(entities.select(F.col("entity_id").alias("s1_id")), matches, pairs, out_dir)
+def write_run(entities: DataFrame, matches: DataFrame, pairs: DataFrame, out_dir: str, *, single_file: bool = True) -> None:
+    writers.write_results(entities.select(F.col("entity_id").alias("s1_id")), matches, pairs, out_dir, single_file=single_file)

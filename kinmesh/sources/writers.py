@@ -32,10 +32,11 @@ def write_tsv(lists: DataFrame, path: str, *, single_file: bool = True) -> None:
     ordered.write.mode("overwrite").csv(path, **WHOLE_FIELDS, header=True, quote="", emptyValue="", nullValue="")
 
 
-def write_results(entities: DataFrame, matches: DataFrame, candidates: DataFrame | None, out_dir: str) -> None:
-    write_tsv(match_lists(entities, matches), f"{out_dir}/matching_results.tsv")
+def write_results(entities: DataFrame, matches: DataFrame, candidates: DataFrame | None, out_dir: str, *, single_file: bool = True) -> None:
+    """single_file: one task writes each table, as its readers expect one file; without it as many as there are parts, each with a header."""
+    write_tsv(match_lists(entities, matches), f"{out_dir}/matching_results.tsv", single_file=single_file)
     if candidates is not None:
-        write_tsv(match_lists(entities, candidates, "candidate_entity_ids"), f"{out_dir}/candidate_pairs.tsv")
+        write_tsv(match_lists(entities, candidates, "candidate_entity_ids"), f"{out_dir}/candidate_pairs.tsv", single_file=single_file)
 
 
 def _filesystem(spark: SparkSession, path: str):

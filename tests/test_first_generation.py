@@ -123,5 +123,10 @@ def test_command_line(spark, folder, tmp_path, monkeypatch, capsys):
     assert len(rows) == 48
     true = {r.source1_entity_id: r.matched_entity_ids for r in readers.read_tsv(spark, f"{folder}/test_ground_truth.tsv", readers.TRUTH_SCHEMA).collect()}
     assert sum(rows[e] == true[e] for e in true) >= 30
+    assert len([f for f in (tmp_path / "out" / "matching_results.tsv").iterdir() if f.name.startswith("part-")]) == 1
+    assert cli.main(["predict", "--test-dir", str(folder), "--model", model, "--out", f"{out}-parts", "--generation", "1", "--parts"]) == 0
+    for name, schema in (("matching_results", readers.TRUTH_SCHEMA), ("candidate_pairs", readers._text("source1_entity_id", "candidate_entity_ids"))):
+        whole, parts = (sorted(readers.read_tsv(spark, f"{o}/{name}.tsv", schema).collect()) for o in (out, f"{out}-parts"))
+        assert whole == parts and len(whole) == 48
     with pytest.raises(ValueError, match="other features"):
         cli.main(["predict", "--test-dir", str(folder), "--model", model, "--out", out])
