@@ -200,6 +200,5 @@ e_pool AS (SELECT ent.s1_id, coalesce(nt, 0) AS nt, coalesce(np, 0) AS np, coale
 def blocking_report_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report with its last row: what the pre-filter keeps of the union."""
     s1, pool = fx.stored_records(spark, sf_dir)
-    found = blocking.block_keys(s1, pool)
-    final = blocking.prefilter(blocking.union(found), s1, pool, cap=10)
-    return evaluate.blocking_report(fx.entities(spark, sf_dir), fx.truth(spark, sf_dir), found, final).select("strategy", F.round("pair_recall", 6).alias("pair_recall"))
+    final = blocking.prefilter_on_keys(s1, pool, cap=10)
+    return evaluate.blocking_report_of(fx.entities(spark, sf_dir), fx.truth(spark, sf_dir), blocking.key_pairs(s1, pool), list(_KEYS), final).select("strategy", F.round("pair_recall", 6).alias("pair_recall"))
