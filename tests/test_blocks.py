@@ -40,3 +40,25 @@ def test_meet_deals_by_counts(spark, monkeypatch):
         assert max(r["n"] * r["m"] for r in hot) < 4 * np.mean([r["n"] * r["m"] for r in hot])
     none = left.limit(0)
     assert blocks.meet(none, right, "g", _met, schema).isEmpty() and blocks.meet(left, right.filter(F.col("g") == "lone right"), "g", _met, schema).isEmpty()
+
+
+def test_terms_are_looked_up_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    ends = lambda n: np.concatenate([[0], np.cumsum(rng.integers(0, 6, n))])
+    (a, b), whole = (ends(50), ends(40)), blocks.Postings._sums
+    x, y = rng.integers(0, 30, a[-1]), rng.integers(0, 30, b[-1])
+    v, w = rng.random(len(x)), rng.random(len(y))
+    dense = np.zeros((50, 30)), np.zeros((40, 30))
+    np.add.at(dense[0], (np.repeat(np.arange(50), np.diff(a)), x), v)
+    np.add.at(dense[1], (np.repeat(np.arange(40), np.diff(b)), y), w)
+    sizes = []
+
+    def noted(self, terms, starts, weights):
+        sizes.append(len(starts) - 1)
+        return whole(self, terms, starts, weights)
+
+    monkeypatch.setattr(blocks, "SLICE", 7)
+    monkeypatch.setattr(blocks.Postings, "_sums", noted)
+    got = list(blocks.Postings(y, b, w).sums(x, a, v))
+    assert max(sizes) == 7 and [low for low, _ in got] == list(range(0, 50, 7))
+    assert np.allclose(np.concatenate([out for _, out in got]), dense[0] @ dense[1].T)
