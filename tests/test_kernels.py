@@ -65,3 +65,19 @@ def test_batches_of_long_and_repeated_pairs(monkeypatch):
             assert list(getattr(batch, name)(left, right)) == [getattr(k, name)(a, b) for a, b in pairs], name
     short = [(a, b) for a, b in pairs if len(a) + len(b) < 200][:60]
     assert list(batch.partial([a for a, _ in short], [b for _, b in short])) == [k.partial(a, b) for a, b in short]
+
+
+def test_edit_similarity_equals_brute_force():
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = ["", "a", "abc 𝔘", "ab" * 33, "cab " * 16, "abcé" * 30, "x" * 300, "xa" * 140]
+    pairs = [(a, b) for a in words for b in words]
+    expected = [1 - lev(a, b) / max(len(a), len(b)) if a or b else 1.0 for a, b in pairs]
+    assert batch.edit_similarity(*map(list, zip(*pairs, strict=True))).tolist() == expected
+    assert [k.distance(a, b) for a, b in pairs] == [lev(a, b) for a, b in pairs]

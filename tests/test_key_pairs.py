@@ -100,3 +100,10 @@ def test_nested_replacements_stay_small(spark):
         return len(spark.createDataFrame([("a a",)], "t string").select(c)._jdf.queryExecution().optimizedPlan().toString())
 
     assert size(6) < 6 * size(2)
+
+
+def test_texts_are_not_cut_into_tokens_for_each_pair(spark):
+    """Edit distances and counts of sets come with the Arrow pass, where a text is cut up once a batch."""
+    for name in ("feat_v1_29", "feat_v1_36", "score_linear"):
+        plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "levenshtein(" not in plan and "regexp_extract_all" not in plan and "MapInArrow" in plan, name
