@@ -107,3 +107,12 @@ def test_texts_are_not_cut_into_tokens_for_each_pair(spark):
     for name in ("feat_v1_29", "feat_v1_36", "score_linear"):
         plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "levenshtein(" not in plan and "regexp_extract_all" not in plan and "MapInArrow" in plan, name
+
+
+def test_cheap_score_cuts_no_text_up_for_each_pair(spark):
+    rows = [("a", "b", "acme one", "acme two one", "1 road", "1 road"), ("a", "c", "", "", "", ""), ("a", "d", "x", "", "1", ""), ("a", "e", "x\u00a0y", "x", "1", "1")]
+    scored = blocking.cheap_score(spark.createDataFrame(rows, "s1_id string, cand_id string, n1 string, n2 string, a1 string, a2 string"))
+    assert "array_distinct" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    share = [1.0, 1.0, 0.0, 0.0]
+    expected = [0.45 * kernels.jaro_winkler(r[2], r[3]) + 0.30 * kernels.jaro_winkler(r[4], r[5]) + 0.25 * x for r, x in zip(rows, share, strict=True)]
+    assert [r.score for r in scored.orderBy("cand_id").collect()] == [round(x * 1e6) / 1e6 for x in expected]
