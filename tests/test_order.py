@@ -1,6 +1,9 @@
 """Running sums and smallest rows without a single task, romanisation, long lists in validation, embeddings by text, timings."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +141,44 @@ def test_timings_come_from_the_run(spark):
     frame = {r.strategy: r for r in timings.frame(spark, s1.count()).collect()}
     assert set(frame) == {*found, "UNION"} and frame["char_tfidf"].build_seconds > 0 and all(r.ms_per_query > 0 for r in frame.values())
     assert found["char_tfidf"].count() > 0
+
+
+def test_least_hashes_are_those_of_spark(spark):
+    """The least xxhash64(x, seed) of a text's shingles, without a row for each shingle; what has no shingles has no signature."""
+    rows = [("a", "fr", "acme one"), ("b", "in", "ab"), ("c", "in", None), ("d", None, "wörd ß 日本語 aaaa"), ("e", "fr", "x" * 300 + "yz"), ("e", "fr", "second row")]
+    records = spark.createDataFrame(rows, "entity_id string, country_norm string, combined string")
+    grams = records.select("entity_id", F.explode(neighbours.shingles(F.col("combined"))).alias("x")).groupBy("entity_id")
+    want = {r[0]: list(r[1:]) for r in grams.agg(*(F.min(F.xxhash64("x", F.lit(p))).alias(f"m{p}") for p in range(9))).collect()}
+    got = neighbours.minhash(records, permutations=9)
+    assert {r.entity_id: r.signature for r in got.collect()} == want and set(want) == {"a", "d", "e"}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_pairs_are_met_by_band(spark, monkeypatch):
+    """Near copies of many similarities, and ids that two countries share, against all pairs; whole sets are compared for few pairs besides those that are found."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 30)))
+    texts = [" ".join(word() for _ in range(6)) for _ in range(60)]
+    near = lambda t: "".join(c if rng.random() > 0.05 else rng.choice("xyz ") for c in t)
+    rows = [(i, near(t), rng.choice(("fr", "en"))) for _ in range(4) for i, t in enumerate(texts)]
+    left, right = ([(f"{p}-{i}", t, c) for i, t, c in part] for p, part in (("S1", rows[:120]), ("S2", rows[120:])))
+    grams = lambda t: {t[n : n + 3] for n in range(len(t) - 2)}
+    of = lambda a, b: len(grams(a) & grams(b)) / max(len(grams(a) | grams(b)), 1)
+    want = sorted((a[0], b[0], round(of(a[1], b[1]), 6)) for a in left for b in right if a[2] == b[2] and of(a[1], b[1]) >= 0.6)
+    frames = [spark.createDataFrame(x, "entity_id string, combined string, country_norm string") for x in (left, right)]
+    for size in ({}, {"left_rows": 30, "right_rows": 20}):
+        assert sorted(map(tuple, neighbours.lsh_similar(*frames, at_least=0.6, **size).collect())) == want and len(want) > 20
+    compared = []
+    sets = neighbours._sets
+    monkeypatch.setattr(neighbours, "_sets", lambda texts, rows, ngram: compared.append(len(rows)) or sets(texts, rows, ngram))
+    monkeypatch.setattr(neighbours.blocks, "CELLS", 50)
+    a, b = (pa.Table.from_batches(_one_block(f)) for f in frames)
+    found = neighbours._alike(0.6, 3)(a, b)
+    assert len(set(zip(found["s1_id"].to_pylist(), found["cand_id"].to_pylist(), strict=True))) >= len({w[:2] for w in want})
+    assert sum(compared) / 2 < 3 * found.num_rows < len(left) * len(right) / 10
+
+
+def _one_block(frame):
+    """A side's sketches, all countries as one block."""
+    sets = frame.select(F.col("entity_id").alias("id"), F.lit("fr").alias("country_norm"), F.col("combined").alias("text"), neighbours._hashes(neighbours.shingles(F.col("combined"))).alias("h"))
+    return neighbours.sketches(sets, 128, 3).toArrow().to_batches()
