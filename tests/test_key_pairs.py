@@ -1,12 +1,14 @@
 """Pairs on keys: each once, no task with all of a key, nothing scored twice."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from kinmesh.functions import batch, kernels, text
-from kinmesh.operators import blocking, evaluate, training
+from kinmesh.operators import blocking, evaluate, features, training
 from kinmesh.config import Config
+from kinmesh.plans import fixtures as fx
 from kinmesh.plans import queries as plans
 
 RECORDS = "entity_id string, country_norm string, name_clean string, addr_clean string, addr_nums_str string, name_sorted_3tok string"
@@ -116,3 +118,25 @@ def test_cheap_score_cuts_no_text_up_for_each_pair(spark):
     share = [1.0, 1.0, 0.0, 0.0]
     expected = [0.45 * kernels.jaro_winkler(r[2], r[3]) + 0.30 * kernels.jaro_winkler(r[4], r[5]) + 0.25 * x for r, x in zip(rows, share, strict=True)]
     assert [r.score for r in scored.orderBy("cand_id").collect()] == [round(x * 1e6) / 1e6 for x in expected]
+
+
+def test_features_of_names_read_no_addresses(spark):
+    """What is made of names alone carries no address with a pair, and is the same as beside features of addresses."""
+    rows = [("a", "b", "acme one", "acme two one", "1 road", "2 road"), ("a", "c", "", "", "", ""), ("a", "d", "x y", "x", "1", "")]
+    texts = spark.createDataFrame(rows, "s1_id string, cand_id string, n1 string, n2 string, a1 string, a2 string")
+    names = [n for n in features.FEATURE_NAMES if n.startswith(("name_", "phon_"))]
+    alone, beside = features.pair_features(texts, names), features.pair_features(texts, [*names, "addr_lev"]).drop("addr_lev")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, beside.collect()))
+    assert [c for c in features.kernel_pass(texts, ["name_lev"], ["s1_id", "n1"]).columns] == ["s1_id", "n1", "name_lev"]
+    plan = plans.linear_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"\ba[12]#", plan.split("MapInArrow")[1].split("Join")[0])
+
+
+def test_documents_are_read_once(spark):
+    """Records, truth and entities are made of words that were cut once: no plan of theirs reads the documents again."""
+    sf = "/root/testdata/sf0.001"
+    reads = lambda df: len(re.findall(r"FileScan parquet[^\n]*documents\.parquet", df._jdf.queryExecution().executedPlan().toString()))
+    x = fx.words(spark, sf)
+    for df in (fx.records(spark, sf, x), fx.truth(spark, sf, x), fx.entities(spark, sf, x), *fx.stored_records(spark, sf, x), fx.records(spark, sf), plans.QUERIES["recall_pair_entity"](spark, sf), plans.QUERIES["pr_curve"](spark, sf)):
+        assert reads(df) == 0
+    assert reads(spark.read.parquet(f"{sf}/documents.parquet").select("text")) == 1
